@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat
+from . import bpe, chat, decontaminate
 
-MODULES = [bpe, chat]
+MODULES = [bpe, chat, decontaminate]
 
 
 def queries() -> dict:
