@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate
+from . import bpe, chat, decontaminate, neardup
 
-MODULES = [bpe, chat, decontaminate]
+MODULES = [neardup, bpe, chat, decontaminate]
 
 
 def queries() -> dict:
