@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, neardup
+from . import bpe, chat, decontaminate, neardup, suffix
 
-MODULES = [neardup, bpe, chat, decontaminate]
+MODULES = [neardup, bpe, suffix, chat, decontaminate]
 
 
 def queries() -> dict:
