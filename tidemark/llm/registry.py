@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, neardup, suffix
+from . import bpe, chat, decontaminate, neardup, quality, suffix
 
-MODULES = [neardup, bpe, suffix, chat, decontaminate]
+MODULES = [neardup, bpe, suffix, chat, quality, decontaminate]
 
 
 def queries() -> dict:
