@@ -6,7 +6,9 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: UTF-8 bytes are hashed in slices of about this size, which bounds the memory of a Python worker.
 SLICE_BYTES = 1 << 20
@@ -59,6 +61,39 @@ def distinct_name(columns: list[str], wish: str) -> str:
     return wish
 
 
+# --- a bitmap of hashed ids: which rows can be left out of a shuffle ---------------------------
+
+#: 8 MB of bits, whatever the number of ids.  It fills up as ids grow in number; then fewer rows are left out.
+BITMAP = 1 << 26
+
+
+def id_bit(column: str) -> Column:
+    """The id's bit."""
+    return F.pmod(F.xxhash64(column), F.lit(BITMAP))
+
+
+def id_bitmap(ids: DataFrame, column: str) -> Broadcast:
+    """The bits of all ids, broadcast; built by partial bitmaps, of which the driver gets 2048 at most."""
+    parts = ids.select(id_bit(column).alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits")).collect()
+    out = np.zeros(BITMAP // 8 + 4096, np.uint8)
+    for k, bits in parts:  # bucket 1 holds the bits 1 to 32768, bucket 0 bit 0
+        out[max(k - 1, 0) * 4096:max(k, 1) * 4096] |= np.frombuffer(bits, np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(out)
+
+
+def by_bitmap(df: DataFrame, bit: str, bitmap: Broadcast, inside: bool) -> DataFrame:
+    """Rows of ``df`` whose id_bit (in column ``bit``) is set, or the others."""
+
+    def run(batches):
+        bits = bitmap.value
+        for batch in batches:
+            h = np.maximum(np.asarray(batch.column(batch.schema.names.index(bit))) - 1, 0)
+            hit = (bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
+            yield batch.filter(pa.array(hit == inside))
+
+    return df.mapInArrow(run, df.schema)
+
+
 # --- words -----------------------------------------------------------------------------------
 
 _WORD = np.zeros(256, bool)

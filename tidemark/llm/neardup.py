@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, arrow_bounds, grams, mix, read, slices, stored
+from .common import Words, arrow_bounds, by_bitmap, grams, id_bit, id_bitmap, mix, read, slices, stored
 from .graph import components
 
 N = 5
@@ -219,6 +219,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     shape = group.groupBy("root").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s")).select("root", F.greatest(F.ceil(F.col("c") / TILE_DOCS), F.ceil(F.col("s") / TILE_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
     members = group.join(shape, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    texts = by_bitmap(texts.withColumn("h", id_bit("id")), "h", id_bitmap(group, "node"), True).drop("h")  # few texts are shuffled
     rows = members.join(texts, F.col("node") == F.col("id")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "node", "copies", "text")
     tiles = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(lambda it: _tiles(it, threshold, n), "a long, b long, links long")

@@ -37,13 +37,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import _INVERSE, _power, arrow_bounds, distinct_name, mix, prefix_hash, read, span_hash, stored
+from .common import _INVERSE, _power, arrow_bounds, by_bitmap, distinct_name, id_bit, id_bitmap, mix, prefix_hash, read, span_hash, stored
 
 WINDOW, K, BLOCK = 400, 160, 40
 COLLECTION = 2_000_000
 HOT = 8192
 _PIECE = 4 << 20
-_BITMAP = 1 << 26
 _SHIFT = np.uint64(24)
 
 
@@ -232,36 +231,12 @@ def _windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(span_hash(sums, s, s + WINDOW).view(np.int64)), pa.array([doc] * n, pa.int64()), pa.array([tag] * n, pa.int32()), pa.array(low + s)], names=["w", "doc", "tag", "low"])
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Bits of the hashed ids in ``doc``: 8 MB, however many there are."""
-    h = ids.select(F.pmod(F.xxhash64("doc"), F.lit(_BITMAP)).alias("h"))
-    rows = h.groupBy(F.expr("bitmap_bucket_number(h)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits")).collect()
-    out = np.zeros(_BITMAP // 8 + 4096, np.uint8)
-    for k, bits in rows:
-        out[(k - 1) * 4096:k * 4096] = np.frombuffer(bits, np.uint8)  # bucket 1 holds positions 1 to 32768
-    return out
-
-
-def _keep(keyed: DataFrame, bitmap, inside: bool) -> DataFrame:
-    """Rows whose id is in the bitmap, or the others. ``h``: the hashed id."""
-
-    def run(batches):
-        bits = bitmap.value
-        for batch in batches:
-            h = np.asarray(batch.column(batch.schema.names.index("h"))) - 1
-            h = np.where(h < 0, 0, h)
-            hit = (bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
-            yield batch.filter(pa.array(hit == inside))
-
-    return keyed.mapInArrow(run, keyed.schema)
-
-
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(spans, keyed documents); spans: doc, tag, low, n: the repeated windows' starts [low, low + n)."""
     spark = docs.sparkSession
     arrow_bounds(spark)
     keyed = docs.select("*", F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text)).alias("doc"), F.hash(text).alias("tag"), F.col(text).alias("body"))
-    keyed = keyed.withColumn("h", F.pmod(F.xxhash64("doc"), F.lit(_BITMAP)))
+    keyed = keyed.withColumn("h", id_bit("doc"))
     rows = stored(keyed.select("doc", "tag", "body").where(F.octet_length("body") >= WINDOW).mapInArrow(_found, "a long, f long, doc long, tag int, low long, n int"))
     anchors = rows.groupBy("a").agg(F.count("*").alias("c"), F.min("f").alias("f0"), F.max("f").alias("f1")).where("c > 1").select(F.col("a").alias("b"), (F.col("f0") != F.col("f1")).alias("mixed"))
     several = stored(rows.join(anchors, F.col("a") == F.col("b")).drop("b"))
@@ -276,8 +251,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: in
         "at.doc", "at.tag", "at.low", "at.n", (F.col("c") == 1).alias("alone"),
         F.when(F.col("kinds") > hot, -1).otherwise(F.when(F.col("kinds") > hot // 4, F.xxhash64("a").bitwiseOR(F.lit(1 << 62))).otherwise(F.pmod(F.xxhash64("a"), F.lit(buckets)))).cast("long").alias("bucket"))
     per_doc = stored(wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("low", "n", "alone", "bucket")).alias("wanted")))
-    near = spark.sparkContext.broadcast(_bitmap(per_doc))
-    texts = _keep(keyed.select("doc", "tag", "body", "h"), near, True).dropDuplicates(["doc", "tag"])
+    near = id_bitmap(per_doc, "doc")
+    texts = by_bitmap(keyed.select("doc", "tag", "body", "h"), "h", near, True).dropDuplicates(["doc", "tag"])
     frags = stored(texts.join(per_doc, ["doc", "tag"]).select("body", "doc", "tag", "wanted").mapInArrow(_cut_out, "bucket long, doc long, tag int, low long, n int, alone boolean, frag binary"))
     built = frags.where("bucket <> -1").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_built, "doc long, tag int, low long, n int")
     hot_rows = frags.where("bucket = -1").mapInArrow(_windows, "w long, doc long, tag int, low long")
@@ -293,7 +268,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spans, keyed = repeats(docs, doc_id, text, hot)
     columns = docs.columns
     per_doc = stored(spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("low", "n")).alias("cuts")))
-    near = docs.sparkSession.sparkContext.broadcast(_bitmap(per_doc))
+    near = id_bitmap(per_doc, "doc")
     runs = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]), False)
     schema = T.StructType([*docs.schema.fields, T.StructField(kept, T.BinaryType()), T.StructField(removed, runs)])
 
@@ -318,8 +293,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 gone.append(spans)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in columns), pa.array(outs, pa.binary()), pa.array(gone, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=[*columns, kept, removed])
 
-    hit = _keep(keyed, near, True).join(per_doc, ["doc", "tag"], "left").select(*docs.columns, "body", "cuts").mapInArrow(run, schema)
-    clean = _keep(keyed, near, False).select(*docs.columns, F.coalesce(F.col("body"), F.lit("")).cast("binary").alias(kept), F.array().cast(runs).alias(removed))
+    hit = by_bitmap(keyed, "h", near, True).join(per_doc, ["doc", "tag"], "left").select(*docs.columns, "body", "cuts").mapInArrow(run, schema)
+    clean = by_bitmap(keyed, "h", near, False).select(*docs.columns, F.coalesce(F.col("body"), F.lit("")).cast("binary").alias(kept), F.array().cast(runs).alias(removed))
     return hit.unionByName(clean)
 
 
