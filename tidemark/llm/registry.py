@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, merkle, neardup, quality, suffix
+from . import bpe, chat, decontaminate, merkle, neardup, pii, quality, suffix
 
-MODULES = [neardup, bpe, merkle, suffix, chat, quality, decontaminate]
+MODULES = [neardup, bpe, merkle, pii, suffix, chat, quality, decontaminate]
 
 
 def queries() -> dict:
