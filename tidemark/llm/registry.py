@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, merkle, neardup, pii, quality, suffix
+from . import bpe, chat, decontaminate, htmlcrf, merkle, neardup, pii, quality, suffix, tokencount
 
-MODULES = [neardup, bpe, merkle, pii, suffix, chat, quality, decontaminate]
+MODULES = [neardup, htmlcrf, bpe, merkle, pii, tokencount, suffix, chat, quality, decontaminate]
 
 
 def queries() -> dict:
