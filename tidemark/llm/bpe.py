@@ -138,6 +138,12 @@ class Automaton:
                 parts.extend(map(known, self.split.findall(piece)))
         return np.frombuffer(b"".join(parts), np.int32)
 
+    def rest(self) -> None:
+        """Forget words and arcs met: a worker is reused, by other operators too."""
+        self.words.older = {}
+        self.words.clear()
+        self.arcs.clear()
+
     def decode(self, ids) -> str:
         """The arc labels of the ids, joined."""
         return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
@@ -204,6 +210,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", path: str
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
             kept = [n for n in batch.schema.names if keep_text or n != text]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), column], names=[*kept, ids])
+        machine.rest()
 
     return df.mapInArrow(run, schema)
 

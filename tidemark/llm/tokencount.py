@@ -101,6 +101,7 @@ def token_counts(df: DataFrame, keep: list[str], text: str | None = "text", fiel
             kept = [batch.column(k) for k in range(n_keep)]
             for a in range(0, len(parts), 100):
                 yield _sections(parts[a:a + 100], [c.slice(a, 100) for c in kept], names, machine, widths, rule)
+        machine.rest()
 
     return df.select(*keep, *(F.col(c).cast("string").alias(f"__field{k}") for k, c in enumerate(columns))).mapInArrow(run, schema)
 
