@@ -31,7 +31,7 @@ TURN = r"(?s)<\|(.*?)\|>(.*?)<\|end\|>"
 
 def escape(x: Column) -> Column:
     """Break up each "<|" (and protect what already looks broken up); "|>" too, for roles."""
-    return F.regexp_replace(F.regexp_replace(x, r"<(\\*)\|", r"<$1\\\\|"), r"\|(\\*)>", r"|$1\\\\>")
+    return F.regexp_replace(F.regexp_replace(x, r"<(\\*)\|", r"<$1\\|"), r"\|(\\*)>", r"|$1\\>")
 
 
 def unescape(x: Column) -> Column:
