@@ -17,8 +17,8 @@ names after a form of address.  Each gets a keyed surrogate of its own type:
   and names are replaced word by word, so "Mrs. Ada Byron" and "Ms. Byron" stay one person.
 
 Collision check: the surrogates of all distinct entities are joined to the entities; one that is itself an
-entity of the corpus is permuted again until it is none, which keeps surrogates distinct (cycle walking).
-After ROUNDS rounds the surrogate is the type and a keyed digest.  Only these exceptions, if any, are
+entity of the corpus is made anew with another key until it is neither an entity nor another's surrogate.  After ROUNDS
+rounds the surrogate is the type and a keyed digest.  Only these exceptions, if any, are
 joined to the documents.
 
 Null text stays null and has no entities; an empty table stays empty; repeated rows get equal results.
@@ -163,23 +163,30 @@ def surrogate(entity: Column, kind: Column, key: str = KEY) -> Column:
 
 
 def _exceptions(entities: DataFrame, key: str) -> DataFrame | None:
-    """(entity, surrogate) of the entities whose plain surrogate is an entity itself; None without any."""
-    known = stored(entities.groupBy("entity").agg(F.first("kind").alias("kind")))
+    """(entity, surrogate) of the entities whose plain surrogate is an entity itself; None without any.
+
+    Each round tries another key for those left.  A try stands if it is no entity, no surrogate given before and
+    the only one of its round (else the smallest entity keeps it).
+    """
+    known = stored(entities.groupBy("entity").agg(F.min("kind").alias("kind")))
     first = stored(known.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), key)))
-    clash = lambda df: df.join(known.select(F.col("entity").alias("surrogate")), "surrogate", "left_semi")
-    bad = stored(clash(first))
-    if bad.isEmpty():
+    names = known.select(F.col("entity").alias("surrogate"))
+    left = stored(first.join(names, "surrogate", "left_semi").select("entity", "kind"))
+    if left.isEmpty():
         return None
-    done = None
-    for _ in range(ROUNDS):
-        moved = stored(bad.withColumn("surrogate", surrogate(F.col("surrogate"), F.col("kind"), key)))
-        bad = stored(clash(moved))
-        good = moved.join(bad.select("entity"), "entity", "left_anti")
-        done = good if done is None else done.unionByName(good)
-        if bad.isEmpty():
+    given = [first.join(names, "surrogate", "left_anti").select("entity", "surrogate")]
+    done = []
+    for r in range(1, ROUNDS + 1):
+        taken = reduce(DataFrame.union, (g.select("surrogate") for g in given), names)
+        tried = left.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), f"{key}\x1e{r}")).join(taken, "surrogate", "left_anti")
+        good = stored(tried.groupBy("surrogate").agg(F.min("entity").alias("entity")).select("entity", "surrogate"))
+        given.append(good)
+        done.append(good)
+        left = stored(left.join(good.select("entity"), "entity", "left_anti"))
+        if left.isEmpty():
             break
-    rest = bad.withColumn("surrogate", F.concat(F.upper("kind"), F.lit("-"), F.substring(F.sha2(F.concat(F.lit(key + "\x1frest\x1f"), F.col("entity")), 256), 1, 32)))
-    return stored(done.unionByName(rest).select("entity", "surrogate"))
+    rest = left.select("entity", F.concat(F.upper("kind"), F.lit("-"), F.substring(F.sha2(F.concat(F.lit(key + "\x1frest\x1f"), F.col("entity")), 256), 1, 32)).alias("surrogate"))
+    return stored(reduce(DataFrame.union, done, rest))
 
 
 def pseudonymize(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
