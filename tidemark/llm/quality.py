@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import _BASE, arrow_bounds, distinct_name, mix, prefix_hash, read, slices, span_hash, stored
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
+#: Counts travel in arrays of so many buckets.
+STRIP = 1024
 MAX_LABELLED = 100_000
 CLEAR = 1.0
 #: Each bucket's pseudo-count, in both models in proportion to their sizes: rare buckets stay near ratio 1.
@@ -35,6 +37,8 @@ PRIOR = 2.0
 KEEP = 2.0
 SPREAD = 0.25
 
+_STRIPS = "strip long, raw array<long>, target array<long>, contrast array<long>"
+
 #: 1: word bytes, 2: marks, 0: white space and controls.
 _KIND = np.where(np.arange(256) <= 0x20, 0, 2).astype(np.int8)
 _KIND[0x30:0x3A] = _KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _KIND[0x80:] = 1
@@ -71,8 +75,29 @@ def _counts(batches, labelled):
             raw += np.bincount(bucket, minlength=BUCKETS)
             target += np.bincount(bucket[is_good[a:b][text]], minlength=BUCKETS)
             contrast += np.bincount(bucket[is_bad[a:b][text]], minlength=BUCKETS)
-    some = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some]), pa.array(contrast[some])], names=["bucket", "raw", "target", "contrast"])
+    for k in range(0, BUCKETS // STRIP, 64):
+        yield _strips(np.arange(k, k + 64), [c[k * STRIP:(k + 64) * STRIP] for c in (raw, target, contrast)])
+
+
+def _strips(strip: np.ndarray, counts: list[np.ndarray]) -> pa.RecordBatch:
+    offsets = pa.array(np.arange(len(strip) + 1, dtype=np.int32) * STRIP)
+    return pa.RecordBatch.from_arrays([pa.array(strip), *(pa.ListArray.from_arrays(offsets, pa.array(c)) for c in counts)], names=["strip", "raw", "target", "contrast"])
+
+
+def _added(batches):
+    """Sums of the strips; rows come sorted by strip, and one sum is held at a time."""
+    at, total = None, None
+    for batch in batches:
+        values = [np.asarray(batch.column(k).flatten()).reshape(-1, STRIP) for k in (1, 2, 3)]
+        for i, strip in enumerate(np.asarray(batch.column(0)).tolist()):
+            if strip != at:
+                if at is not None:
+                    yield _strips(np.array([at]), total)
+                at, total = strip, [np.zeros(STRIP, np.int64) for _ in range(3)]
+            for t, v in zip(total, values, strict=True):
+                t += v[i]
+    if at is not None:
+        yield _strips(np.array([at]), total)
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray, contrast: np.ndarray) -> np.ndarray:
@@ -81,7 +106,7 @@ def log_ratio(raw: np.ndarray, target: np.ndarray, contrast: np.ndarray) -> np.n
         return np.log((target + PRIOR) / (counts * (target.sum() / max(1, counts.sum())) + PRIOR))
 
     ratio, check = against(raw), against(contrast)
-    return np.where((np.abs(check) >= CLEAR) & (check * ratio > 0), ratio, 0.0)
+    return np.where((np.abs(check) >= CLEAR) & (check * ratio > 0), ratio, 0.0).astype(np.float32)
 
 
 def _weights(batches, ratio):
@@ -139,10 +164,10 @@ def importance(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     fit = dict(list(label.items())[::2])  # in hash order: every other one fits the models, the others set the threshold
     sent = spark.sparkContext.broadcast(tuple(np.array(sorted(i for i, g in fit.items() if g is kind), np.int64) for kind in (True, False)))
     pairs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    found = pairs.mapInArrow(lambda it: _counts(it, sent), "bucket long, raw long, target long, contrast long")
+    found = pairs.mapInArrow(lambda it: _counts(it, sent), _STRIPS).repartition("strip").sortWithinPartitions("strip").mapInArrow(_added, _STRIPS)
     counts = np.zeros((3, BUCKETS), np.int64)
-    got = found.groupBy("bucket").agg(F.sum("raw").alias("r"), F.sum("target").alias("t"), F.sum("contrast").alias("c")).toPandas()  # BUCKETS rows at most
-    counts[:, got["bucket"].to_numpy(int)] = got[["r", "t", "c"]].to_numpy(np.int64).T
+    for r in found.toLocalIterator():  # BUCKETS numbers of each kind in all
+        counts[:, r["strip"] * STRIP:(r["strip"] + 1) * STRIP] = r["raw"], r["target"], r["contrast"]
     ratio = spark.sparkContext.broadcast(log_ratio(*counts))
     taken = distinct_name(docs.columns, "log_weight")
     picked = distinct_name([*docs.columns, taken], "selected")
