@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.checks import FittingError, ValidationError
 from ..functions.exprs import EPS, LOG_EPS
@@ -176,7 +176,7 @@ def marked_intensity(decode: DataFrame, joint: dict, rates: dict, occupancy: Mix
     points = np.atleast_2d(points)
     sent = spark.sparkContext.broadcast((joint, {u: np.log(max(r, EPS)) for u, r in rates.items()}, occupancy.log_prob(points)))
     names = list(marks)
-    schema = decode.select(unit, event).schema.add("ll", "array<double>")
+    schema = T.StructType([decode.schema[unit], decode.schema[event], T.StructField("ll", T.ArrayType(T.DoubleType(), False))])
 
     def run(frames):
         models, log_rate, log_occ = sent.value
