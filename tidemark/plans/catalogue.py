@@ -293,12 +293,12 @@ def backward_walk(spark, d):
     return _rows(spark, transitions.BackwardWalk("grid", 900.0).matrix([GRID.fit(None, ["value"])]))
 
 
-@query("SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, 0.05 AS p FROM range(20) a(i), range(20) b(i)")
+@query("SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, 0.05::DOUBLE AS p FROM range(20) a(i), range(20) b(i)")
 def uniform_transition(spark, d):
     return _rows(spark, transitions.Uniform("grid").matrix([GRID.fit(None, ["value"])]))
 
 
-@query("SELECT i::INTEGER AS i, i::INTEGER AS j, 1.0 AS p FROM range(20) r(i)")
+@query("SELECT i::INTEGER AS i, i::INTEGER AS j, 1.0::DOUBLE AS p FROM range(20) r(i)")
 def identity_transition(spark, d):
     return _rows(spark, transitions.Identity("grid").matrix([GRID.fit(None, ["value"])]))
 
