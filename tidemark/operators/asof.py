@@ -20,13 +20,15 @@ def interpolate(targets: DataFrame, samples: DataFrame, values: list[str], keys:
     both = left.withColumn("__row", F.lit(None).cast(right.schema["__row"].dataType)).unionByName(right.withColumn("__s", F.lit(None).cast(left.schema["__s"].dataType)))
     key = [F.col(k) for k in keys]
     ordered = Window.partitionBy(*key).orderBy("__at", "__kind")
-    past, future = ordered.rowsBetween(Window.unboundedPreceding, 0), ordered.rowsBetween(1, Window.unboundedFollowing)
+    past = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    # What follows is looked at in reverse order: a frame that grows is summed up once, one that shrinks is not.
+    future = Window.partitionBy(*key).orderBy(F.desc("__at"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, -1)
     # Each sample also knows its neighbours, which serve beyond the ends.
     own = Window.partitionBy(*key, "__kind").orderBy("__at")
     both = both.withColumn("__prev", F.when(F.col("__kind") == 0, F.lag("__s").over(own))).withColumn("__next", F.when(F.col("__kind") == 0, F.lead("__s").over(own)))
     seen = F.struct(F.col("__s").alias("s"), F.col("__prev").alias("p"), F.col("__next").alias("n"))
     both = both.withColumn("__pair", F.when(F.col("__kind") == 0, seen))
-    both = both.withColumn("__before", F.last("__pair", ignorenulls=True).over(past)).withColumn("__after", F.first("__pair", ignorenulls=True).over(future))
+    both = both.withColumn("__before", F.last("__pair", ignorenulls=True).over(past)).withColumn("__after", F.last("__pair", ignorenulls=True).over(future))
     hit = both.where("__kind = 1")
     a = F.coalesce(F.when(F.col("__after").isNull(), F.coalesce(F.col("__before.p"), F.col("__before.s"))).otherwise(F.col("__before.s")), F.col("__after.s"))
     b = F.when(F.col("__after").isNull(), F.col("__before.s")).when(F.col("__before").isNull(), F.coalesce(F.col("__after.n"), F.col("__after.s"))).otherwise(F.col("__after.s"))
