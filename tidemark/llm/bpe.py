@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import arrow_bounds, distinct_name, read
 
 #: A worker's memory of words, in two generations of so many: what was not met since the last change is forgotten.
-MAX_WORDS = 250_000
-MAX_ARCS = 1_500_000
+MAX_WORDS = 200_000
+MAX_ARCS = 500_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -45,14 +45,12 @@ class Automaton:
     """Tokens, merge gadgets and the transition table made from them."""
 
     def __init__(self, spec: dict, pattern: str):
-        alphabet = _byte_of_char()
         vocab = spec["model"]["vocab"]
-        self.label = {i: bytes(alphabet[c] for c in s) for s, i in vocab.items()}
+        self.label = labels(spec)
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-        self.label |= {i: s.encode() for s, i in self.special.items()}
         self.split = regex.compile(pattern)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.born = {i: -1 for i, b in self.label.items() if len(b) == 1}
+        self.born = {i: -1 for i in vocab.values() if len(self.label[i]) == 1}
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         for k, pair in enumerate(spec["model"]["merges"]):
@@ -94,18 +92,27 @@ class Automaton:
                 p, y, before = v, u, made_p
 
     def path(self, word: bytes) -> list[int]:
-        """The ids of the one accepting path of a pre-split word."""
+        """The ids of the one accepting path of a pre-split word.
+
+        Arcs are followed from the start, the longest token first.  As a prefix has one path only, a place from which
+        no arc leads on lies on no accepting path and is not tried again.
+        """
         n = len(word)
-        last, back = [-1] * (n + 1), [0] * (n + 1)
         trie, ends, arcs, everything = self.trie, self.ends, self.arcs, len(self.merged)
-        for s in range(n):
-            state, node = last[s], 0
-            for e in range(s, n):
-                node = trie.get(node << 8 | word[e])
-                if node is None:
-                    break
-                y = ends[node]
-                if y < 0 or last[e + 1] >= 0:
+        out, opened, closed = [], [], set()
+        at, state, choices = 0, -1, None
+        while at < n:
+            if choices is None:
+                choices, node = [], 0
+                for e in range(at, n):
+                    node = trie.get(node << 8 | word[e])
+                    if node is None:
+                        break
+                    if ends[node] >= 0:
+                        choices.append((ends[node], e + 1))
+            while choices:
+                y, e = choices.pop()
+                if e in closed:
                     continue
                 if state >= 0:
                     key = state << 32 | y
@@ -116,12 +123,15 @@ class Automaton:
                         ok = arcs[key] = self.gadget(state, y, everything)
                     if not ok:
                         continue
-                last[e + 1], back[e + 1] = y, s
-        out = []
-        while n:
-            out.append(last[n])
-            n = back[n]
-        return out[::-1]
+                out.append(y)
+                opened.append((at, state, choices))
+                at, state, choices = e, y, None
+                break
+            else:
+                closed.add(at)
+                out.pop()
+                at, state, choices = opened.pop()
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text as int32."""
@@ -146,7 +156,18 @@ class Automaton:
 
     def decode(self, ids) -> str:
         """The arc labels of the ids, joined."""
-        return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
+        return emit(self.label, ids)
+
+
+def emit(label: dict[int, bytes], ids) -> str:
+    return b"".join(map(label.__getitem__, ids)).decode("utf-8", "replace")
+
+
+def labels(spec: dict) -> dict[int, bytes]:
+    """The bytes of each token, special ones included; all that decoding needs."""
+    alphabet = _byte_of_char()
+    plain = {i: bytes(alphabet[c] for c in s) for s, i in spec["model"]["vocab"].items()}
+    return plain | {x["id"]: x["content"].encode() for x in spec.get("added_tokens", [])}
 
 
 class _Memory(dict):
@@ -173,6 +194,11 @@ def _compiled(spec: str, pattern: str) -> Automaton:
     return Automaton(json.loads(spec), pattern)
 
 
+@lru_cache(maxsize=2)
+def _labels(spec: str) -> dict[int, bytes]:
+    return labels(json.loads(spec))
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> tuple[str, str]:
     """Read on the driver; executors get the text of the file, not its path."""
@@ -193,26 +219,35 @@ def automaton(path: str | None = None) -> Automaton:
     return _compiled(*load(path or default_path()))
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", path: str | None = None, keep_text: bool = True) -> DataFrame:
-    """``df`` with an array<int> column of the ids of the whole text (name made distinct if taken)."""
+def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", path: str | None = None, keep_text: bool = True, decoded: str | None = None) -> DataFrame:
+    """``df`` with an array<int> column of the ids of the whole text (name made distinct if taken).
+
+    ``decoded`` names a further column with the text that the ids decode to, made in the same pass: a worker
+    of its own for decoding would hold the labels a second time.
+    """
     spark = df.sparkSession
     arrow_bounds(spark)
     spec = spark.sparkContext.broadcast(load(path or default_path()))  # a vocabulary file, 1.5 MB
-    ids = distinct_name(df.columns, ids)
-    schema = T.StructType([f for f in df.schema.fields if keep_text or f.name != text] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    kept = [c for c in df.columns if keep_text or c != text]
+    ids = distinct_name(kept, ids)
+    fields = [*(df.schema[c] for c in kept), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
+    if decoded is not None:
+        fields.append(T.StructField(distinct_name([*kept, ids], decoded), T.StringType(), False))
+    names = [f.name for f in fields]
 
     def run(batches):
         machine = _compiled(*spec.value)
         for batch in batches:
-            got = [machine.encode(t) for t in batch.column(text).to_pylist()]
+            got = [machine.encode(t) for t in batch.column(batch.schema.names.index(text)).to_pylist()]
             offsets = np.cumsum([0, *map(len, got)]).astype(np.int32)
             values = np.concatenate(got) if got else np.empty(0, np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
-            kept = [n for n in batch.schema.names if keep_text or n != text]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), column], names=[*kept, ids])
+            made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))]
+            if decoded is not None:
+                made.append(pa.array([emit(machine.label, g.tolist()) for g in got], pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in kept), *made], names=names)
         machine.rest()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, T.StructType(fields))
 
 
 def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded", path: str | None = None) -> DataFrame:
@@ -224,11 +259,11 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded", path: s
     schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType(), False)])
 
     def run(batches):
-        machine = _compiled(*spec.value)
+        label = _labels(spec.value[0])
         for batch in batches:
             lists = batch.column(batch.schema.names.index(ids))
             flat, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
-            out = [machine.decode(flat[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            out = [emit(label, flat[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, text])
 
     return df.mapInArrow(run, schema)
@@ -237,7 +272,7 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded", path: s
 def op3_bpe(spark, sf_dir: str) -> DataFrame:
     """Each whole text encoded and decoded; the digests are taken from the ids and the decoded text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, keep_text=False))
+    out = encode(docs, keep_text=False, decoded="decoded")
     return out.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.size("token_ids").cast("long").alias("n_tokens"),

@@ -34,7 +34,7 @@ THRESHOLD = 0.8
 BANDS, ROWS, GROUPS = 64, 8, 8
 GROUPED = 64
 #: A tile holds about so many documents and shingles of each of its two sides.
-TILE_DOCS, TILE_SHINGLES = 1024, 400_000
+TILE_DOCS, TILE_SHINGLES = 512, 200_000
 #: Shingles of more documents of a tile are multiplied as a matrix, others are paired one by one.
 DENSE = 48
 
@@ -123,7 +123,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, int)
     count = np.diff(np.append(first, len(flat)))
     of = np.repeat(np.arange(len(first)), count)
-    out = np.zeros(m * m, np.int64)
+    out = np.zeros(m * m, np.int32)
     dense = count >= min(DENSE, max(8, m))
     at = np.flatnonzero(~dense[of] & (count[of] > 1)) if len(of) else np.empty(0, int)
     sparse_owner, sparse_of = owner[at], of[at]
@@ -131,18 +131,18 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         same = np.flatnonzero(sparse_of[d:] == sparse_of[:-d]) if len(sparse_of) > d else []
         if not len(same):
             break
-        out += np.bincount(sparse_owner[same] * m + sparse_owner[same + d], minlength=m * m)
+        np.add.at(out, sparse_owner[same] * m + sparse_owner[same + d], 1) if len(same) < m * m // 8 else np.add(out, np.bincount(sparse_owner[same] * m + sparse_owner[same + d], minlength=m * m), out=out, casting="unsafe")
     total = out.reshape(m, m)
     total = total + total.T
     columns = np.flatnonzero(dense)
-    for k in range(0, len(columns), 4096):
-        some = columns[k:k + 4096]
+    for k in range(0, len(columns), 2048):
+        some = columns[k:k + 2048]
         x = np.zeros((m, len(some)), np.float32)
         seat = np.full(len(first), -1)
         seat[some] = np.arange(len(some))
         mine = np.flatnonzero(seat[of] >= 0)
         x[owner[mine], seat[of[mine]]] = 1
-        total += (x @ x.T).astype(np.int64)
+        total += (x @ x.T).astype(np.int32)
     return total
 
 
