@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.bpe import decode, encode
+from tidemark.llm.bpe import encode
 from tidemark.llm.common import read, stored
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.neardup import jaccard_join
@@ -45,7 +45,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with the proof that they decode to it."""
-    out = decode(encode(docs))
+    out = encode(docs, decoded="decoded")
     rest = [c for c in docs.columns if c != "text"]
     return out.select(*rest, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("decodes"))
 
