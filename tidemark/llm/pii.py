@@ -52,9 +52,9 @@ KINDS = [
     ("secret", r"(?i:\b(?:token|secret|api[_-]?key|password)) ?[=:] ?\"[^\"\n]{8,200}\""),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}\b"),
     ("phone", r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)"),
-    ("card", r"(?<![\d.])\d{4}(?:[ -]?\d{4}){3}(?![\d.]\d|\d)"),
+    ("card", r"(?<!\d)(?<!\d\.)\d{4}(?:[ -]?\d{4}){3}(?!\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"),
+    ("ip", r"(?<!\d)(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"),
     ("name", r"(?<!\p{L})(?:" + "|".join(t.replace(".", r"\.") for t in TITLES) + r") " + _NAME + r"(?: " + _NAME + r"){0,2}"),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
