@@ -85,11 +85,6 @@ def _shift(c: Column, by: Column, classes: list[str]) -> Column:
     return reduce(in_class, reversed(classes), c)
 
 
-def _stream(key: str, tweak: Column, i: Column) -> Column:
-    """Byte i (again from the start after 32) of the keyed digest of the tweak."""
-    return F.conv(F.substring(F.sha2(F.concat(F.lit(key + "\x1f"), tweak), 256), F.pmod(i, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-
-
 def permute(s: Column, key: str, classes: list[str] = CLASSES) -> Column:
     """Keyed bijection on strings that keeps length and the class of each character."""
     half = F.floor(F.char_length(s) / 2).cast("int")
