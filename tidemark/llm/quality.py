@@ -5,7 +5,7 @@ text, over all documents, and the target, over documents labelled good and not t
 importance weight is the sum over its n-grams of the log ratio target / raw.  An n-gram counts only where
 the documents labelled bad confirm the ratio clearly (a ratio of e**CLEAR against them, of the same sign):
 else the rare words of long or often copied documents would outweigh all others.  At most MAX_LABELLED
-labelled documents are used, those with the smallest hash of their id; every other one fits the models.
+labelled documents are used, those with the smallest hash of their id; about half of them fit the models.
 
 k is the number of documents that the labelled sample calls for: those whose weight reaches the threshold
 that best separates good from bad among the other half of the labelled documents.  The k documents with the largest
@@ -159,23 +159,24 @@ def importance(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     arrow_bounds(spark)
     toxic = F.coalesce(F.col("toxic"), F.lit(0)) if "toxic" in labels.columns else F.lit(0)
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min((F.col("quality") == 1) & (toxic == 0)).alias("good"))
-    sample = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled).collect()  # bounded
-    label = {r["id"]: r["good"] for r in sample}
-    fit = dict(list(label.items())[::2])  # in hash order: every other one fits the models, the others set the threshold
-    sent = spark.sparkContext.broadcast(tuple(np.array(sorted(i for i, g in fit.items() if g is kind), np.int64) for kind in (True, False)))
+    sample = known.withColumn("order", F.xxhash64("id")).orderBy("order", "id").limit(max_labelled).select("id", "good", (F.pmod(F.shiftright("order", 7), F.lit(2)) == 0).alias("fits"))
+    label = sample.toArrow()  # max_labelled rows at most
+    ids, good, fits = (label.column(k).to_numpy() for k in range(3))
+    sent = spark.sparkContext.broadcast(tuple(np.sort(ids[fits & (good == kind)]).astype(np.int64) for kind in (True, False)))
     pairs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    found = pairs.mapInArrow(lambda it: _counts(it, sent), _STRIPS).repartition("strip").sortWithinPartitions("strip").mapInArrow(_added, _STRIPS)
-    counts = np.zeros((3, BUCKETS), np.int64)
-    for r in found.toLocalIterator():  # BUCKETS numbers of each kind in all
-        counts[:, r["strip"] * STRIP:(r["strip"] + 1) * STRIP] = r["raw"], r["target"], r["contrast"]
-    ratio = spark.sparkContext.broadcast(log_ratio(*counts))
+    found = pairs.mapInArrow(lambda it: _counts(it, sent), _STRIPS).repartition("strip").sortWithinPartitions("strip").mapInArrow(_added, _STRIPS).toArrow()  # BUCKETS numbers of each kind
+    counts, at = np.zeros((3, BUCKETS // STRIP, STRIP), np.int64), found.column("strip").to_numpy()
+    for k, c in enumerate(("raw", "target", "contrast")):
+        if len(at):
+            counts[k, at] = found.column(c).combine_chunks().flatten().to_numpy().reshape(-1, STRIP)
+    ratio = spark.sparkContext.broadcast(log_ratio(*counts.reshape(3, -1)))
+    del found, counts, label
     taken = distinct_name(docs.columns, "log_weight")
     picked = distinct_name([*docs.columns, taken], "selected")
     noise = -F.log(-F.log((F.pmod(F.col("h"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))))
     keys = stored(pairs.select("id", F.xxhash64(F.lit("gumbel"), "id", "text").alias("h"), "text").mapInArrow(lambda it: _weights(it, ratio), "id long, h long, weight double").withColumn("key", F.col("weight") + F.lit(spread) * noise))
-    ids = spark.createDataFrame([(i, bool(g)) for i, g in label.items() if i not in fit] or [(None, None)], "id long, good boolean").where("good is not null")
-    judged = keys.join(F.broadcast(ids), "id").select("weight", "good").limit(2 * max_labelled).toPandas()
-    cut = threshold(judged["weight"].to_numpy(float), judged["good"].to_numpy(bool))
+    judged = keys.join(F.broadcast(sample.where("not fits")), "id").select("weight", "good").limit(2 * max_labelled).toArrow()
+    cut = threshold(judged.column(0).to_numpy(), judged.column(1).to_numpy().astype(bool))
     k = keys.where(F.col("weight") >= cut).count()
     n = keys.count()
     key, h, rest = _kth(keys, k) if 0 < k < n else (float("-inf") if k else float("inf"), None, 0)
