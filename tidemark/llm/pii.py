@@ -77,12 +77,22 @@ def kind_of(entity: Column) -> Column:
 
 
 def _shift(c: Column, by: Column, classes: list[str]) -> Column:
-    """The character ``by`` places on in its class."""
-    def in_class(rest, cls):
-        at = F.instr(F.lit(cls), c)
-        return F.when(at > 0, F.substring(F.lit(cls), F.pmod(at - 1 + by, F.lit(len(cls))) + 1, F.lit(1))).otherwise(rest)
+    """The character ``by`` places on in its class.
 
-    return reduce(in_class, reversed(classes), c)
+    The classes stand in one string; a second one of the same length tells each character's class, which keeps
+    the expression short whatever the number of classes.
+    """
+    joined = "".join(classes)
+    which = "".join(chr(97 + k) * len(x) for k, x in enumerate(classes))
+    starts = [1 + sum(map(len, classes[:k])) for k in range(len(classes))]
+
+    def moved(at):
+        k = F.ascii(F.substring(F.lit(which), at, F.lit(1))) - 96
+        start = F.element_at(F.expr(f"array({', '.join(map(str, starts))})"), k)
+        size = F.element_at(F.expr(f"array({', '.join(str(len(x)) for x in classes)})"), k)
+        return F.when(at == 0, c).otherwise(F.substring(F.lit(joined), start + F.pmod(at - start + by, size), F.lit(1)))
+
+    return F.element_at(F.transform(F.array(F.instr(F.lit(joined), c)), moved), 1)
 
 
 def permute(s: Column, key: str, classes: list[str] = CLASSES) -> Column:
