@@ -219,9 +219,9 @@ inten AS (SELECT de.vec_id, bin, greatest(ln(rate * avg(exp(-0.5 * (power((de.m0
 FROM de JOIN en USING (unit) CROSS JOIN pts JOIN occ USING (bin) JOIN rt USING (unit) GROUP BY de.vec_id, bin, rate, occ)"""
 
 
-def _marked(spark, d):
+def _marked(spark, d, whole: bool = False):
     v = mark_rows(spark, d, 3).select(F.col("vec_id").alias("event_id"), "unit", (F.col("m0") * 500 + 250).alias("x"), (F.col("m1") * 100).alias("m0"), (F.col("m2") * 100).alias("m1"))
-    en, de = v.where("event_id % 5 <> 0"), v.where("event_id % 5 = 0")
+    en, de = (v, v) if whole else (v.where("event_id % 5 <> 0"), v.where("event_id % 5 = 0"))
     occ = np.array([r["density"] for r in kde.kde(en, ["x"], POINTS, 30.0).orderBy("bin").collect()])
     return en, de, kde.mark_intensity(de, en, kde.mean_rates(en, en), occ, POINTS, ["m0", "m1"], ["x"], 24.0, 30.0)
 
@@ -259,10 +259,10 @@ def gmm_fit(spark, d):
 
 @query()
 def glm_fields(spark, d):
-    ev = event_rows(spark, d).where("value < 400")
+    ev = event_rows(spark, d)
     rows = ev.select("value", F.when(F.col("unit") == "click", 1).otherwise(0).alias("n"))
     design = glm.Design.over(rows, ["value"], 100.0)
-    return glm.fields(design, {"click": glm.fit_poisson(rows, design, ["value"])}, POINTS[:16], spark).withColumn("field", F.round("field", 6))
+    return glm.fields(design, {"click": glm.fit_poisson(rows, design, ["value"])}, POINTS, spark).withColumn("field", F.round("field", 6))
 
 
 # --- transitions ------------------------------------------------------------------------------
@@ -641,4 +641,77 @@ def decode_position(spark, d):
     return out.select("t_idx", "name", "bin", _r("acausal"))
 
 
+# --- whole tables -----------------------------------------------------------------------------
+# The queries of these names without "_whole" keep to the rows and bins of their SQL; these take all of them.
+
+def _lerp_whole(spark, d, extrapolate: bool):
+    ev = event_rows(spark, d)
+    targets = ev.select("unit").distinct().crossJoin(_half_hours(spark))
+    return asof.interpolate(targets, ev.select("unit", "t", "value"), ["value"], ["unit"], extrapolate=extrapolate).select("unit", "t_idx", _r("value", 5))
+
+
+@query()
+def asof_lerp_whole(spark, d):
+    return _lerp_whole(spark, d, True)
+
+
+@query()
+def asof_lerp_clamp_whole(spark, d):
+    return _lerp_whole(spark, d, False)
+
+
+@query()
+def kde_log_density_whole(spark, d):
+    out = kde.kde(event_rows(spark, d), ["value"], POINTS, STD, by=["unit"], log=True)
+    return out.select("unit", "bin", _r("density"))
+
+
+@query()
+def place_fields_whole(spark, d):
+    return _fields(spark, d).select("unit", "bin", _r("rate"), _r("field"))
+
+
+@query()
+def poisson_loglik_whole(spark, d):
+    ll = kde.poisson_loglik(hourly(spark, d), _fields(spark, d), len(POINTS))
+    return ll.select("t_idx", F.posexplode("ll").alias("bin", "ll")).select("t_idx", F.col("bin").cast("long").alias("bin"), _r("ll", 4))
+
+
+@query()
+def mark_intensity_whole(spark, d):
+    ll = _marked(spark, d, True)[2]
+    return ll.select(F.col("event_id").alias("vec_id"), F.posexplode("ll").alias("bin", "ll")).select("vec_id", F.col("bin").cast("long").alias("bin"), _r("ll", 5))
+
+
+@query()
+def marked_loglik_whole(spark, d):
+    en, de, ll = _marked(spark, d, True)
+    when = de.select("event_id", F.pmod(F.floor(F.col("event_id") / 5), F.lit(40)).alias("t_idx"))
+    ground = kde.ground_intensity(en, en, ["x"], POINTS, 30.0).withColumn("bin", F.col("bin").cast("int"))
+    out = kde.marked_loglik(ll, when, ground, spark.range(40).withColumnRenamed("id", "t_idx"), len(POINTS))
+    return out.select("t_idx", F.posexplode("ll").alias("bin", "ll")).select("t_idx", F.col("bin").cast("long").alias("bin"), _r("ll", 4))
+
+
+@query()
+def speed_whole(spark, d):
+    return windows.speed(event_rows(spark, d), ["value"], t="t", order="t", keys=["unit"]).select("event_id", _r("speed", 5))
+
+
+@query()
+def local_penalty_whole(spark, d):
+    env = GRID.fit(None, ["value"])
+    return _explode(likelihood.non_local_penalty(event_rows(spark, d), env, 3.0, 50.0, ["value"]), "penalty").withColumn("penalty", F.col("penalty") + 0.0)
+
+
+@query()
+def local_kernel_whole(spark, d):
+    return _explode(likelihood.local_kernel(event_rows(spark, d), GRID.fit(None, ["value"]), 40.0, ["value"]), "kernel")
+
+
+@query()
+def local_delta_kernel_whole(spark, d):
+    out = likelihood.local_kernel(event_rows(spark, d), GRID.fit(None, ["value"]), 0.0, ["value"])
+    return _explode(out, "kernel").where("kernel > -1e300")
+
+
 assert math.isfinite(X.LOG_EPS)
