@@ -79,3 +79,24 @@ def test_edges(spark):
     assert quality.importance(df.limit(0), none).count() == 0
     again = quality.importance(df, none.limit(0)).agg(F.count_if("selected_")).first()[0]
     assert again == 4
+
+
+def test_toxic_forms_that_no_label_has(spark):
+    """Well-written documents with a few words of a toxic stem, each with an ending of its own, go; the others stay."""
+    r = random.Random(6)
+    words = ["".join(r.choice("abdefgiklmnoprstuv") for _ in range(r.randrange(3, 9))) for _ in range(800)]
+    rows, labels = [], []
+    for k in range(900):
+        w = [r.choice(words) for _ in range(r.randrange(40, 300))]
+        if toxic := k % 9 == 0:
+            for j in range(3):
+                w[r.randrange(len(w))] = f"zworq{k}x{j}"
+        bad = k % 9 == 4
+        rows.append((k, " ".join(x + "###" if bad else x for x in w)))
+        if k % 18 < 9:
+            labels.append((k, int(not bad), int(toxic)))
+    out = {x["doc_id"]: x["selected"] for x in quality.importance(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    other = [k for k in out if k % 18 >= 9]
+    assert not [k for k in other if k % 9 == 0 and out[k]]
+    assert np.mean([not out[k] for k in other if k % 9 == 4]) > 0.9
+    assert np.mean([out[k] for k in other if k % 9 not in (0, 4)]) > 0.95
