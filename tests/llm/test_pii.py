@@ -78,3 +78,32 @@ def test_edges(spark, tmp_path):
     assert pii.pseudonymize(long).first()["entities"][0]["entity"] == "1.2.3.4"
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert [r["n_entities"] for r in pii.op5_surrogates(spark, str(tmp_path)).collect()] == [1, 1]
+
+
+WHOLE = {
+    "iban": ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "DE89 3704 0044 0532 0130 00", "NO9386011117947"],
+    "secret": ['token="' + "a1" * 200 + '"', 'password: "abc12"', "secret = 'x9y8z7w6v5'", "api_key=9b0b3c6a43eb78aa"],
+    "card": ["378282246310005", "3782 822463 10005", "4222222222222", "6304000000000000000", "4111 1111 1111 1111"],
+    "phone": ["(555) 123-4567", "555-123-4567", "020 7946 0958", "01 23 45 67 89", "030/1234567", "+1 (243) 555-5526"],
+    "name": ["Mrs. Anna Maria Luisa Byron"],
+}
+
+
+@pytest.mark.parametrize("kind", sorted(WHOLE))
+def test_entities_are_taken_whole(spark, kind):
+    for r, e in zip(entities(spark, [f"see {e}, and" for e in WHOLE[kind]]), WHOLE[kind], strict=True):
+        assert [(x["kind"], x["entity"]) for x in r["entities"]] == [(kind, e)]
+        new = r["entities"][0]["surrogate"]
+        assert new != e and len(new) == len(e) or kind == "name"
+        assert r["text"] == f"see {new}, and"
+        if kind == "card":
+            assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", e)
+            digits = [int(c) for c in re.sub(r"\D", "", new)][::-1]
+            assert sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
+
+
+def test_digits_that_are_no_card_stay(spark):
+    text = "at 1704067200001 from 1.2.3.4"
+    r = entities(spark, [text])[0]
+    assert [x["kind"] for x in r["entities"]] == ["ip"] and r["text"].startswith("at 1704067200001 from ")
+    assert entities(spark, ["at 1704067200001"])[0]["text"] == "at 1704067200001"

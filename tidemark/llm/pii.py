@@ -1,8 +1,9 @@
 """Surrogates for personal data, in DataFrame expressions only.
 
-Entities are found by one regular expression: e-mail addresses, international phone numbers, IPv4
-addresses, payment-card numbers, national and bank numbers, access keys and quoted secrets, and personal
-names after a form of address.  Each gets a keyed surrogate of its own type:
+Entities are found by one regular expression: e-mail addresses, international and usual national phone numbers,
+IPv4 addresses, payment-card numbers, national and bank numbers, access keys and secrets after their label, and
+personal names after a form of address.  16 digits in fours are a card; other runs of 13 to 19 digits are one
+where their Luhn check holds.  Each gets a keyed surrogate of its own type:
 
 * A string is permuted by a Feistel network over its halves; each round shifts the characters of one half
   within their class by amounts taken from a keyed SHA-256 of the other half.  Classes are digits, hex
@@ -45,18 +46,23 @@ GIVEN = {
 }
 
 _NAME = r"\p{Lu}[\p{L}'’-]+"
+_LABEL = r"(?i:\b(?:token|secret|api[_-]?key|password)) ?[=:] ?"
 #: Kind and pattern, in order of precedence; a match is the whole entity.
 KINDS = [
     ("email", r"[\p{L}\p{N}_%+-]+(?:\.[\p{L}\p{N}_%+-]+)*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"),
     ("key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
-    ("secret", r"(?i:\b(?:token|secret|api[_-]?key|password)) ?[=:] ?\"[^\"\n]{8,200}\""),
-    ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}\b"),
+    ("secret", _LABEL + r"(?:\"[^\"\n]+\"|'[^'\n]+'|(?=[^\s\"',;]*\d)[^\s\"',;]{5,}[\p{L}\p{N}/+=_-])"),
+    ("iban", r"\b[A-Z]{2}\d{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?:[A-Z0-9]{1,3}| (?=[A-Z]{0,2}\d)[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})\b"),
     ("phone", r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)"),
-    ("card", r"(?<!\d)(?<!\d\.)\d{4}(?:[ -]?\d{4}){3}(?!\d)"),
+    ("card", r"(?<!\d)(?<!\d\.)\d{4}(?:[ -]?\d{4}){3}(?!\d|[ -]\d{3}(?!\d))"),
+    ("digits", r"(?<!\d)(?<!\d\.)(?:\d{13,19}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{4}(?:[ -]\d{4}){3}[ -]\d{3})(?!\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("ip", r"(?<!\d)(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"),
-    ("name", r"(?<!\p{L})(?:" + "|".join(t.replace(".", r"\.") for t in TITLES) + r") " + _NAME + r"(?: " + _NAME + r"){0,2}"),
+    ("phone", r"(?<![\d.,-])(?:\(\d{3}\) ?\d{3}[ .-]\d{4}|\(0\d{1,4}\) ?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\d{3}(?:-\d{3}-|\.\d{3}\.| \d{3} )\d{4}|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ /]\d{3,4}(?:[ -]?\d{2,4}){1,2})(?!\d)"),
+    ("name", r"(?<!\p{L})(?:" + "|".join(t.replace(".", r"\.") for t in TITLES) + r") " + _NAME + r"(?: " + _NAME + r")*"),
 ]
+#: Label and quote, value, quote.
+_SECRET = rf"(?s)^({_LABEL}[\"']?)(.*?)([\"']?)$"
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 
 # Classes of characters; a shift stays in its class.
@@ -72,8 +78,10 @@ HEX_CLASSES = ["0123456789", "abcdef", "ABCDEF", "ghijklmnopqrstuvwxyz", "GHIJKL
 
 
 def kind_of(entity: Column) -> Column:
-    """The first kind whose pattern is the whole entity."""
-    return reduce(lambda rest, k: F.when(F.regexp_like(entity, F.lit(rf"\A(?:{k[1]})\z")), k[0]).otherwise(rest), reversed(KINDS), F.lit("name"))
+    """The first kind whose pattern is the whole entity; null for digits that are no card."""
+    found = reduce(lambda rest, k: F.when(F.regexp_like(entity, F.lit(rf"\A(?:{k[1]})\z")), k[0]).otherwise(rest), reversed(KINDS), F.lit("name"))
+    card = F.when(_luhn(F.regexp_replace(entity, r"\D", "")) == 0, F.lit("card"))
+    return F.element_at(F.transform(F.array(found), lambda k: F.when(k == "digits", card).otherwise(k)), 1)
 
 
 def _shift(c: Column, by: Column, classes: list[str]) -> Column:
@@ -127,19 +135,18 @@ def _ip(s: Column, key: str) -> Column:
 
 
 def _luhn(digits: Column) -> Column:
-    """Luhn sum modulo 10 of a string of 16 digits."""
-    each = F.transform(F.regexp_extract_all(digits, F.lit("."), F.lit(0)), lambda c, i: F.when(F.pmod(i, F.lit(2)) == 0, F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int")))
+    """Luhn sum modulo 10 of a string of digits."""
+    each = F.transform(F.regexp_extract_all(F.reverse(digits), F.lit("."), F.lit(0)), lambda c, i: F.when(F.pmod(i, F.lit(2)) == 1, F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int")))
     return F.pmod(F.aggregate(each, F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
 def _card(s: Column, key: str) -> Column:
-    """The first 15 digits permuted, the last set so that the Luhn sum stays what it was."""
+    """All digits but the last permuted, the last set so that the Luhn sum stays what it was; gaps stay."""
     digits = F.regexp_replace(s, r"\D", "")
-    body = permute(F.substring(digits, 1, 15), key + "card")
-    last = F.pmod(_luhn(digits) - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
-    new = F.concat(body, last.cast("string"))
-    gap = F.regexp_extract(s, r"\d{4}([ -]?)\d", 1)
-    return F.concat_ws("", F.substring(new, 1, 4), gap, F.substring(new, 5, 4), gap, F.substring(new, 9, 4), gap, F.substring(new, 13, 4))
+    body = permute(F.substring(digits, F.lit(1), F.char_length(digits) - 1), key + "card")
+    whole = F.transform(F.array(body), lambda b: F.concat(b, F.pmod(_luhn(digits) - _luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
+    seated = F.transform(whole, lambda n: F.array_join(F.transform(F.regexp_extract_all(s, F.lit("."), F.lit(0)), lambda c, i: F.when(c.isin(" ", "-"), c).otherwise(F.substring(n, F.char_length(F.regexp_replace(F.substring(s, F.lit(1), i + 1), r"\D", "")), F.lit(1)))), ""))
+    return F.element_at(seated, 1)
 
 
 def _word(w: Column, key: str) -> Column:
@@ -156,8 +163,8 @@ def surrogate(entity: Column, kind: Column, key: str = KEY) -> Column:
     """The keyed surrogate of an entity of the given kind."""
     user, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     email = F.concat(permute(user, key + "user"), F.lit("@"), permute(F.regexp_extract(domain, r"^(.*)(\.[^.]*)$", 1), key + "domain"), F.regexp_extract(domain, r"^(.*)(\.[^.]*)$", 2))
-    secret = F.concat(F.regexp_extract(entity, r"^([^\"]*\")", 1), permute(F.regexp_extract(entity, r"\"([^\"]*)\"$", 1), key + "secret", HEX_CLASSES), F.lit('"'))
-    phone = F.concat(F.regexp_extract(entity, r"^\+\d{1,3}", 0), permute(F.regexp_replace(entity, r"^\+\d{1,3}", ""), key + "phone"))
+    secret = F.concat(F.regexp_extract(entity, _SECRET, 1), permute(F.regexp_extract(entity, _SECRET, 2), key + "secret", HEX_CLASSES), F.regexp_extract(entity, _SECRET, 3))
+    phone = F.concat(F.regexp_extract(entity, r"^(?:\+\d{1,3}|\(?0)", 0), permute(F.regexp_replace(entity, r"^(?:\+\d{1,3}|\(?0)", ""), key + "phone"))
     name = F.array_join(F.transform(F.split(entity, " "), lambda w: F.when(F.array_contains(F.array(*map(F.lit, TITLES)), w), w).otherwise(_word(w, key))), " ")
     return (
         F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "phone", phone).when(kind == "ip", _ip(entity, key)).when(kind == "card", _card(entity, key))
@@ -199,9 +206,9 @@ def pseudonymize(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame
     added = distinct_name(df.columns, "entities")
     found = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
     pairs = F.transform(found, lambda e: F.struct(kind_of(e).alias("kind"), e.alias("entity")))
-    listed = df.select(F.explode(pairs).alias("x")).select("x.kind", "x.entity").distinct()
+    listed = df.select(F.explode(pairs).alias("x")).where("x.kind is not null").select("x.kind", "x.entity").distinct()
     special = _exceptions(listed, key)
-    plain = df.withColumn(added, F.transform(pairs, lambda x: F.struct(x["kind"].alias("kind"), x["entity"].alias("entity"), surrogate(x["entity"], x["kind"], key).alias("surrogate"))))
+    plain = df.withColumn(added, F.transform(pairs, lambda x: F.struct(x["kind"].alias("kind"), x["entity"].alias("entity"), F.when(x["kind"].isNull(), x["entity"]).otherwise(surrogate(x["entity"], x["kind"], key)).alias("surrogate"))))
     if special is not None:
         mark = distinct_name([*df.columns, added], "text_key")
         own = distinct_name([*df.columns, added, mark], "special")
@@ -210,7 +217,8 @@ def pseudonymize(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame
         plain = keyed.join(hits, mark, "left").withColumn(added, F.transform(added, lambda x: F.struct(x["kind"].alias("kind"), x["entity"].alias("entity"), F.coalesce(F.try_element_at(own, x["entity"]), x["surrogate"]).alias("surrogate")))).drop(mark, own)
     gaps = F.split(F.col(text), PATTERN, -1)
     joined = F.array_join(F.zip_with(gaps, F.transform(F.col(added), lambda x: x["surrogate"]), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
-    return plain.withColumn(text, F.when(F.size(added) > 0, joined).otherwise(F.col(text))).select(*df.columns, added)
+    out = plain.withColumn(text, F.when(F.size(added) > 0, joined).otherwise(F.col(text)))
+    return out.withColumn(added, F.filter(added, lambda x: x["kind"].isNotNull())).select(*df.columns, added)
 
 
 def op5_surrogates(spark, sf_dir: str) -> DataFrame:
