@@ -63,3 +63,8 @@ def test_query(spark, tmp_path):
     clash = htmlcrf.extract(df.withColumnRenamed("url", "text"))
     assert clash.columns == ["page_id", "text", "text_"] and clash.count() == 4
     assert htmlcrf.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<html><head><title>x</title><body><p>text</body></html>", "<head><meta charset=utf-8><title>x</title><p>text", "<html><head><noscript><img src=a></noscript><style>p{}</style><div>text</div>"])
+def test_a_head_without_its_end_tag(page):
+    assert [b.text for b in htmlcrf.blocks(page)] == ["text"]

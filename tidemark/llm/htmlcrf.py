@@ -10,7 +10,7 @@ generator's), by gradient ascent on the conditional likelihood, with the seed SE
 The text of a block has its character references decoded, its white space made one space and its ends trimmed;
 the blocks labelled content are joined by a line feed.  Null html is an empty page: empty text.  Pages that
 break off or are ill-formed are parsed as far as they go: end tags without a start are skipped, open elements end
-with an ancestor.  Repeated rows give equal rows; an empty table stays empty.
+with an ancestor, an open head at the first start tag that cannot stand in one.  Repeated rows give equal rows; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ BLOCK = set("address article aside blockquote body button caption center dd deta
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = set("script style noscript template iframe object svg math head title textarea canvas audio video noembed noframes xmp select option datalist".split())
 RAW = set("script style textarea title iframe noembed noframes xmp".split())
+#: Elements that may stand in a head; the start of another one ends it.
+IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: An opening tag of the first ends open ones of the second, up to an element of the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 P_ENDS = BLOCK - {"body", "html", "button", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "legend", "select", "frameset"}
@@ -99,6 +101,13 @@ def blocks(page: str | None) -> list[Block]:
                 if tag in BLOCK:
                     flush()
             continue
+        if skipping and tag not in IN_HEAD:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == "head":
+                    close(k)
+                    break
+                if stack[k][0] in SKIP:
+                    break
         if tag == "br":
             if not skipping:
                 parts.append(" ")
