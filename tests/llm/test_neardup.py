@@ -114,3 +114,14 @@ def test_components(spark):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     assert out == {x: root(x) for x in list(parent)}
+
+
+def test_few_long_copies_are_counted_once(spark, monkeypatch):
+    """Blocks that stay empty leave tiles (i, j) with one side; its pairs belong to tile (i, i)."""
+    monkeypatch.setattr(neardup, "TILE_SHINGLES", 50)
+    docs = []
+    for k in range(8):
+        w = [f"w{k}x{i}" for i in range(150)]
+        docs += [(3 * k + j, " ".join([*w, *(f"y{j}" for _ in range(j))])) for j in range(3)]
+    out = neardup.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: (x["class_id"], x["n_links"]) for x in out} == brute(docs)

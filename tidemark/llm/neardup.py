@@ -146,8 +146,8 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _tile(rows: list[tuple], threshold: float, n: int) -> tuple[list, list]:
-    """Links of a tile: (node, documents linked) and forest edges. rows: side, node, copies, text."""
+def _tile(rows: list[tuple], threshold: float, n: int, across: bool) -> tuple[list, list]:
+    """Links of a tile: (node, documents linked) and forest edges. rows: side, node, copies, text; across: only pairs of two sides count."""
     sets = list(shingle_sets([r[3] for r in rows], n))
     kept = list({(r[1], s.tobytes()): i for i, (r, s) in enumerate(zip(rows, sets, strict=True))}.values())  # repeated rows
     rows, sets = [rows[i] for i in kept], [sets[i] for i in kept]
@@ -159,7 +159,7 @@ def _tile(rows: list[tuple], threshold: float, n: int) -> tuple[list, list]:
     ids = np.array([r[1] for r in rows], np.int64)
     link &= ids[:, None] != ids[None, :]
     side = np.array([r[0] for r in rows])
-    if side.min() != side.max():  # the pairs within one side belong to another tile
+    if across:  # the pairs within one side belong to another tile
         link &= side[:, None] != side[None, :]
     weight = np.array([r[2] for r in rows], np.int64)
     linked = link @ weight
@@ -184,7 +184,7 @@ def _tiles(batches, threshold: float, n: int):
     key, rows = None, []
 
     def done():
-        counts, forest = _tile(rows, threshold, n) if len(rows) > 1 else ([], [])
+        counts, forest = _tile(rows, threshold, n, key[1] != key[2]) if len(rows) > 1 else ([], [])
         if counts:
             a = [c[0] for c in counts] + [e[0] for e in forest]
             b = [None] * len(counts) + [e[1] for e in forest]
