@@ -1,6 +1,7 @@
 """Removal of repeated byte strings against a brute-force version."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -66,8 +67,41 @@ def test_construction_alone():
         assert g.tolist() == [seen[f[s:s + W]] > 1 for s in range(len(f) - W + 1)]
 
 
+def words_of(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def test_passages_against_brute_force(spark):
+    r = random.Random(4)
+    line = lambda n: " ".join("".join(r.choice("abcdeé") for _ in range(r.randrange(1, 6))) for _ in range(n))
+    shared = [line(n) for n in (50, 51, 52, 60, 140)]
+    texts = [line(80) for _ in range(5)] + [f"{line(r.randrange(30))} {p.upper() if k else p}, {line(r.randrange(40))}" for p in shared for k in range(3)]
+    texts += [shared[3] + " " + shared[3], "a " * 300, shared[4] + " x " + shared[4][:200], None, ""]
+    held = {}
+    for i, t in enumerate(texts):
+        w = words_of(t)
+        for k in range(len(w) - 50):
+            held.setdefault(tuple(w[k:k + 51]), set()).add(i)
+    out = suffix.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for row in out:
+        w = words_of(row["text"])
+        want = {j for k in range(len(w) - 50) if len(held[tuple(w[k:k + 51])]) > 1 for j in range(k, k + 51)}
+        assert {j for x in row["passages"] for j in range(x["start"], x["end"])} == want, row["doc_id"]
+
+
 def test_edges(spark):
-    df = spark.createDataFrame([(None, "q" * 500, 1), (7, "x" * 450, 2), (7, "x" * 450, 3)], "doc_id long, text string, kept int")
+    names = "doc_id long, text string, kept int, doc int, tag int, body int, h int, row int, low int, words int, a int, passages int"
+    df = spark.createDataFrame([(i, t, k, *range(9)) for i, t, k in ((None, "q" * 500, 1), (7, "x" * 450, 2), (7, "x" * 450, 3), (8, None, 4))], names)
     out = suffix.remove_repeats(df).collect()
-    assert sorted((r["kept"], len(bytes(r["kept_"]))) for r in out) == [(1, 0), (2, 0), (3, 0)]
+    assert sorted((r["kept"], len(bytes(r["kept_"])), r["a"], r["passages"]) for r in out) == [(k, 0, 7, 8) for k in (1, 2, 3, 4)]
     assert suffix.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_long_texts_are_cut_in_pieces(spark):
+    """Repeats across the border of two pieces of a long text, and far behind it."""
+    r = random.Random(6)
+    long = "".join(r.choices("abcdefgh ", k=suffix._PIECE + 9000))
+    copies = [long[suffix._PIECE - 300:suffix._PIECE + 300], long[suffix._PIECE + 5000:suffix._PIECE + 5400], long[:399]]
+    rows = {x["doc_id"]: x for x in suffix.remove_repeats(spark.createDataFrame(list(enumerate([long, *copies])), "doc_id long, text string")).collect()}
+    assert [[x["start"] - suffix._PIECE, x["end"] - suffix._PIECE] for x in rows[0]["removed"]] == [[-300, 300], [5000, 5400]]
+    assert [len(bytes(rows[k]["kept"])) for k in (1, 2, 3)] == [0, 0, 399]

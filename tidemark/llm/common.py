@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,20 +27,34 @@ def arrow_bounds(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); set here only where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir); on one machine alone it may be unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    sc = spark.sparkContext
+    hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(sc._jsc.hadoopConfiguration()), hpath
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage and survives a lost executor."""
+    """Write to the shared folder and read again: cuts lineage and survives a lost executor.
+
+    What forget() has not deleted before goes when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     # No marker file: the write is done when the call returns, and on a local folder each file costs a child process.
     df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    fs, hpath = _hadoop_path(spark, path)
+    fs.deleteOnExit(hpath)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -49,9 +64,8 @@ def forget(df: DataFrame) -> None:
     """Delete what stored() wrote, once nothing reads it any more."""
     path = getattr(df, "_stored_at", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
-        hpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hpath, True)
+        fs, hpath = _hadoop_path(df.sparkSession, path)
+        fs.delete(hpath, True)
 
 
 def distinct_name(columns: list[str], wish: str) -> str:
@@ -131,10 +145,15 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums; span_hash() turns two of them into the hash of a span."""
-    sums = np.empty(len(buf) + 1, np.uint64)
+    """Polynomial prefix sums of bytes; span_hash() turns two of them into the hash of a span."""
+    return prefix_sums(_BYTE[buf])
+
+
+def prefix_sums(symbols: np.ndarray) -> np.ndarray:
+    """The same of any symbols, given as scattered 64-bit numbers."""
+    sums = np.empty(len(symbols) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE[buf] * _power(_BASE, len(buf)), out=sums[1:])
+    np.cumsum(symbols * _power(_BASE, len(symbols)), out=sums[1:])
     return sums
 
 

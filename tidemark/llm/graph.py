@@ -16,19 +16,22 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b); root is the component's smallest node.
 
     Each step is two joins on nodes; the number of steps grows with the logarithm of the component
-    size.  The edge table is written to the shared folder after each step.
+    size.  The edge table is written to the shared folder after each step, and so are the smallest
+    neighbours: a join of two plain tables is split where a hub has many edges.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = _nearest(both, "u", "v").select("c", F.least("c", "m").alias("m"))
+        first = near = stored(_nearest(both, "u", "v").select("c", F.least("c", "m").alias("m")))
         large = both.join(near, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        near = _nearest(large, "u", "v")
+        large = stored(large)
+        near = stored(_nearest(large, "u", "v"))
         small = large.join(near, F.col("u") == F.col("c")).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         after = stored(small)
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        forget(now)
+        for used in (now, first, large, near):
+            forget(used)
         now = after
         if mark == seen:
             break
