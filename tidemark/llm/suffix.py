@@ -253,15 +253,22 @@ def _built(batches):
 
 
 def _windows(batches):
-    """Hash of every window of the fragments of hot anchors and of words."""
+    """Hash of every window of the fragments of hot anchors and of words, a record batch at a time."""
     for batch in batches:
-        for bucket, a, doc, tag, low, n, _, frag in zip(*(batch.column(c).to_pylist() for c in range(len(_FRAGMENT))), strict=True):
-            s, words = np.arange(n), bucket == _WORDS
-            if words:
-                w = np.frombuffer(frag, np.uint64)
+        bucket, a, doc, tag, low, n = (np.asarray(batch.column(k)) for k in range(6))
+        words = bucket == _WORDS
+        hashes = []
+        for frag, size, hashed in zip(batch.column(7).to_pylist(), n.tolist(), words.tolist(), strict=True):
+            if hashed:
+                hashes.append(np.frombuffer(frag, np.uint64))
             else:
-                w = span_hash(prefix_hash(np.frombuffer(frag, np.uint8)), s, s + WINDOW)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, a)), pa.array(w.view(np.int64)), pa.array(np.full(n, doc)), pa.array(np.full(n, tag, np.int32)), pa.array(low + s), pa.array(np.full(n, words))], names=["a", "w", "doc", "tag", "low", "words"])
+                s = np.arange(size)
+                hashes.append(span_hash(prefix_hash(np.frombuffer(frag, np.uint8)), s, s + WINDOW))
+        w = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        at = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+        columns = [np.repeat(a, n), w.view(np.int64), *(np.repeat(x, n) for x in (doc, tag)), np.repeat(low, n) + at, np.repeat(words, n)]
+        for k in range(0, len(w), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k:k + (1 << 16)]) for x in columns], names=["a", "w", "doc", "tag", "low", "words"])
 
 
 def _again(rows: DataFrame, *by: str, **more) -> DataFrame:
@@ -303,7 +310,10 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: in
     built = frags.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_built, "doc long, tag int, low long, n int")
     counted = frags.where("bucket < 0").mapInArrow(_windows, "a long, w long, doc long, tag int, low long, words boolean")
     single = counted.join(stored(_again(counted, "a", "w").select("a", "w")), ["a", "w"]).select("doc", "tag", "low", F.lit(1).alias("n"), "words")
-    return whole.unionByName(twice).unionByName(built.withColumn("words", F.lit(False))).unionByName(single), keyed
+    out = whole
+    for part in (twice, built.withColumn("words", F.lit(False)), single):  # each its own job: a hot key of one is seen and split
+        out = out.unionByName(stored(part))
+    return out, keyed
 
 
 def _runs(spans: list[dict], window: int) -> list[dict]:
