@@ -316,16 +316,14 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: in
     return out, keyed
 
 
-def _runs(spans: list[dict], window: int) -> list[dict]:
-    """Maximal runs covered by windows that start in the spans."""
-    out = []
-    for x in sorted(spans, key=lambda x: x["low"]):
-        a, b = x["low"], x["low"] + x["n"] + window - 1
-        if out and a <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], b)
-        else:
-            out.append({"start": a, "end": b})
-    return out
+def _runs(low: np.ndarray, n: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Maximal runs (start, end) covered by windows that start in the spans [low, low + n)."""
+    if not len(low):
+        return []
+    order = np.argsort(low)
+    low, end = low[order], np.maximum.accumulate((low + n)[order] + window - 1)
+    first = np.flatnonzero(np.r_[True, low[1:] > end[:-1]])
+    return list(zip(low[first].tolist(), end[np.append(first[1:], len(low)) - 1].tolist(), strict=True))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
@@ -343,18 +341,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def run(batches):
         for batch in batches:
-            row = batch.column(0)
+            row, cuts = batch.column(0), batch.column(1)
+            flat = cuts.flatten()
+            low, n, words = (np.asarray(flat.field(k)) for k in range(3))
+            ends = np.cumsum(cuts.value_lengths().fill_null(0).to_numpy())
             outs, gone, said = [], [], []
-            for t, own in zip(row.field(text).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for t, a, b in zip(row.field(text).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 raw = (t or "").encode("utf-8", "surrogatepass")
-                found = _runs([x for x in own or [] if not x["words"]], WINDOW)
+                mine, hits = slice(a, b), words[a:b]
+                found = _runs(low[mine][~hits], n[mine][~hits], WINDOW)
                 at, parts = 0, []
-                for s in found:
-                    parts.append(raw[at:s["start"]])
-                    at = s["end"]
+                for start, end in found:
+                    parts.append(raw[at:start])
+                    at = end
                 outs.append(b"".join([*parts, raw[at:]]))
-                gone.append(found)
-                said.append(_runs([x for x in own or [] if x["words"]], PASSAGE))
+                gone.append([{"start": x, "end": y} for x, y in found])
+                said.append([{"start": x, "end": y} for x, y in _runs(low[mine][hits], n[mine][hits], PASSAGE)])
             yield pa.RecordBatch.from_arrays([*(row.field(c) for c in columns), pa.array(outs, pa.binary()), pa.array(gone, kind), pa.array(said, kind)], names=[*columns, *names])
 
     hit = by_bitmap(keyed, "h", near, True).join(per_doc, ["doc", "tag"], "left").select("row", "cuts").mapInArrow(run, schema)
