@@ -12,7 +12,7 @@ from tidemark.llm.bpe import encode
 from tidemark.llm.common import read, stored
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.neardup import jaccard_join
-from tidemark.llm.pii import pseudonymize
+from tidemark.llm.pii import pseudonymize, query_key
 from tidemark.llm.quality import importance
 
 
@@ -39,7 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates; n_chars follows the text."""
-    out = pseudonymize(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    out = pseudonymize(docs, query_key(spark)).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
