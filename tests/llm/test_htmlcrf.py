@@ -68,3 +68,26 @@ def test_query(spark, tmp_path):
 @pytest.mark.parametrize("page", ["<html><head><title>x</title><body><p>text</body></html>", "<head><meta charset=utf-8><title>x</title><p>text", "<html><head><noscript><img src=a></noscript><style>p{}</style><div>text</div>"])
 def test_a_head_without_its_end_tag(page):
     assert [b.text for b in htmlcrf.blocks(page)] == ["text"]
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<p title=it's>hello</p>", ["hello"]), ('<p class="x>hello</p>', ["hello"]), ('<p class="x>hello</p><p class="y">world</p>', ["hello", "world"]),
+    ('<p title="a > b" id=\'c > d\'>hello</p>', ["hello"]), ("<p>E=<math><mi>m</mi><mo>+</mo></math>c</p>", ["E=m+c"]),
+    ("<p>a</p><noscript>no script</noscript><p>b</p>", ["a", "no script", "b"]), ("<p>a<select><option>x</select>b</p><textarea>y</textarea>", ["a", "b"]),
+    ('<p data-x="1"data-y="2">hello</p>', ["hello"]), ("<p a = 'x' b>hello</p", ["hello"]), ("<head><noscript><style>x</style></noscript><title>t</title></head><p>a", ["a"]),
+])
+def test_tags_with_lone_quotes_and_kept_elements(page, want):
+    assert [b.text for b in htmlcrf.blocks(page)] == want
+
+
+def test_generated_pages_parse_as_they_were_written():
+    pages = htmlcrf.labelled_pages(200, htmlcrf.SEED)
+    assert sum(htmlcrf._aligned(htmlcrf.blocks(h), said) is not None for h, said in pages) >= 198
+    assert any("<noscript>" in h for h, _ in pages)
+
+
+def test_notes_for_readers_without_scripts_are_left_out():
+    body = "<p>The first paragraph of the article has a sentence. And another, longer one.</p>" * 3
+    page = f"<html><body><nav><ul><li><a href='/'>home</a></li></ul></nav><noscript>Please enable scripts for this page.</noscript><article><h1>A title</h1>{body}</article></body></html>"
+    text = htmlcrf.main_text(page, htmlcrf.model())
+    assert "scripts" not in text and text.count("paragraph") == 3

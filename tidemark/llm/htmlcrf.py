@@ -1,7 +1,8 @@
 """Main-text extraction: a linear-chain conditional random field over the DOM's leaf blocks.
 
 A page is parsed into leaf blocks: runs of text between the tags of block elements, each with its chain of open
-elements.  Comments, scripts, styles and other elements without page text are no blocks.  Blocks carry
+elements.  Comments, scripts, styles, form fields and other elements without page text are no blocks; what stands
+in for scripts, drawings and media is a block like others, and formulas belong to their line.  Blocks carry
 features of their ancestors (tags, words of class, id and role), of their own tag and of their text (length, link
 share, sentence marks, signs of legal lines); the chain adds label pairs.  The weights are trained on
 TRAIN_PAGES generated labelled pages of many layouts (no page of the input is needed, and no label but the
@@ -9,7 +10,8 @@ generator's), by gradient ascent on the conditional likelihood, with the seed SE
 
 The text of a block has its character references decoded, its white space made one space and its ends trimmed;
 the blocks labelled content are joined by a line feed.  Null html is an empty page: empty text.  Pages that
-break off or are ill-formed are parsed as far as they go: end tags without a start are skipped, open elements end
+break off or are ill-formed are parsed as far as they go: a quote in a tag counts only where it opens a value and
+another one ends it before a space or the tag's end, so a lone one hides no text; end tags without a start are skipped, open elements end
 with an ancestor, an open head at the first start tag that cannot stand in one.  Repeated rows give equal rows; an empty table stays empty.
 """
 
@@ -30,7 +32,10 @@ SEED, TRAIN_PAGES, EPOCHS, RATE, L2 = 7, 500, 12, 0.3, 1e-4
 # Classes of HTML elements.
 BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = set("script style noscript template iframe object svg math head title textarea canvas audio video noembed noframes xmp select option datalist".split())
+SKIP = set("script style template iframe head title textarea noembed noframes select option datalist".split())
+#: What stands in for scripts, drawings and media: blocks of their own, decided by label; math stays in its line.
+STAND_IN = set("noscript object svg canvas audio video xmp".split())
+BLOCK |= STAND_IN
 RAW = set("script style textarea title iframe noembed noframes xmp".split())
 #: Elements that may stand in a head; the start of another one ends it.
 IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
@@ -38,7 +43,7 @@ IN_HEAD = set("base basefont bgsound head html link meta noframes noscript scrip
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 P_ENDS = BLOCK - {"body", "html", "button", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "legend", "select", "frameset"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"(?=[\s/>]|\Z)|=\s*'[^']*'(?=[\s/>]|\Z)|=)*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _LEGAL = re.compile(r"©|\(c\)|copyright|all rights reserved|privacy|cookie|subscribe|sign in|log in|newsletter|share|advert|sponsor", re.I)
@@ -106,7 +111,7 @@ def blocks(page: str | None) -> list[Block]:
                 if stack[k][0] == "head":
                     close(k)
                     break
-                if stack[k][0] in SKIP:
+                if stack[k][0] in SKIP or stack[k][0] in STAND_IN:
                     break
         if tag == "br":
             if not skipping:
@@ -270,6 +275,7 @@ class _Writer:
 
     def __init__(self, rng):
         self.rng, self.out, self.said = rng, [], []
+        self.rest = np.random.default_rng([SEED, int(rng.bit_generator.state["state"]["state"]) & 0xFFFFFFFF])  # for what was added later
 
     def pick(self, items):
         return items[int(self.rng.integers(len(items)))]
@@ -346,6 +352,14 @@ class _Writer:
                 self.add("p", self.sentence(5, 25), 0)
         self.out.append(f"</{tag}>")
 
+    def stand_in(self):
+        """A line for readers without scripts, drawings or media; drawn apart, so that the rest of the page stays."""
+        self.rng, own = self.rest, self.rng
+        if self.chance(0.15):
+            tag = self.pick(["noscript", "noscript", "canvas", "object", "video", "audio", "svg"])
+            self.add(tag, self.sentence(), 0)
+        self.rng = own
+
     def article(self):
         form = self.pick(["article", "article", "main", "div", "div", "section", "both", "bare"])
         opened = []
@@ -389,7 +403,9 @@ class _Writer:
         for kind, p in (("notice", 0.2), ("head", 0.4), ("menu", 0.75), ("form", 0.15), ("ad", 0.4)):
             if self.chance(p):
                 self.part(kind)
+        self.stand_in()
         self.article()
+        self.stand_in()
         for kind, p in (("share", 0.15), ("talk", 0.3), ("side", 0.35), ("ad", 0.2), ("notice", 0.15), ("foot", 0.8)):
             if self.chance(p):
                 self.part(kind)
