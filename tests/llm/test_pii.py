@@ -127,8 +127,10 @@ def test_surrogates_of_different_entities_differ(spark):
     assert [re.sub(r"\d", "0", pairs["card", e]) for e in other[2:5]] == [re.sub(r"\d", "0", e) for e in other[2:5]]
 
 
-def test_one_person_stays_one_where_a_part_is_made_anew(spark):
+@pytest.mark.parametrize("sent", [pii.SENT, 0])
+def test_one_person_stays_one_where_a_part_is_made_anew(spark, monkeypatch, sent):
     """"Bo" and its first surrogate are both names, so one of them is made anew, in all its entities."""
+    monkeypatch.setattr(pii, "SENT", sent)
     df = spark.createDataFrame([("Bo",)], "w string")
     taken = df.select(pii.part_surrogate(F.lit("word"), F.col("w"), KEY)).first()[0]
     rows = entities(spark, [f"Mr. Bo and Mr. {taken}", "Dr. Bo, Mrs. Ada Bo", f"Mr. Ada {taken}"])

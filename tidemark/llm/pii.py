@@ -24,8 +24,8 @@ of a type with one surrogate the smallest keeps it; the others, and those whose
 are made anew with another key until their surrogate is no part and no other's.  (A listed given name is always
 replaced by a listed one, which may be the name of another person of the corpus, but no two names get the same.)  From
 round ROUNDS on the string is lengthened by its own last character, as all strings of its form may be taken; an IPv4
-address then becomes an IPv6 one.  As parts are replaced and not entities, coreference holds for them too.  Only documents
-with such exceptions, if any, are joined to them.
+address then becomes an IPv6 one.  As parts are replaced and not entities, coreference holds for them too.  Up to SENT
+exceptions are sent to all tasks; more are joined to the documents that hold them.
 
 The key is a secret of the caller: whoever has it can undo the permutation.  Null text stays null and has no entities; an empty
 table stays empty; repeated rows get equal results.
@@ -45,6 +45,8 @@ KEY_SETTING = "spark.tidemark.pii.key"
 #: Their key where it is not set: published, so fit for made-up data only.
 PUBLISHED_KEY = "tidemark"
 ROUNDS = 6
+#: So many exceptions at most are sent to all tasks as one map; more are joined to the documents that hold them.
+SENT = 1000
 
 # Forms of address and given names by gender, Latin and Cyrillic script.
 TITLES = ["Mr.", "Mrs.", "Ms.", "Dr.", "Herr", "Frau", "M.", "Mme", "Mlle", "Sr.", "Sra.", "Srta.", "Don", "Doña", "Г-н", "Г-жа"]
@@ -59,7 +61,7 @@ _NAME = r"\p{Lu}[\p{L}'’-]+"
 _LABEL = r"(?i:\b(?:token|secret|api[_-]?key|password)) ?[=:] ?"
 #: Kind and pattern, in order of precedence; a match is the whole entity.
 KINDS = [
-    ("email", r"[\p{L}\p{N}_%+-]+(?:\.[\p{L}\p{N}_%+-]+)*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"),
+    ("email", r"(?<![\p{L}\p{N}_%+-])[\p{L}\p{N}_%+-]++(?:\.[\p{L}\p{N}_%+-]++)*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"),
     ("key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
     ("secret", _LABEL + r"(?:\"[^\"\n]+\"|'[^'\n]+'|(?=[^\s\"',;]*\d)[^\s\"',;]{5,}[\p{L}\p{N}/+=_-])"),
     ("iban", r"\b[A-Z]{2}\d{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?:[A-Z0-9]{1,3}| (?=[A-Z]{0,2}\d)[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})\b"),
@@ -67,10 +69,10 @@ KINDS = [
     ("card", r"(?<!\d)(?<!\d\.)\d{4}(?:[ -]?\d{4}){3}(?!\d|[ -]\d{3}(?!\d))"),
     ("digits", r"(?<!\d)(?<!\d\.)(?:\d{13,19}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{4}(?:[ -]\d{4}){3}[ -]\d{3})(?!\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("ip6", r"(?<![\p{L}\p{N}:.])(?=(?:[0-9A-Fa-f]*:){3})(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){1,7}:)(?![\p{L}\p{N}:])"),
+    ("ip6", r"(?=[0-9A-Fa-f]{0,4}:)(?<![\p{L}\p{N}:.])(?=(?:[0-9A-Fa-f]*:){3})(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){1,7}:)(?![\p{L}\p{N}:])"),
     ("ip", r"(?<!\d)(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"),
     ("phone", r"(?<![\d.,-])(?:\(\d{3}\) ?\d{3}[ .-]\d{4}|\(0\d{1,4}\) ?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\d{3}(?:-\d{3}-|\.\d{3}\.| \d{3} )\d{4}|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ /]\d{3,4}(?:[ -]?\d{2,4}){1,2})(?!\d)"),
-    ("name", r"(?<!\p{L})(?:(?:" + "|".join(t.replace(".", r"\.") for t in TITLES) + r") " + _NAME + r"|(?:" + "|".join(n for g in GIVEN.values() for n in g) + r") " + _NAME + r")(?: " + _NAME + r")*"),
+    ("name", r"(?=\p{Lu})(?<!\p{L})(?:(?:" + "|".join(t.replace(".", r"\.") for t in TITLES) + r") " + _NAME + r"|(?:" + "|".join(n for g in GIVEN.values() for n in g) + r") " + _NAME + r")(?: " + _NAME + r")*"),
 ]
 #: Label and quote, value, quote.
 _SECRET = rf"(?s)^({_LABEL}[\"']?)(.*?)([\"']?)$"
@@ -306,6 +308,9 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     if special is None:
         plain = df.withColumn(added, replaced(None))
+    elif special.count() <= SENT:
+        named = [x for r in special.collect() for x in (F.lit(f"{r['type']}:{r['value']}"), F.lit(r["surrogate"]))]  # SENT rows at most
+        plain = df.withColumn(added, replaced(F.create_map(*named)))  # a constant of the plan
     else:
         mark = distinct_name([*df.columns, added], "text_key")
         own = distinct_name([*df.columns, added, mark], "special")
