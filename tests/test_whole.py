@@ -49,7 +49,7 @@ def test_interpolation_of_each_unit(spark, tables, clamp):
             f = (x - t[k]) / (t[k + 1] - t[k])
             f = min(max(f, 0), 1) if clamp else f
             want[u, i] = v[k] + f * (v[k + 1] - v[k])
-    same(found(spark, tables, "asof_lerp_clamp_whole" if clamp else "asof_lerp_whole", "unit", "t_idx", "value"), want, 4)
+    same(found(spark, tables, "asof_lerp_clamp" if clamp else "asof_lerp", "unit", "t_idx", "value"), want, 4)
 
 
 def test_speed_of_each_unit(spark, tables):
@@ -58,7 +58,7 @@ def test_speed_of_each_unit(spark, tables):
     for u in set(ev["unit"]):
         at = np.flatnonzero(ev["unit"] == u)
         want |= {(int(k),): abs(g) for k, g in zip(at, np.gradient(ev["value"][at], ev["t"][at]), strict=True)}
-    same(found(spark, tables, "speed_whole", "event_id", "speed"), want, 5)
+    same(found(spark, tables, "speed", "event_id", "speed"), want, 5)
 
 
 def fields(ev):
@@ -74,15 +74,15 @@ def fields(ev):
 def test_densities_and_fields_of_all_bins(spark, tables):
     _, ev, _ = tables
     k = kernel(C[None] - ev["value"][:, None], catalogue.STD)
-    same(found(spark, tables, "kde_log_density_whole", "unit", "bin", "density"), {(u, b): np.log(k[ev["unit"] == u].mean(axis=0)[b]) for u in set(ev["unit"]) for b in range(20)}, 6)
+    same(found(spark, tables, "kde_log_density", "unit", "bin", "density"), {(u, b): np.log(k[ev["unit"] == u].mean(axis=0)[b]) for u in set(ev["unit"]) for b in range(20)}, 6)
     want = fields(ev)
-    same(found(spark, tables, "place_fields_whole", "unit", "bin", "field"), {(u, b): f[b] for u, (_, f) in want.items() for b in range(20)}, 6)
+    same(found(spark, tables, "place_fields", "unit", "bin", "field"), {(u, b): f[b] for u, (_, f) in want.items() for b in range(20)}, 6)
     ll = {}
     hour = np.floor(ev["t"] / 3600).astype(int)
     for i, h in enumerate(range(hour.min(), hour.max() + 2)):
         for b in range(20):
             ll[i, b] = sum((n * np.log(f[b]) if (n := ((hour == h) & (ev["unit"] == u)).sum()) else 0) - f[b] for u, (_, f) in want.items())
-    same(found(spark, tables, "poisson_loglik_whole", "t_idx", "bin", "ll"), ll, 4)
+    same(found(spark, tables, "poisson_loglik", "t_idx", "bin", "ll"), ll, 4)
 
 
 def test_all_marked_events_are_decoded(spark, tables):
@@ -95,10 +95,10 @@ def test_all_marked_events_are_decoded(spark, tables):
         mine = unit == unit[i]
         w = kernel(m[mine] - m[i], 24.0).prod(axis=1)
         ll[i] = np.maximum(np.log(mine.mean() * (w[:, None] * k[mine]).mean(axis=0) / occ), np.log(1e-15))
-    same(found(spark, tables, "mark_intensity_whole", "vec_id", "bin", "ll"), {(i, b): ll[i, b] for i in range(N) for b in range(20)}, 5)
+    same(found(spark, tables, "mark_intensity", "vec_id", "bin", "ll"), {(i, b): ll[i, b] for i in range(N) for b in range(20)}, 5)
     ground = sum(np.maximum((unit == u).mean() * k[unit == u].mean(axis=0) / occ, 1e-15) for u in (0, 1))
     sums = {(i, b): ll[(np.arange(N) // 5) % 40 == i, b].sum() - ground[b] for i in range(40) for b in range(20)}
-    same(found(spark, tables, "marked_loglik_whole", "t_idx", "bin", "ll"), sums, 4)
+    same(found(spark, tables, "marked_loglik", "t_idx", "bin", "ll"), sums, 4)
 
 
 def test_local_states_of_all_events(spark, tables):
@@ -106,13 +106,22 @@ def test_local_states_of_all_events(spark, tables):
     b = np.minimum(np.floor(ev["value"] / 25), 19)
     d = np.abs(b[:, None] - np.arange(20)) * 25.0
     cells = [(i, j) for i in range(N) for j in range(20)]
-    same(found(spark, tables, "local_penalty_whole", "event_id", "bin", "penalty"), {c: -3 * np.exp(-0.5 * d[c] ** 2 / 2500) for c in cells}, 6)
+    same(found(spark, tables, "local_penalty", "event_id", "bin", "penalty"), {c: -3 * np.exp(-0.5 * d[c] ** 2 / 2500) for c in cells}, 6)
     g = -0.5 * d**2 / 1600
     g = g - np.log(np.exp(g).sum(axis=1, keepdims=True)) + np.log(20)
-    same(found(spark, tables, "local_kernel_whole", "event_id", "bin", "kernel"), {c: g[c] for c in cells}, 6)
-    same(found(spark, tables, "local_delta_kernel_whole", "event_id", "bin", "kernel"), {(i, int(b[i])): np.log(20) for i in range(N)}, 6)
-
-
-def test_glm_fields_of_all_values(spark, tables):
-    out = found(spark, tables, "glm_fields", "bin", "field")
-    assert sorted(k for k, in out) == list(range(20))
+    same(found(spark, tables, "local_kernel", "event_id", "bin", "kernel"), {c: g[c] for c in cells}, 6)
+    same(found(spark, tables, "local_delta_kernel", "event_id", "bin", "kernel"), {(i, j): np.log(20) if b[i] == j else -np.inf for i, j in cells}, 6)
+
+
+def test_glm_fields_of_all_units(spark, tables):
+    """All units in the same passes against each on its own."""
+    from tidemark.operators import glm
+    from tidemark.sources.testdata import events as event_rows
+
+    out = found(spark, tables, "glm_fields", "unit", "bin", "field")
+    ev = event_rows(spark, tables[0])
+    assert sorted(out) == sorted((u, k) for u in ("click", "signup", "view") for k in range(20))
+    design = glm.Design.over(ev, ["value"], 100.0)
+    rows = ev.selectExpr("value", "cast(unit = 'view' as int) as n")
+    beta = glm.fit_poisson(rows, design, ["value"])
+    same({(k,): out["view", k] for k in range(20)}, {(k,): v for k, v in enumerate(np.exp(design(catalogue.POINTS) @ beta))}, 5)

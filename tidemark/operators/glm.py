@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.checks import FittingError
 from ..functions.exprs import EPS
@@ -165,6 +165,75 @@ def fit_poisson(counts: DataFrame, design: Design, columns: Sequence[str], n: st
     return beta
 
 
+def fit_units(samples: DataFrame, counted: DataFrame, design: Design, columns: Sequence[str], unit: str = "unit", n: str = "n", weight: str | None = None, l2: float = 1e-3, steps: int = 50, tolerance: float = 1e-6) -> dict:
+    """{unit: coefficients}: fit_poisson() of every unit, all of them in the same passes over the samples.
+
+    counted: (unit, columns, n, weight) of the samples with events, so no grid of units and samples is made.  A pass
+    returns sums of the number of columns squared for each unit that still moves.
+    """
+    columns = list(columns)
+    size = design(np.array([[s.knots[0] for s in design.splines]])).shape[1]
+    w = (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w")
+    known = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in columns)
+    rows, hits = samples.where(known).select(*columns, w), counted.where(known).select(F.col(unit).alias("__u"), *columns, (F.col(n) * w).alias("__y"))
+    mass = rows.agg(F.sum("__w")).first()[0]
+    if not mass:
+        raise FittingError("no weight to fit to")
+
+    def seen(frames):
+        for pdf in frames:
+            for u, own in pdf.groupby("__u", sort=False):
+                yield pd.DataFrame({"__u": u, "k": np.arange(size), "v": design(own[columns].to_numpy(float)).T @ own["__y"].to_numpy()})
+
+    schema = T.StructType([hits.schema["__u"], T.StructField("k", T.IntegerType()), T.StructField("v", T.DoubleType())])
+    sums: dict = {}
+    for r in hits.mapInPandas(seen, schema).groupBy("__u", "k").agg(F.sum("v").alias("v")).collect():  # columns a unit
+        sums.setdefault(r["__u"], np.zeros(size))[r["k"]] = r["v"] / mass
+    pen = np.full(size, 2 * l2)
+    pen[0] = 0
+
+    def moments(betas: dict) -> dict:
+        names, stack = list(betas), np.array(list(betas.values()))
+        block = size * size + size + 1
+
+        def run(frames):
+            out = np.zeros((len(names), block))
+            for pdf in frames:
+                x, w = design(pdf[columns].to_numpy(float)), pdf["__w"].to_numpy()
+                mu = np.exp(np.clip(x @ stack.T, -50, 50)) * w[:, None]
+                for k in range(len(names)):
+                    out[k, :size * size] += ((x * mu[:, k:k + 1]).T @ x).ravel()
+                out[:, size * size:-1] += mu.T @ x
+                out[:, -1] += mu.sum(axis=0)
+            yield pd.DataFrame({"k": np.arange(out.size), "v": out.ravel()})
+
+        got = rows.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()  # columns squared a unit
+        v = np.array([r["v"] for r in got]).reshape(len(names), block) / mass
+        return {u: (v[k, :size * size].reshape(size, size), sums[u] - v[k, size * size:-1], v[k, -1] - sums[u] @ betas[u] + (pen / 2 * betas[u] ** 2).sum()) for k, u in enumerate(names)}
+
+    beta = {u: np.r_[np.log(max(v[0], EPS)), np.zeros(size - 1)] for u, v in sums.items()}
+    now, moving = moments(beta), dict.fromkeys(beta, 1.0)
+    step: dict = {}
+    for _ in range(steps * 20):
+        if not moving:
+            break
+        for u, scale in moving.items():
+            if scale == 1.0:
+                h, g, _ = now[u]
+                step[u] = np.linalg.solve(h + np.diag(pen) + 1e-10 * np.eye(size), g - pen * beta[u])
+        tried = {u: beta[u] + scale * step[u] for u, scale in moving.items()}
+        new = moments(tried)
+        for u, scale in list(moving.items()):
+            if new[u][2] > now[u][2] + 1e-12 and scale > 1e-5:
+                moving[u] = scale / 2
+                continue
+            moved = abs(now[u][2] - new[u][2])
+            beta[u], now[u], moving[u] = tried[u], new[u], 1.0
+            if np.abs(scale * step[u]).max() < tolerance or moved < 1e-14:
+                del moving[u]
+    return beta
+
+
 def fields(design: Design, coefficients: dict, points: np.ndarray, spark) -> DataFrame:
     """(unit, bin, field) of fitted units: exp(X beta), not under EPS."""
     x = design(points)

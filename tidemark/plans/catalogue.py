@@ -89,27 +89,34 @@ def runs_select(spark, d):
 def _lerp_sql(clamp: bool) -> str:
     share = "(h.t - a.t) / (b.t - a.t)"
     share = f"least(greatest({share}, 0), 1)" if clamp else share
-    return f"""WITH {_EV}, s AS (SELECT t, value, row_number() OVER (ORDER BY t) AS k FROM ev WHERE unit = 'click'),
-n AS (SELECT count(*) AS n FROM s),
-h AS (SELECT i AS t_idx, 1704067200.0 - 7200 + 1800.0 * i AS t FROM range(1460) r(i)),
-p AS (SELECT h.t_idx, h.t, least(greatest((SELECT count(*) FROM s WHERE s.t <= h.t), 1), n - 1) AS k FROM h, n)
-SELECT h.t_idx, round(a.value + {share} * (b.value - a.value), 5) AS value FROM p h JOIN s a ON a.k = h.k JOIN s b ON b.k = h.k + 1"""
+    return f"""WITH {_EV}, s AS (SELECT unit, t, value, row_number() OVER (PARTITION BY unit ORDER BY t) AS k FROM ev),
+n AS (SELECT unit, count(*) AS n FROM s GROUP BY unit),
+h AS (SELECT unit, n, i AS t_idx, 1704067200.0 - 7200 + 1800.0 * i AS t FROM range(1460) r(i), n),
+c AS (SELECT h.unit, h.t_idx, count(*) AS c FROM h JOIN s ON s.unit = h.unit AND s.t <= h.t GROUP BY h.unit, h.t_idx),
+p AS (SELECT h.unit, h.t_idx, h.t, least(greatest(coalesce(c, 0), 1), n - 1) AS k FROM h LEFT JOIN c USING (unit, t_idx))
+SELECT h.unit, h.t_idx, round(a.value + {share} * (b.value - a.value), 5) AS value FROM p h JOIN s a ON a.unit = h.unit AND a.k = h.k JOIN s b ON b.unit = h.unit AND b.k = h.k + 1"""
 
 
 def _half_hours(spark):
     return spark.range(1460).select(F.col("id").alias("t_idx"), (F.lit(1704060000.0) + 1800.0 * F.col("id")).alias("t"))
 
 
+def _lerp(spark, d, extrapolate: bool):
+    """Each unit's values at each half hour."""
+    ev = event_rows(spark, d)
+    units = ev.select("unit").distinct()
+    targets = _half_hours(spark).join(units.groupBy().agg(F.collect_set("unit").alias("units"))).select("t_idx", "t", F.explode("units").alias("unit"))
+    return asof.interpolate(targets, ev.select("unit", "t", "value"), ["value"], ["unit"], extrapolate=extrapolate).select("unit", "t_idx", _r("value", 5))
+
+
 @query(_lerp_sql(False))
 def asof_lerp(spark, d):
-    out = asof.interpolate(_half_hours(spark), event_rows(spark, d).where("unit = 'click'").select("t", "value"), ["value"])
-    return out.select("t_idx", _r("value", 5))
+    return _lerp(spark, d, True)
 
 
 @query(_lerp_sql(True))
 def asof_lerp_clamp(spark, d):
-    out = asof.interpolate(_half_hours(spark), event_rows(spark, d).where("unit = 'click'").select("t", "value"), ["value"], extrapolate=False)
-    return out.select("t_idx", _r("value", 5))
+    return _lerp(spark, d, False)
 
 
 # --- grids ------------------------------------------------------------------------------------
@@ -178,9 +185,9 @@ def kde_weighted(spark, d):
     return kde.kde(rows, ["value"], POINTS, STD, "w").select("bin", _r("density", 9))
 
 
-@query(f"WITH {_EV}, {_POINTS} SELECT unit, bin, round(ln(avg({_K})), 6) AS density FROM ev, pts WHERE value < 300 GROUP BY unit, bin HAVING bin < 14")
+@query(f"WITH {_EV}, {_POINTS} SELECT unit, bin, round(ln(avg({_K})), 6) AS density FROM ev, pts GROUP BY unit, bin")
 def kde_log_density(spark, d):
-    out = kde.kde(event_rows(spark, d).where("value < 300"), ["value"], POINTS[:14], STD, by=["unit"], log=True)
+    out = kde.kde(event_rows(spark, d), ["value"], POINTS, STD, by=["unit"], log=True)
     return out.select("unit", "bin", _r("density"))
 
 
@@ -194,16 +201,16 @@ def _fields(spark, d):
     return kde.place_fields(ev, ev, ["value"], POINTS, STD)
 
 
-@query(f"WITH {_EV}, {_POINTS}, {_FIELDS} SELECT unit, bin, round(rate, 6) AS rate, round(field, 6) AS field FROM fields WHERE bin < 12")
+@query(f"WITH {_EV}, {_POINTS}, {_FIELDS} SELECT unit, bin, round(rate, 6) AS rate, round(field, 6) AS field FROM fields")
 def place_fields(spark, d):
-    return _fields(spark, d).where("bin < 12").select("unit", "bin", _r("rate"), _r("field"))
+    return _fields(spark, d).select("unit", "bin", _r("rate"), _r("field"))
 
 
 @query(f"""WITH {_COUNTS}, {_POINTS}, {_FIELDS}
-SELECT t_idx, bin, round(sum(CASE WHEN n = 0 THEN 0 ELSE n * ln(field) END - field), 4) AS ll FROM counts JOIN fields USING (unit) WHERE bin < 12 GROUP BY t_idx, bin""")
+SELECT t_idx, bin, round(sum(CASE WHEN n = 0 THEN 0 ELSE n * ln(field) END - field), 4) AS ll FROM counts JOIN fields USING (unit) GROUP BY t_idx, bin""")
 def poisson_loglik(spark, d):
     ll = kde.poisson_loglik(hourly(spark, d), _fields(spark, d), len(POINTS))
-    return ll.select("t_idx", F.posexplode("ll").alias("pos", "ll")).where("pos < 12").select("t_idx", F.col("pos").cast("long").alias("bin"), _r("ll", 4))
+    return ll.select("t_idx", F.posexplode("ll").alias("pos", "ll")).select("t_idx", F.col("pos").cast("long").alias("bin"), _r("ll", 4))
 
 
 @query(f"WITH {_COUNTS} SELECT t_idx, round(sum(CASE WHEN n = 0 THEN 0 ELSE n * ln(1e-10 * 3600) END - 1e-10 * 3600), 6) AS ll FROM counts GROUP BY t_idx")
@@ -212,18 +219,18 @@ def no_event_loglik(spark, d):
 
 
 _MARK_SQL = """v AS (SELECT vec_id, label AS unit, embedding[1]::DOUBLE * 500 + 250 AS x, embedding[2]::DOUBLE * 100 AS m0, embedding[3]::DOUBLE * 100 AS m1 FROM embeddings),
-en AS (SELECT * FROM v WHERE vec_id % 5 <> 0), de AS (SELECT * FROM v WHERE vec_id % 5 = 0), pts AS (SELECT i AS bin, i * 25.0 + 12.5 AS c FROM range(20) r(i)),
+en AS (SELECT * FROM v), de AS (SELECT * FROM v), pts AS (SELECT i AS bin, i * 25.0 + 12.5 AS c FROM range(20) r(i)),
 occ AS (SELECT bin, avg(exp(-0.5 * power((c - x) / 30.0, 2)) / (30.0 * sqrt(2 * pi()))) AS occ FROM en, pts GROUP BY bin),
 rt AS (SELECT unit, count(*) / (SELECT count(*) FROM en)::DOUBLE AS rate FROM en GROUP BY unit),
 inten AS (SELECT de.vec_id, bin, greatest(ln(rate * avg(exp(-0.5 * (power((de.m0 - en.m0) / 24.0, 2) + power((de.m1 - en.m1) / 24.0, 2)) - 0.5 * power((c - en.x) / 30.0, 2)) / (24.0 * 24.0 * 30.0 * power(2 * pi(), 1.5))) / occ), ln(1e-15)) AS x
 FROM de JOIN en USING (unit) CROSS JOIN pts JOIN occ USING (bin) JOIN rt USING (unit) GROUP BY de.vec_id, bin, rate, occ)"""
 
 
-def _marked(spark, d, whole: bool = False):
+def _marked(spark, d):
+    """All events, decoded with all of them."""
     v = mark_rows(spark, d, 3).select(F.col("vec_id").alias("event_id"), "unit", (F.col("m0") * 500 + 250).alias("x"), (F.col("m1") * 100).alias("m0"), (F.col("m2") * 100).alias("m1"))
-    en, de = (v, v) if whole else (v.where("event_id % 5 <> 0"), v.where("event_id % 5 = 0"))
-    occ = np.array([r["density"] for r in kde.kde(en, ["x"], POINTS, 30.0).orderBy("bin").collect()])
-    return en, de, kde.mark_intensity(de, en, kde.mean_rates(en, en), occ, POINTS, ["m0", "m1"], ["x"], 24.0, 30.0)
+    occ = np.array([r["density"] for r in kde.kde(v, ["x"], POINTS, 30.0).orderBy("bin").collect()])
+    return v, v, kde.mark_intensity(v, v, kde.mean_rates(v, v), occ, POINTS, ["m0", "m1"], ["x"], 24.0, 30.0)
 
 
 @query(f"WITH {_MARK_SQL} SELECT vec_id, bin, round(x, 5) AS ll FROM inten")
@@ -259,10 +266,11 @@ def gmm_fit(spark, d):
 
 @query()
 def glm_fields(spark, d):
+    """A regression for each kind of event, all in the same passes."""
     ev = event_rows(spark, d)
-    rows = ev.select("value", F.when(F.col("unit") == "click", 1).otherwise(0).alias("n"))
-    design = glm.Design.over(rows, ["value"], 100.0)
-    return glm.fields(design, {"click": glm.fit_poisson(rows, design, ["value"])}, POINTS, spark).withColumn("field", F.round("field", 6))
+    design = glm.Design.over(ev, ["value"], 100.0)
+    counted = ev.select("value", "unit", F.lit(1).alias("n"))
+    return glm.fields(design, glm.fit_units(ev, counted, design, ["value"]), POINTS, spark).withColumn("field", F.round("field", 6))
 
 
 # --- transitions ------------------------------------------------------------------------------
@@ -542,11 +550,10 @@ def gradient(spark, d):
     return windows.gradient(event_rows(spark, d), "value", "slope", "t", "t", ["user_id"]).select("event_id", _r("slope"))
 
 
-@query(f"""WITH {_EV}, w AS (SELECT event_id, value, t, lag(value) OVER o AS p, lead(value) OVER o AS q, t - lag(t) OVER o AS a, lead(t) OVER o - t AS b FROM ev WHERE unit = 'click' WINDOW o AS (ORDER BY t))
+@query(f"""WITH {_EV}, w AS (SELECT event_id, value, t, lag(value) OVER o AS p, lead(value) OVER o AS q, t - lag(t) OVER o AS a, lead(t) OVER o - t AS b FROM ev WINDOW o AS (PARTITION BY unit ORDER BY t))
 SELECT event_id, round(abs(CASE WHEN p IS NULL THEN (q - value) / b WHEN q IS NULL THEN (value - p) / a ELSE (a * a * q + (b * b - a * a) * value - b * b * p) / (a * b * (a + b)) END), 5) AS speed FROM w""")
 def speed(spark, d):
-    ev = event_rows(spark, d).where("unit = 'click'")
-    return windows.speed(ev, ["value"], t="t", order="t", keys=["unit"]).select("event_id", _r("speed", 5))
+    return windows.speed(event_rows(spark, d), ["value"], t="t", order="t", keys=["unit"]).select("event_id", _r("speed", 5))
 
 
 @query(f"WITH {_EV} SELECT event_id, CASE WHEN value < lag(value) OVER (PARTITION BY user_id ORDER BY t) THEN 'Inbound' ELSE 'Outbound' END AS direction FROM ev")
@@ -591,7 +598,7 @@ def multiunit_rate(spark, d):
 
 # --- local states -----------------------------------------------------------------------------
 
-_LOCAL = f"{_EV}, p AS (SELECT event_id, CASE WHEN value = 475 THEN 18 ELSE least(greatest(floor(value / 25), 0), 19) END AS b FROM ev WHERE unit = 'signup'), g AS (SELECT event_id, j AS bin, abs(b - j) * 25.0 AS dist, b FROM p, range(20) r(j))"
+_LOCAL = f"{_EV}, p AS (SELECT event_id, CASE WHEN value = 475 THEN 18 ELSE least(greatest(floor(value / 25), 0), 19) END AS b FROM ev), g AS (SELECT event_id, j AS bin, abs(b - j) * 25.0 AS dist, b FROM p, range(20) r(j))"
 
 
 def _explode(df: DataFrame, column: str, digits: int = 6) -> DataFrame:
@@ -601,20 +608,20 @@ def _explode(df: DataFrame, column: str, digits: int = 6) -> DataFrame:
 @query(f"WITH {_LOCAL} SELECT event_id, bin, round(-3 * exp(-0.5 * dist * dist / 2500.0), 6) + 0.0 AS penalty FROM g")
 def local_penalty(spark, d):
     env = GRID.fit(None, ["value"])
-    return _explode(likelihood.non_local_penalty(event_rows(spark, d).where("unit = 'signup'"), env, 3.0, 50.0, ["value"]), "penalty").withColumn("penalty", F.col("penalty") + 0.0)
+    return _explode(likelihood.non_local_penalty(event_rows(spark, d), env, 3.0, 50.0, ["value"]), "penalty").withColumn("penalty", F.col("penalty") + 0.0)
 
 
 @query(f"WITH {_LOCAL}, k AS (SELECT event_id, bin, -0.5 * dist * dist / 1600.0 AS k FROM g) SELECT event_id, bin, round(k - ln(sum(exp(k)) OVER (PARTITION BY event_id)) + ln(20), 6) AS kernel FROM k")
 def local_kernel(spark, d):
     env = GRID.fit(None, ["value"])
-    return _explode(likelihood.local_kernel(event_rows(spark, d).where("unit = 'signup'"), env, 40.0, ["value"]), "kernel")
+    return _explode(likelihood.local_kernel(event_rows(spark, d), env, 40.0, ["value"]), "kernel")
 
 
-@query(f"WITH {_LOCAL} SELECT event_id, bin, round(ln(20), 6) AS kernel FROM g WHERE b = bin")
+@query(f"WITH {_LOCAL} SELECT event_id, bin, CASE WHEN b = bin THEN round(ln(20), 6) ELSE '-infinity'::DOUBLE END AS kernel FROM g")
 def local_delta_kernel(spark, d):
     env = GRID.fit(None, ["value"])
-    out = likelihood.local_kernel(event_rows(spark, d).where("unit = 'signup'"), env, 0.0, ["value"])
-    return _explode(out, "kernel").where("kernel > -1e300")
+    out = likelihood.local_kernel(event_rows(spark, d), env, 0.0, ["value"])
+    return _explode(out, "kernel")
 
 
 # --- simulators, decoders ---------------------------------------------------------------------
@@ -641,77 +648,4 @@ def decode_position(spark, d):
     return out.select("t_idx", "name", "bin", _r("acausal"))
 
 
-# --- whole tables -----------------------------------------------------------------------------
-# The queries of these names without "_whole" keep to the rows and bins of their SQL; these take all of them.
-
-def _lerp_whole(spark, d, extrapolate: bool):
-    ev = event_rows(spark, d)
-    targets = ev.select("unit").distinct().crossJoin(_half_hours(spark))
-    return asof.interpolate(targets, ev.select("unit", "t", "value"), ["value"], ["unit"], extrapolate=extrapolate).select("unit", "t_idx", _r("value", 5))
-
-
-@query()
-def asof_lerp_whole(spark, d):
-    return _lerp_whole(spark, d, True)
-
-
-@query()
-def asof_lerp_clamp_whole(spark, d):
-    return _lerp_whole(spark, d, False)
-
-
-@query()
-def kde_log_density_whole(spark, d):
-    out = kde.kde(event_rows(spark, d), ["value"], POINTS, STD, by=["unit"], log=True)
-    return out.select("unit", "bin", _r("density"))
-
-
-@query()
-def place_fields_whole(spark, d):
-    return _fields(spark, d).select("unit", "bin", _r("rate"), _r("field"))
-
-
-@query()
-def poisson_loglik_whole(spark, d):
-    ll = kde.poisson_loglik(hourly(spark, d), _fields(spark, d), len(POINTS))
-    return ll.select("t_idx", F.posexplode("ll").alias("bin", "ll")).select("t_idx", F.col("bin").cast("long").alias("bin"), _r("ll", 4))
-
-
-@query()
-def mark_intensity_whole(spark, d):
-    ll = _marked(spark, d, True)[2]
-    return ll.select(F.col("event_id").alias("vec_id"), F.posexplode("ll").alias("bin", "ll")).select("vec_id", F.col("bin").cast("long").alias("bin"), _r("ll", 5))
-
-
-@query()
-def marked_loglik_whole(spark, d):
-    en, de, ll = _marked(spark, d, True)
-    when = de.select("event_id", F.pmod(F.floor(F.col("event_id") / 5), F.lit(40)).alias("t_idx"))
-    ground = kde.ground_intensity(en, en, ["x"], POINTS, 30.0).withColumn("bin", F.col("bin").cast("int"))
-    out = kde.marked_loglik(ll, when, ground, spark.range(40).withColumnRenamed("id", "t_idx"), len(POINTS))
-    return out.select("t_idx", F.posexplode("ll").alias("bin", "ll")).select("t_idx", F.col("bin").cast("long").alias("bin"), _r("ll", 4))
-
-
-@query()
-def speed_whole(spark, d):
-    return windows.speed(event_rows(spark, d), ["value"], t="t", order="t", keys=["unit"]).select("event_id", _r("speed", 5))
-
-
-@query()
-def local_penalty_whole(spark, d):
-    env = GRID.fit(None, ["value"])
-    return _explode(likelihood.non_local_penalty(event_rows(spark, d), env, 3.0, 50.0, ["value"]), "penalty").withColumn("penalty", F.col("penalty") + 0.0)
-
-
-@query()
-def local_kernel_whole(spark, d):
-    return _explode(likelihood.local_kernel(event_rows(spark, d), GRID.fit(None, ["value"]), 40.0, ["value"]), "kernel")
-
-
-@query()
-def local_delta_kernel_whole(spark, d):
-    out = likelihood.local_kernel(event_rows(spark, d), GRID.fit(None, ["value"]), 0.0, ["value"])
-    return _explode(out, "kernel").where("kernel > -1e300")
-
-
 assert math.isfinite(X.LOG_EPS)

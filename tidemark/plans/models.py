@@ -143,10 +143,9 @@ class Decoder:
         clock = visited.select("t", F.dense_rank().over(_by("t")).cast("long").alias("t_idx"))
         counted = binning.bin_events(placed, clock).groupBy(self.unit, "t_idx").agg(F.count("*").alias("n"))
         rows = clock.join(visited, "t")
-        found = {}
-        for r in self.units.collect():
-            own = rows.join(counted.where(F.col(self.unit) == r[0]), "t_idx", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-            found[r[0]] = glm.fit_poisson(own, design, self.columns, "n", weight)
+        found = glm.fit_units(rows, rows.join(counted, "t_idx"), design, self.columns, self.unit, "n", weight)
+        for r in self.units.collect():  # a unit without events near samples has no rate
+            found.setdefault(r[0], np.r_[np.log(kde.EPS), np.zeros(len(design(points[:1])[0]) - 1)])
         return glm.fields(design, found, points, spark)
 
     def _mixtures(self, placed: DataFrame, visited: DataFrame, points: np.ndarray) -> dict:
@@ -213,6 +212,8 @@ class Decoder:
         return kde.marked_loglik(ll, when, model["ground"].withColumn("bin", F.col("bin").cast("int")), clock, n)
 
     def _local(self, model: dict, counted: DataFrame, events: DataFrame, clock: DataFrame, at: DataFrame, samples: DataFrame) -> DataFrame:
+        if self.algorithm not in ("kde", "log_kde"):
+            raise ConfigurationError("local states without bins have a kernel density likelihood only", "kde", self.algorithm, hint="give local_std: the local state then has the bins of this algorithm")
         if not self.marks:
             return kde.local_loglik(counted, model["placed"], model["visited"], at, self.columns, self.position_std, self.unit)
         decode = interpolate(binning.bin_events(events, clock).select("*", *(F.lit(None).cast("double").alias(c) for c in self.columns)), samples, self.columns)
@@ -372,9 +373,8 @@ def multi_environment(**options) -> Decoder:
 
 def non_local(**options) -> Decoder:
     """Local, no event, non-local continuous and fragmented states; the no-event row is not re-estimated."""
-    exit_ = 5e-3
-    rest = [(1 - 0.99 - exit_) / 2, (1 - 0.98) / 3, (1 - 0.96 - exit_) / 2]
-    matrix = [[0.99, exit_, rest[0], rest[0]], [rest[1], 0.98, rest[1], rest[1]], [rest[2], exit_, 0.96, rest[2]], [rest[2], exit_, rest[2], 0.96]]
+    # The chances of staying and of changing state.
+    matrix = [[0.99, 0.005, 0.0025, 0.0025], [0.02 / 3, 0.98, 0.02 / 3, 0.02 / 3], [0.0175, 0.005, 0.96, 0.0175], [0.0175, 0.005, 0.0175, 0.96]]
     lone = [Discrete(), Discrete(), Uniform(), Uniform()]
     return Decoder(**{
         "names": ("Local", "No-Spike", "Non-Local Continuous", "Non-Local Fragmented"),
