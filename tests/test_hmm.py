@@ -58,7 +58,9 @@ def test_invariants(seed, n, steps):
 
 @pytest.mark.parametrize("chunk", [1, 3, 7, 1000])
 @pytest.mark.parametrize("varying", [False, True])
-def test_chunks_change_nothing(spark, chunk, varying):
+@pytest.mark.parametrize("scan", [32, 2])
+def test_chunks_change_nothing(spark, monkeypatch, chunk, varying, scan):
+    monkeypatch.setattr(hmm, "SCAN_STATES", scan)  # 2: the plan for many states
     r = np.random.default_rng(1)
     n, steps = 3, 20
     pi, a, _ = model(5, n)

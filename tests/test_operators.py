@@ -69,15 +69,40 @@ def test_grid():
     assert (geometry.boundary_of(np.pad(np.ones((1, 1), bool), 1)).sum()) == 4
 
 
-def test_bins_and_snapping(spark):
+def test_bins_and_snapping(spark, monkeypatch):
     env = geometry.Environment("e", 1.0)
     env.columns, env.edges, env.interior = ("x",), [np.arange(7.0)], np.array([True, True, False, False, True, True])
     pts = [-3.0, 0.0, 1.0, 2.2, 3.4, 3.6, 5.0, 5.5, 99.0]
     got = [r["bin"] for r in env.bin_of(spark.createDataFrame([(x,) for x in pts], "x double")).collect()]
     assert got == [0, 0, 1, 1, 4, 4, 4, 5, 5]
+    monkeypatch.setattr(geometry, "BROADCAST_BINS", 3)  # the plan for many bins
+    assert [r["bin"] for r in env.bin_of(spark.createDataFrame([(x,) for x in pts], "x double")).collect()] == got
     assert np.isinf(env.distance[0, 5]) and env.distance[4, 5] == 1.0
 
 
+@pytest.mark.parametrize("bucket", [None, 0.7, 2.5])
+def test_bins_of_sessions(spark, bucket):
+    r = np.random.default_rng(4)
+    clocks = {"a": np.arange(0, 6, 0.5), "b": np.array([3.0, 3.1, 5.0, 9.0]), "c": np.array([1.0, 2.0])}
+    rows = [(s, float(t)) for s in ("a", "b", "d") for t in r.uniform(-1, 10, 80)] + [("a", 5.5), ("b", 3.0), ("b", 9.0), (None, 3.5)]
+    events = spark.createDataFrame(rows, "s string, t double").withColumn("unit", F.lit(1))
+    clock = spark.createDataFrame([(s, k, float(t)) for s, ts in clocks.items() for k, t in enumerate(ts)], "s string, t_idx long, t double")
+    got = sorted((x["s"], x["t"], x["t_idx"]) for x in binning.bin_events(events, clock, ["s"], bucket=bucket).collect())
+    want = sorted((s, t, min(int(np.searchsorted(clocks[s], t, side="right")) - 1, len(clocks[s]) - 2)) for s, t in rows if s in clocks and clocks[s][0] <= t <= clocks[s][-1])
+    assert got == want
+    n = binning.counts(events, clock, events.select("unit").distinct(), bucket=bucket, keys=["s"])
+    assert n.count() == 18 and n.agg(F.sum("n")).first()[0] == len(want)
+
+
+def test_long_clocks_get_buckets(spark, monkeypatch):
+    monkeypatch.setattr(binning, "BUCKET_BINS", 7)
+    t = np.sort(np.random.default_rng(2).uniform(0, 50, 60))
+    clock = spark.createDataFrame([(k, float(x)) for k, x in enumerate(t)], "t_idx long, t double")
+    e = np.random.default_rng(3).uniform(0, 50, 200)
+    got = {(x["t"], x["t_idx"]) for x in binning.bin_events(spark.createDataFrame([(float(x),) for x in e], "t double"), clock).collect()}
+    assert got == {(x, min(int(np.searchsorted(t, x, side="right")) - 1, 58)) for x in e.tolist() if t[0] <= x <= t[-1]}
+
+
 def test_environment_over_a_plane(spark):
     r = np.random.default_rng(0)
     xy = r.uniform(0, 20, size=(2000, 2))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+#: A clock of more bins is sorted in buckets of time of about so many.
+BUCKET_BINS = 65_536
+
 
 def uniform_bin(t: str, start: float, rate: float):
     """Index of the bin of a uniform clock."""
@@ -22,36 +25,50 @@ def bin_events(events: DataFrame, clock: DataFrame, keys: list[str] | None = Non
     The last clock entry is an end, not a bin: what falls on it goes to the bin before (that bin is closed
     on the right).  An as-of step without a join: bins and events are sorted together and each event
     takes the last bin seen.  With ``bucket`` seconds the sort is done in buckets of time, each of which
-    also gets the last bin before it, so that a long clock is sorted by many tasks.
+    also gets the last bin before it, so that a long clock is sorted by many tasks; a clock of more than
+    BUCKET_BINS bins gets buckets by itself.
+
+    With ``keys`` (sessions) events and clock have these columns, and each session has its own clock, the end
+    included; events of a session without a clock (or with a null key) go.
     """
     keys = keys or []
-    last = clock.agg(F.max("t_idx").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1")).first()
-    if last["n"] is None:
-        return events.withColumn("t_idx", F.lit(None).cast("long")).limit(0)
-    inner = events.where(F.col(t).between(last["t0"], last["t1"]))
+    span = F.max("t_idx").alias("__n"), F.min("t").alias("__t0"), F.max("t").alias("__t1")
+    if keys:
+        ends = clock.groupBy(*keys).agg(*span)
+        inner = events.join(ends, keys).where(F.col(t).between(F.col("__t0"), F.col("__t1")))
+        bins = clock.select(*keys, "t_idx", "t").join(ends.select(*keys, "__n", "__t1"), keys).where(F.col("t_idx") < F.col("__n"))
+    else:
+        last = clock.agg(*span).first()
+        if last["__n"] is None:
+            return events.withColumn("t_idx", F.lit(None).cast("long")).limit(0)
+        if bucket is None and last["__n"] > BUCKET_BINS and last["__t1"] > last["__t0"]:
+            bucket = (last["__t1"] - last["__t0"]) * BUCKET_BINS / last["__n"]
+        inner = events.where(F.col(t).between(last["__t0"], last["__t1"]))
+        bins = clock.where(F.col("t_idx") < last["__n"]).withColumn("__t1", F.lit(last["__t1"]))
     names = [c for c in events.columns]
-    bins = clock.where(F.col("t_idx") < last["n"])
     slot = F.floor(F.col("__at") / bucket).cast("long") if bucket else F.lit(0).cast("long")
-    left = bins.select(F.col("t").alias("__at"), F.col("t_idx").alias("__bin"), F.lit(0).alias("__kind")).withColumn("__slot", slot)
+    left = bins.select(*keys, F.col("t").alias("__at"), F.col("t_idx").alias("__bin"), F.lit(0).alias("__kind"), "__t1").withColumn("__slot", slot)
     if bucket:
-        starts = Window.orderBy("__slot")
-        firsts = left.groupBy("__slot").agg(F.max_by("__bin", "__at").alias("__bin"), F.max("__at").alias("__at")).withColumn("__next", F.lead("__slot").over(starts))  # one row a bucket
-        carried = firsts.select("__at", "__bin", F.lit(0).alias("__kind"), F.explode(F.sequence(F.col("__slot") + 1, F.coalesce("__next", F.lit(int(last["t1"] // bucket) + 1)))).alias("__slot"))
+        starts = Window.partitionBy(*keys).orderBy("__slot")
+        firsts = left.groupBy(*keys, "__slot").agg(F.max_by("__bin", "__at").alias("__bin"), F.max("__at").alias("__at"), F.max("__t1").alias("__t1")).withColumn("__next", F.lead("__slot").over(starts))  # one row a bucket
+        carried = firsts.select(*keys, "__at", "__bin", F.lit(0).alias("__kind"), "__t1", F.explode(F.sequence(F.col("__slot") + 1, F.coalesce("__next", F.floor(F.col("__t1") / bucket) + 1))).alias("__slot"))
         left = left.unionByName(carried)
-    right = inner.select(F.col(t).alias("__at"), F.lit(None).cast("long").alias("__bin"), F.lit(1).alias("__kind"), F.struct(*names).alias("__row")).withColumn("__slot", slot)
+    left = left.drop("__t1")
+    right = inner.select(*keys, F.col(t).alias("__at"), F.lit(None).cast("long").alias("__bin"), F.lit(1).alias("__kind"), F.struct(*names).alias("__row")).withColumn("__slot", slot)
     both = left.withColumn("__row", F.lit(None).cast(right.schema["__row"].dataType)).unionByName(right)
-    order = Window.partitionBy("__slot").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*keys, "__slot").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("t_idx", F.last("__bin", ignorenulls=True).over(order)).where("__kind = 1").select("__row.*", "t_idx")
 
 
-def counts(events: DataFrame, clock: DataFrame, units: DataFrame, unit: str = "unit", bucket: float | None = None) -> DataFrame:
-    """(unit, t_idx, n) for every unit and clock entry, zero-filled; only events are aggregated.
+def counts(events: DataFrame, clock: DataFrame, units: DataFrame, unit: str = "unit", bucket: float | None = None, keys: list[str] | None = None) -> DataFrame:
+    """(keys, unit, t_idx, n) for every unit and clock entry, zero-filled; only events are aggregated.
 
     The last clock entry never has events.  ``units`` lists the units (one row each).
     """
-    found = bin_events(events, clock, bucket=bucket).groupBy(unit, "t_idx").agg(F.count("*").alias("n"))
-    grid = units.select(unit).crossJoin(clock.select("t_idx"))
-    return grid.join(found, [unit, "t_idx"], "left").select(unit, "t_idx", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    keys = keys or []
+    found = bin_events(events, clock, keys, bucket=bucket).groupBy(*keys, unit, "t_idx").agg(F.count("*").alias("n"))
+    grid = units.select(unit).crossJoin(clock.select(*keys, "t_idx"))
+    return grid.join(found, [*keys, unit, "t_idx"], "left").select(*keys, unit, "t_idx", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def segment_sum(rows: DataFrame, values: list[str], by: list[str]) -> DataFrame:

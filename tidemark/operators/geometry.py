@@ -12,12 +12,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.checks import ConfigurationError, positive, track_graph
 from .windows import gaussian_smooth, gradient
 
-#: A distance table of so many bins at most is broadcast; beyond it is joined.
+#: A distance table of so many bins at most is broadcast; beyond it is joined, and points are snapped in Arrow batches.
 BROADCAST_BINS = 2000
 
 
@@ -383,10 +384,10 @@ class Environment:
         mask = self.interior.ravel()
         if mask.all() or not mask.any():
             return raw
-        here = F.array(*(F.struct(*(F.lit(float(x)).alias(f"c{d}") for d, x in enumerate(self.points[k])), F.lit(int(k)).alias("bin")) for k in self.interior_bins)) if len(self.interior_bins) <= BROADCAST_BINS else None
+        if len(self.interior_bins) > BROADCAST_BINS:
+            return raw.withColumn(out, snapper(self.points, mask)(F.struct(F.col(out).cast("long").alias("bin"), *(F.col(c).cast("double").alias(f"c{d}") for d, c in enumerate(columns)))))
+        here = F.array(*(F.struct(*(F.lit(float(x)).alias(f"c{d}") for d, x in enumerate(self.points[k])), F.lit(int(k)).alias("bin")) for k in self.interior_bins))
         inside = F.array(*(F.lit(int(k)) for k in self.interior_bins))
-        if here is None:
-            raise ConfigurationError("too many interior bins for snapping in one expression", BROADCAST_BINS, len(self.interior_bins))
         far = lambda b: sum(((F.col(c) - b[f"c{d}"]) * (F.col(c) - b[f"c{d}"]) for d, c in enumerate(columns)), F.lit(0.0))
         snapped = F.array_min(F.transform(here, lambda b: F.struct(far(b).alias("d"), b["bin"].alias("bin"))))["bin"]
         return raw.withColumn(out, F.when(F.array_contains(inside, F.col(out).cast("int")), F.col(out)).otherwise(snapped.cast("long")))
@@ -416,6 +417,24 @@ class Environment:
         return moved.withColumn("direction", label).drop("__b", "__bin", "__hub", "__slope")
 
 
+def snapper(points: np.ndarray, interior: np.ndarray):
+    """From (bin, coordinates) to the bin, or to the nearest interior one (the lowest on a tie) off the track."""
+    here = np.flatnonzero(interior)
+
+    @F.pandas_udf("long")
+    def snap(rows: pd.DataFrame) -> pd.Series:
+        out = rows["bin"].to_numpy(dtype=float, na_value=np.nan)
+        off = np.flatnonzero(np.isnan(out) | ~interior[np.nan_to_num(out).astype(int)])
+        at = rows.drop(columns="bin").to_numpy(dtype=float, na_value=np.nan)
+        for k in range(0, len(off), 256):
+            some = off[k:k + 256]
+            d = sum((at[some, c][:, None] - points[here, c]) ** 2 for c in range(at.shape[1]))
+            out[some] = here[np.where(np.isnan(d), np.inf, d).argmin(axis=1)]
+        return pd.Series(out.astype(np.int64))
+
+    return snap
+
+
 def edge_sorted_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes by their edge's mean linear position, then their own."""
     mean = F.avg("linear_position").over(Window.partitionBy("edge_id"))

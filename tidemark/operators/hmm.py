@@ -8,7 +8,9 @@ compose.  So a session is cut into chunks of time; each chunk becomes one S x S
 chunks in parallel); the operators of a session are folded to give each chunk its incoming messages (one row
 a chunk); and each chunk is then run with its messages (second pass, parallel).  No task holds more than one
 chunk, or the operators of one session.  For more than SCAN_STATES states an S x S operator costs more than it
-saves, and chunks of a session are run in one ordered group instead, with states carried from chunk to chunk.
+saves: the messages are then carried along a session's ordered rows, once from either end, by a task that holds
+a record batch and one vector, and its chunks (of at most CELLS values) are again run in parallel.  Viterbi
+carries the scores from the end; each chunk then tells where a path leaves it for each state of entry.
 """
 
 from __future__ import annotations
@@ -17,10 +19,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 CHUNK = 4096
 SCAN_STATES = 32
+#: Steps x states of a chunk above SCAN_STATES.
+CELLS = 4_000_000
 EPS = 1e-15
 
 
@@ -186,6 +191,61 @@ def _messages(df: DataFrame, pi: np.ndarray, fixed, keys: list[str], trans: str
     return ops.groupBy(*keys).applyInPandas(fold, out) if keys else ops.groupBy(F.col("chunk") * 0).applyInPandas(fold, out)
 
 
+def _carry(rows: DataFrame, keys: list[str], name: str, fixed: np.ndarray | None, trans: str | None, start: np.ndarray | None, step, down: bool) -> DataFrame:
+    """(keys, chunk, ``name``): the vector that reaches each chunk along its session; null where none does.
+
+    ``step(vector, ll, transition)`` takes the vector over one row; ``down`` goes from the last row to the first.
+    """
+    schema = T.StructType([*_fields(rows, keys), T.StructField("chunk", T.LongType()), T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        session = chunk = vector = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = len(batch.column("ll")[0])
+            ll = batch.column("ll").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            each = batch.column(trans).flatten().to_numpy(zero_copy_only=False).reshape(-1, n, n) if trans else None
+            mine = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * batch.num_rows
+            out = []
+            for k, c in enumerate(batch.column("chunk").to_pylist()):
+                if mine[k] != session:
+                    session, chunk, vector = mine[k], None, start
+                if c != chunk:
+                    chunk = c
+                    out.append((*session, c, None if vector is None else vector.tolist()))
+                vector = step(vector, ll[k], fixed if each is None else each[k])
+            kinds = [*(batch.schema.field(k).type for k in keys), pa.int64(), pa.list_(pa.float64())]
+            columns = zip(*out, strict=True) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[*keys, "chunk", name])
+
+    at = F.col("t_idx").desc() if down else F.col("t_idx")
+    placed = rows.repartition(*keys) if keys else rows.repartition(1)
+    return placed.sortWithinPartitions(*keys, at).mapInArrow(run, schema)
+
+
+def _carried(df: DataFrame, pi: np.ndarray, fixed, keys: list[str], trans: str | None) -> DataFrame:
+    """As _messages, without operators."""
+    def ahead(p, ll, a):
+        return condition_on(p, ll)[0] @ a
+
+    def behind(g, ll, a):
+        top = ll.max()
+        out = np.exp(ll - (top if np.isfinite(top) else 0.0)) * (a.sum(axis=1) if g is None else a @ g)
+        return out / out.max() if out.max() > 0 else out
+
+    fwd = _carry(df, keys, "fwd", fixed, trans, pi, ahead, False)
+    bwd = _carry(df, keys, "bwd", fixed, trans, None, behind, True)
+    none = F.lit(None).cast("array<double>")
+    both = fwd.withColumn("bwd", none).unionByName(bwd.withColumn("fwd", none))
+    return both.groupBy(*keys, "chunk").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("fwd", "bwd")))
+
+
+def _chunked(df: DataFrame, keys: list[str], trans: str | None, chunk: int, n: int) -> DataFrame:
+    size = max(1, min(chunk, CELLS // n)) if n > SCAN_STATES else chunk
+    return df.select(*keys, "t_idx", "ll", *([trans] if trans else [])).withColumn("chunk", F.floor(F.col("t_idx") / size).cast("long"))
+
+
 def decode(df: DataFrame, initial: Sequence[float], transition: Sequence[Sequence[float]] | None = None, keys: Sequence[str] = (), trans: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """``df``'s keys and t_idx with filtered, predicted, smoothed (arrays) and log_norm.
 
@@ -193,22 +253,13 @@ def decode(df: DataFrame, initial: Sequence[float], transition: Sequence[Sequenc
     """
     keys, pi = list(keys), np.asarray(initial, float)
     fixed = None if transition is None else np.asarray(transition, float)
-    rows = df.select(*keys, "t_idx", "ll", *([trans] if trans else [])).withColumn("chunk", F.floor(F.col("t_idx") / chunk).cast("long"))
+    rows = _chunked(df, keys, trans, chunk, len(pi))
     schema = T.StructType([*_fields(df, keys), df.schema["t_idx"], *(T.StructField(n, _ARRAY) for n in ("filtered", "predicted", "smoothed")), T.StructField("log_norm", T.DoubleType())])
 
     def result(pdf, f, p, s, norm):
         return pd.DataFrame({**{k: pdf[k] for k in keys}, "t_idx": pdf["t_idx"], "filtered": list(f), "predicted": list(p), "smoothed": list(s), "log_norm": norm})
 
-    if len(pi) > SCAN_STATES:
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("t_idx")
-            ll, a = _read(pdf, fixed, trans)
-            f, p, norm = filter_array(pi, ll, a)
-            return result(pdf, f, p, smooth_array(f, a), norm)
-
-        return rows.groupBy(*(keys or [F.col("chunk") * 0])).applyInPandas(whole, schema)
-
-    messages = _messages(rows, pi, fixed, keys, trans)
+    messages = (_carried if len(pi) > SCAN_STATES else _messages)(rows, pi, fixed, keys, trans)
 
     def run(key, pdf: pd.DataFrame, msg: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t_idx")
@@ -229,15 +280,48 @@ def viterbi(df: DataFrame, initial: Sequence[float], transition: Sequence[Sequen
     """``df``'s keys and t_idx with ``state``, the most likely sequence of each session."""
     keys, pi = list(keys), np.asarray(initial, float)
     fixed = None if transition is None else np.asarray(transition, float)
-    rows = df.select(*keys, "t_idx", "ll", *([trans] if trans else [])).withColumn("chunk", F.floor(F.col("t_idx") / chunk).cast("long"))
+    rows = _chunked(df, keys, trans, chunk, len(pi))
     schema = T.StructType([*_fields(df, keys), df.schema["t_idx"], T.StructField("state", T.LongType())])
-    if len(pi) > SCAN_STATES:
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("t_idx")
-            ll, a = _read(pdf, fixed, trans)
-            return pd.DataFrame({**{k: pdf[k] for k in keys}, "t_idx": pdf["t_idx"], "state": viterbi_array(pi, ll, a)})
+    picked = T.StructType([*_fields(df, keys), T.StructField("chunk", T.LongType()), T.StructField("enter", T.LongType()), T.StructField("tail", _ARRAY)])
+
+    def run(key, pdf: pd.DataFrame, msg: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t_idx")
+        ll, a = _read(pdf, fixed, trans)
+        back, _ = _backward_max(ll, a, np.asarray(msg["tail"].iloc[0]))
+        return pd.DataFrame({**{k: pdf[k] for k in keys}, "t_idx": pdf["t_idx"], "state": _walk(int(msg["enter"].iloc[0]), ll, a, back)})
 
-        return rows.groupBy(*(keys or [F.col("chunk") * 0])).applyInPandas(whole, schema)
+    if len(pi) > SCAN_STATES:
+        logs = None if fixed is None else _log(fixed)
+
+        def best(head, ll, a):  # score from each state at a row on, its own likelihood included
+            return ll if head is None else ll + ((_log(a) if trans else a) + head[None, :]).max(axis=1)
+
+        heads = _carry(rows, keys, "head", logs, trans, None, best, True)
+        ways = T.StructType([*_fields(df, keys), T.StructField("chunk", T.LongType()), T.StructField("start", _ARRAY), T.StructField("leave", T.ArrayType(T.LongType(), False)), T.StructField("tail", _ARRAY)])
+
+        def links(key, pdf: pd.DataFrame, msg: pd.DataFrame) -> pd.DataFrame:
+            ll, a = _read(pdf.sort_values("t_idx"), fixed, trans)
+            head = msg["head"].iloc[0]
+            tail = np.zeros(ll.shape[1]) if head is None else (_log(a if a.ndim == 2 else a[-1]) + np.asarray(head)[None, :]).max(axis=1)
+            back, start = _backward_max(ll, a, tail)
+            state = np.arange(ll.shape[1])
+            for k in range(1, len(ll) + (head is not None)):
+                kinds, which = np.unique(state, return_inverse=True)
+                ahead = ll[k] + back[k] if k < len(ll) else np.asarray(head)
+                state = (_log((a if a.ndim == 2 else a[k - 1])[kinds]) + ahead).argmax(axis=1)[which]
+            return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "chunk": [pdf["chunk"].iloc[0]], "start": [start], "leave": [state], "tail": [tail]})
+
+        def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("chunk")
+            state, enter = int(np.argmax(_log(pi) + pdf["start"].iloc[0])), []
+            for leave in pdf["leave"]:
+                enter.append(state)
+                state = int(leave[state])
+            return pd.DataFrame({**{k: pdf[k] for k in keys}, "chunk": pdf["chunk"], "enter": enter, "tail": pdf["tail"]})
+
+        linked = rows.groupBy(*keys, "chunk").cogroup(heads.groupBy(*keys, "chunk")).applyInPandas(links, ways)
+        chosen = linked.groupBy(*(keys or [F.col("chunk") * 0])).applyInPandas(follow, picked)
+        return rows.groupBy(*keys, "chunk").cogroup(chosen.groupBy(*keys, "chunk")).applyInPandas(run, schema)
 
     # First pass: each chunk's best score from a state at its start to each state at its last row.
     ends = T.StructType([*_fields(df, keys), T.StructField("chunk", T.LongType()), T.StructField("score", _ARRAY), T.StructField("link", _ARRAY), T.StructField("head", _ARRAY)])
@@ -249,7 +333,6 @@ def viterbi(df: DataFrame, initial: Sequence[float], transition: Sequence[Sequen
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "chunk": [pdf["chunk"].iloc[0]], "score": [inner.ravel()], "link": [link.ravel()], "head": [ll[0]]})
 
     ops = rows.groupBy(*keys, "chunk").applyInPandas(score, ends)
-    picked = T.StructType([*_fields(df, keys), T.StructField("chunk", T.LongType()), T.StructField("enter", T.LongType()), T.StructField("tail", _ARRAY)])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
@@ -271,13 +354,6 @@ def viterbi(df: DataFrame, initial: Sequence[float], transition: Sequence[Sequen
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(inner) for k in keys}, "chunk": pdf["chunk"].to_numpy(), "enter": enter, "tail": tails})
 
     chosen = (ops.groupBy(*keys) if keys else ops.groupBy(F.col("chunk") * 0)).applyInPandas(fold, picked)
-
-    def run(key, pdf: pd.DataFrame, msg: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t_idx")
-        ll, a = _read(pdf, fixed, trans)
-        back, _ = _backward_max(ll, a, np.asarray(msg["tail"].iloc[0]))
-        return pd.DataFrame({**{k: pdf[k] for k in keys}, "t_idx": pdf["t_idx"], "state": _walk(int(msg["enter"].iloc[0]), ll, a, back)})
-
     return rows.groupBy(*keys, "chunk").cogroup(chosen.groupBy(*keys, "chunk")).applyInPandas(run, schema)
 
 
