@@ -99,6 +99,13 @@ def test_edges(spark):
         neardup.jaccard_join(df, threshold=0.5)
 
 
+def test_null_ids_are_linked(spark):
+    w = [f"w{k}" for k in range(60)]
+    docs = [(9, " ".join(w)), (None, " ".join([*w, "x"])), (None, " ".join([*w, "x"])), (None, " ".join(["y", *w])), (None, "else"), (4, None), (None, None)]
+    out = neardup.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"] is None, x["class_id"] if x["class_id"] < 1 << 62 else -1, x["n_links"]) for x in out) == [(False, 4, 1), (False, 9, 3), (True, -1, 0), (True, 4, 1), (True, 9, 3), (True, 9, 3), (True, 9, 3)]
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(k, k + 1) for k in range(100, 160)]

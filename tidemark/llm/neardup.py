@@ -17,7 +17,8 @@ are the classes.
 
 Results: ``class_id`` (smallest id in the class) and ``n_links`` (other documents at 0.8 or more).  Null text
 is empty text.  Texts without words link only to equal texts.  Ids are meant to be unique: rows with one id
-are linked if any of their texts are; null ids get a class of their own texts.  An empty table gives an empty table.
+are linked if any of their texts are.  Rows with a null id take part like all others, under a stand-in above all ids
+that follows from the text (a class of such rows alone has a stand-in as class_id).  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -206,7 +207,11 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
         raise ValueError(f"the bands are chosen for thresholds from {THRESHOLD} on")
     spark = docs.sparkSession
     arrow_bounds(spark)
-    sig = stored(signatures(docs, doc_id, text, n))
+    named = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    # Above all ids, so that it is the smallest of a class only where all ids are null.
+    lone = named.where("id is null").withColumn("id", F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62)))
+    named = named.where("id is not null")
+    sig = stored(signatures(named, "id", "text", n).withColumn("named", F.lit(True)).unionByName(signatures(lone, "id", "text", n).withColumn("named", F.lit(False))))
     nodes = stored(sig.groupBy("k1", "k2").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles")).select("k1", "k2", F.coalesce("least", "k1").alias("node"), "copies", "n_shingles"))
 
     # Ties: each set to the smallest of its bucket.
@@ -218,7 +223,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     # Verification: tiles of two blocks of a group.
     shape = group.groupBy("root").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s")).select("root", F.greatest(F.ceil(F.col("c") / TILE_DOCS), F.ceil(F.col("s") / TILE_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
     members = group.join(shape, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    texts = named.unionByName(lone.dropDuplicates(["id"]))
     texts = by_bitmap(texts.withColumn("h", id_bit("id")), "h", id_bitmap(group, "node"), True).drop("h")  # few texts are shuffled
     rows = members.join(texts, F.col("node") == F.col("id")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "node", "copies", "text")
@@ -228,8 +233,8 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     classes = components(found.where("b is not null").select("a", "b"))
 
     table = nodes.select("k1", "k2", "node", "copies").join(links, "node", "left").join(classes, "node", "left")
-    out = sig.select("id", "k1", "k2").join(table, ["k1", "k2"]).select(
-        F.col("id").alias(doc_id), F.coalesce("root", "node").alias("class_id"),
+    out = sig.select("id", "named", "k1", "k2").join(table, ["k1", "k2"]).select(
+        F.when(F.col("named"), F.col("id")).alias(doc_id), F.coalesce("root", "node").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies"),
     )
     return out
