@@ -57,6 +57,12 @@ def test_query_against_sql(spark, tmp_path, monkeypatch, group):
     assert all(r[5] == 1.0 for r in got if r[3] == r[4]) and all(0 <= r[5] <= 1 and 0 <= r[6] <= 1 for r in near.values())
 
 
+def test_next_rows_with_other_names(spark):
+    df = spark.createDataFrame([(1, "a", 5, 6), (2, "b", 7, 8), (3, "c", 9, 0)], "n long, body string, group int, first int")
+    out = merkle.with_next(df, "n", {"body": "after"}, "body").collect()
+    assert {(r["n"], r["after"], r["group"], r["first"]) for r in out} == {(3, "b", 9, 0), (2, "a", 7, 8), (1, "c", 5, 6)}
+
+
 def test_edges(spark, tmp_path):
     df = spark.createDataFrame([(None, "x y", "mine"), (5, "p", "q"), (5, "p", "q")], "doc_id long, text string, leaves string")
     assert merkle.fingerprint(df).columns == ["doc_id", "text", "leaves", "sections", "fingerprint", "leaves_"]

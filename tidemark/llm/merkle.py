@@ -65,12 +65,14 @@ def fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(names[0], sections(whole)).withColumn(names[1], root(F.col(names[0]))).withColumn(names[2], leaves(whole))
 
 
-def with_next(df: DataFrame, doc_id: str, carried: dict[str, str]) -> DataFrame:
+def with_next(df: DataFrame, doc_id: str, carried: dict[str, str], text: str = "text") -> DataFrame:
     """``df`` with columns of the next row by descending id (after the last, the first): {column: new name}.
 
     Rows are dealt to groups by ranges of the id; each group also gets the first row of the group that
     follows, so one shuffle and one sort in each group do.  Only group bounds and ends reach the driver.
     """
+    group = distinct_name([*df.columns, *carried.values()], "group")
+    guest = distinct_name([*df.columns, *carried.values(), group], "guest")
     n = df.count()
     groups = max(1, min(MAX_GROUPS, -(-n // GROUP)))
     bounds = df.agg(F.percentile_approx(F.col(doc_id), [i / groups for i in range(1, groups)] or [0.5], 100_000)).first()[0] or []
@@ -80,15 +82,15 @@ def with_next(df: DataFrame, doc_id: str, carried: dict[str, str]) -> DataFrame:
     # The number of bounds below the id, in two steps: whole runs of bounds, then inside the next run.
     coarse = F.size(F.filter(F.array(*(F.lit(r[-1]) for r in fine)), lambda b: b < F.col(doc_id))) if fine else F.lit(0)
     place = sum((F.when(coarse == i, F.lit(i * step) + F.size(F.filter(F.array(*map(F.lit, r)), lambda b: b < F.col(doc_id)))).otherwise(0) for i, r in enumerate(fine)), F.when(coarse == len(fine), F.lit(len(cuts))).otherwise(0)) if fine else F.lit(0)
-    dealt = df.withColumn("__group", F.when(F.col(doc_id).isNull(), -1).otherwise(place))
-    ends = sorted((r["__group"], r["first"]) for r in dealt.groupBy("__group").agg(F.max(doc_id).alias("first")).collect())  # MAX_GROUPS + 1 rows at most
+    dealt = df.withColumn(group, F.when(F.col(doc_id).isNull(), -1).otherwise(place))
+    ends = sorted((r[0], r["first"]) for r in dealt.groupBy(group).agg(F.max(doc_id).alias("first")).collect())  # MAX_GROUPS + 1 rows at most
     follows = {g: ends[i - 1] for i, (g, _) in enumerate(ends)}  # the group below; below the lowest, the highest
     pairs = [(g, first) for g, (_, first) in follows.items()]
     guests = df.sparkSession.createDataFrame(pairs or [(0, None)], "to int, first long")
-    guest = df.join(F.broadcast(guests), F.col(doc_id).cast("long").eqNullSafe(F.col("first"))).select(*df.columns, F.col("to").alias("__group"))
-    both = dealt.withColumn("__guest", F.lit(False)).unionByName(guest.withColumn("__guest", F.lit(True)))
-    order = Window.partitionBy("__group").orderBy("__guest", F.col(doc_id).desc(), "text")
-    return both.select("*", *(F.lead(c).over(order).alias(new) for c, new in carried.items())).where("not __guest").drop("__group", "__guest")
+    invited = df.join(F.broadcast(guests), df[doc_id].cast("long").eqNullSafe(guests["first"])).select(*(df[c] for c in df.columns), guests["to"].alias(group))
+    both = dealt.withColumn(guest, F.lit(False)).unionByName(invited.withColumn(guest, F.lit(True)))
+    order = Window.partitionBy(group).orderBy(guest, F.col(doc_id).desc(), text)
+    return both.select("*", *(F.lead(c).over(order).alias(new) for c, new in carried.items())).where(~F.col(guest)).drop(group, guest)
 
 
 def op4_merkle(spark, sf_dir: str) -> DataFrame:
