@@ -65,6 +65,21 @@ def test_kth_key(spark, k):
     assert (key, h) == sorted(((x[2], x[1]) for x in rows), reverse=True)[k - 1]
 
 
+def test_kth_key_among_many_ties(spark):
+    df = spark.range(25_000).select("id", F.xxhash64("id").alias("h"), F.lit(1.5).alias("key"))
+    low, h, rest = quality._kth(df, 20_001)
+    assert (low, h) == (1.5, None)
+    h = quality._kth(df.select("id", F.col("id").alias("h"), F.col("h").alias("key")), rest)[0]
+    assert df.where(F.col("h") >= h).count() == 20_001
+
+
+def test_clashing_names(spark):
+    rows = [(k, f"a b {k}", 7, "x") for k in range(6)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(6)], "doc_id long, quality int, toxic int")
+    out = quality.importance(spark.createDataFrame(rows, "doc_id long, text string, h int, toxicity string").withColumn("__h", F.lit(1)), labels)
+    assert out.columns == ["doc_id", "text", "h", "toxicity", "__h", "log_weight", "selected"] and {(r["h"], r["toxicity"], r["__h"]) for r in out.collect()} == {(7, "x", 1)}
+
+
 def test_threshold():
     assert quality.threshold(np.array([-3.0, -2.0, 1.0, 2.0]), np.array([False, False, True, True])) == -0.5
     assert quality.threshold(np.array([1.0, 2.0]), np.array([True, True])) == float("-inf")

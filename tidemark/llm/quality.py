@@ -200,7 +200,7 @@ def _kth(keys: DataFrame, k: int):
     while True:
         inside = keys.where((F.col("key") >= low) & (F.col("key") <= high))
         step = (high - low) / 1024
-        bins = inside.groupBy(F.least(F.floor((F.col("key") - low) / step) if step > 0 else F.lit(0), F.lit(1023)).alias("b")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy(F.desc("b")).collect()
+        bins = inside.groupBy(F.least(F.floor((F.col("key").cast("double") - float(low)) / float(step)) if step > 0 else F.lit(0), F.lit(1023)).alias("b")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy(F.desc("b")).collect()
         for x in bins:
             if above + x["n"] >= k:
                 break
@@ -241,7 +241,8 @@ def importance(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     picked = distinct_name([*docs.columns, taken], "selected")
     noise = -F.log(-F.log((F.pmod(F.col("h"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))))
     keys = stored(pairs.select("id", F.xxhash64(F.lit("gumbel"), "id", "text").alias("h"), "text").mapInArrow(lambda it: _weights(it, ratio, tone), "id long, h long, weight double, toxicity double").withColumn("key", F.col("weight") + F.lit(spread) * noise))
-    judged = keys.join(F.broadcast(sample.where("not fits")), "id").select("weight", "toxicity", "good", "toxic").limit(2 * max_labelled).toArrow()
+    # A row a label, max_labelled at most; of rows with one id the one of the least hash.
+    judged = keys.join(F.broadcast(sample.where("not fits")), "id").groupBy("id").agg(F.min_by(F.struct("weight", "toxicity", "good", "toxic"), "h").alias("x")).select("x.*").toArrow()
     weight, toxicity, good, bad_tone = (judged.column(k).to_numpy() for k in range(4))
     good, bad_tone = good.astype(bool), bad_tone.astype(bool)
     clean = threshold(-toxicity, ~bad_tone)  # of -toxicity
@@ -250,23 +251,23 @@ def importance(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     k = keys.where(F.col("weight") >= cut).count()
     n = keys.count()
     key, h, rest = _kth(keys, k) if 0 < k < n else (float("-inf") if k else float("inf"), None, 0)
-    scored = docs.withColumn("__h", F.xxhash64(F.lit("gumbel"), F.col(doc_id).cast("long"), F.col(text)))
-    names = [*docs.columns, "__h"]
-    schema = T.StructType([*docs.schema.fields, T.StructField("__h", T.LongType()), T.StructField(taken, T.DoubleType()), T.StructField("__toxicity", T.DoubleType())])
+    hashed = distinct_name([*docs.columns, taken, picked], "h")
+    tone_of = distinct_name([*docs.columns, taken, picked, hashed], "toxicity")
+    scored = docs.withColumn(hashed, F.xxhash64(F.lit("gumbel"), F.col(doc_id).cast("long"), F.col(text)))
+    names = [*docs.columns, hashed]
+    schema = T.StructType([*docs.schema.fields, T.StructField(hashed, T.LongType()), T.StructField(taken, T.DoubleType()), T.StructField(tone_of, T.DoubleType())])
 
     def run(batches):
         for batch in batches:
             found = next(_weights([pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(text))], names=["t"])], ratio, tone))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found.columns], names=[*names, taken, "__toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found.columns], names=[*names, taken, tone_of])
 
     out = scored.mapInArrow(run, schema)
-    own = F.col(taken) + F.lit(spread) * -F.log(-F.log((F.pmod(F.col("__h"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))))
-    if rest:  # more than 10,000 rows share the k-th key: they are ranked by hash alone
-        line = keys.where(F.col("key") == key).agg(F.percentile("h", 1 - rest / max(1, keys.where(F.col("key") == key).count()))).first()[0]
-        rule = (own > key) | ((own == key) & (F.col("__h") >= line))
-    else:
-        rule = (own > key) | ((own == key) & (F.col("__h") >= h)) if h is not None else own > key
-    return out.withColumn(picked, rule & (-F.col("__toxicity") >= clean)).drop("__h", "__toxicity")
+    own = F.col(taken) + F.lit(spread) * -F.log(-F.log((F.pmod(F.col(hashed), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))))
+    if rest:  # more than 10,000 rows share the k-th key: they are ranked by hash alone (equal ones are copies of one row)
+        h = _kth(keys.where(F.col("key") == key).select("id", F.col("id").alias("h"), F.col("h").alias("key")), rest)[0]
+    rule = (own > key) | ((own == key) & (F.col(hashed) >= h)) if h is not None else own > key
+    return out.withColumn(picked, rule & (-F.col(tone_of) >= clean)).drop(hashed, tone_of)
 
 
 def op9_importance(spark, sf_dir: str) -> DataFrame:
