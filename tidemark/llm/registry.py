@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, htmlcrf, merkle, neardup, pii, quality, suffix, tokencount
+from . import bpe, chat, decontaminate, htmlcrf, merkle, neardup, pii, quality, spelling, suffix, tokencount
 
-MODULES = [neardup, htmlcrf, bpe, merkle, pii, tokencount, suffix, chat, quality, decontaminate]
+MODULES = [neardup, htmlcrf, bpe, merkle, pii, tokencount, suffix, chat, quality, decontaminate, spelling]
 
 
 def queries() -> dict:
