@@ -68,6 +68,20 @@ def forget(df: DataFrame) -> None:
         fs.delete(hpath, True)
 
 
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], count: str, share: int = 1000) -> DataFrame:
+    """``rows`` joined to ``table`` (one row a key), whose column ``count`` tells how many rows each key has.
+
+    Keys with more than one in ``share`` of the counted rows are fewer than ``share``: those are broadcast, and what
+    is shuffled has no larger group.  Both tables are read twice, so they should be stored.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    large = F.col(count) * share > total
+    heavy = F.broadcast(table.where(large))
+    hot = rows.join(heavy, on)
+    cold = rows.join(heavy.select(*on), on, "left_anti").join(table.where(~large), on)
+    return hot.unionByName(cold)
+
+
 def distinct_name(columns: list[str], wish: str) -> str:
     """A column name that clashes with none of the given ones (Spark ignores case)."""
     taken = {c.lower() for c in columns}
@@ -88,22 +102,31 @@ def id_bit(column: str) -> Column:
 
 
 def id_bitmap(ids: DataFrame, column: str) -> Broadcast:
-    """The bits of all ids, broadcast; built by partial bitmaps, of which the driver gets 2048 at most."""
-    parts = ids.select(id_bit(column).alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits")).collect()
+    """The bits of all ids, broadcast."""
+    return bitmap(ids.select(id_bit(column).alias("h")))
+
+
+def bitmap(bits: DataFrame) -> Broadcast:
+    """The bits (column h, 0 to BITMAP - 1), broadcast; built by partial bitmaps, of which the driver gets 2048 at most."""
+    parts = bits.groupBy(F.expr("bitmap_bucket_number(h)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits")).collect()
     out = np.zeros(BITMAP // 8 + 4096, np.uint8)
-    for k, bits in parts:  # bucket 1 holds the bits 1 to 32768, bucket 0 bit 0
-        out[max(k - 1, 0) * 4096:max(k, 1) * 4096] |= np.frombuffer(bits, np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(out)
+    for k, found in parts:  # bucket 1 holds the bits 1 to 32768, bucket 0 bit 0
+        out[max(k - 1, 0) * 4096:max(k, 1) * 4096] |= np.frombuffer(found, np.uint8)
+    return bits.sparkSession.sparkContext.broadcast(out)
+
+
+def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which bits are set."""
+    h = np.maximum(h - 1, 0)
+    return (bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def by_bitmap(df: DataFrame, bit: str, bitmap: Broadcast, inside: bool) -> DataFrame:
     """Rows of ``df`` whose id_bit (in column ``bit``) is set, or the others."""
 
     def run(batches):
-        bits = bitmap.value
         for batch in batches:
-            h = np.maximum(np.asarray(batch.column(batch.schema.names.index(bit))) - 1, 0)
-            hit = (bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
+            hit = in_bitmap(bitmap.value, np.asarray(batch.column(batch.schema.names.index(bit))))
             yield batch.filter(pa.array(hit == inside))
 
     return df.mapInArrow(run, df.schema)
@@ -164,17 +187,17 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 class Words:
-    """The words of several texts, lower-cased in A-Z: digits, letters and all of U+0080 on.
+    """The words of several texts, lower-cased in A-Z: digits, letters and all of U+0080 on, or the bytes told.
 
     ``buf`` holds the lower-cased bytes, ``start``/``end`` the byte span of each word, ``hash`` its
     64-bit hash, ``first`` the index of each text's first word (one more entry than texts).
     """
 
-    def __init__(self, texts: list[str | None]):
-        raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-        self.buf = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
+    def __init__(self, texts: list[str | bytes | None], word: np.ndarray = _WORD, fold: np.ndarray = _LOWER):
+        raw = [b"" if t is None else t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
+        self.buf = fold[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
         inside = np.zeros(len(self.buf) + 1, np.int8)
-        inside[1:] = _WORD[self.buf]
+        inside[1:] = word[self.buf]
         edge = np.diff(inside)
         self.start = np.flatnonzero(edge == 1)
         self.end = np.flatnonzero(edge == -1)

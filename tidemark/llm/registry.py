@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, htmlcrf, merkle, neardup, pii, quality, spelling, suffix, tokencount
+from . import bpe, chat, decontaminate, htmlcrf, merkle, neardup, phrases, pii, quality, spelling, substring, suffix, tokencount
 
-MODULES = [neardup, htmlcrf, bpe, merkle, pii, tokencount, suffix, chat, quality, decontaminate, spelling]
+MODULES = [neardup, htmlcrf, bpe, merkle, pii, tokencount, suffix, chat, quality, decontaminate, phrases, spelling, substring]
 
 
 def queries() -> dict:
