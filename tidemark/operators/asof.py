@@ -4,6 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import ordered as long_rows
+
+
+def _with_neighbours(rows: DataFrame) -> DataFrame:
+    """Blocks with the samples of others that their targets may need; those are samples (kind 0), so they are no result."""
+    sample, order = F.col("__kind") == 0, ["__at", "__kind"]
+    near = long_rows.boundary_rows(rows, sample, order, F.struct(F.col(long_rows.BLOCK).alias("home"), "__tie", "__at", "__s"))
+    ends = [rows.where(sample).orderBy(*(F.col(c).desc() if down else F.col(c) for c in (*order, "__tie"))).limit(2) for down in (False, True)]
+    ends = ends[0].unionByName(ends[1]).select(F.struct(F.col(long_rows.BLOCK).alias("home"), "__tie", "__at", "__s").alias("row"))
+    everywhere = rows.select(long_rows.BLOCK).distinct().crossJoin(F.broadcast(ends))  # four rows
+    guests = near.unionByName(everywhere).where(F.col("row.home") != F.col(long_rows.BLOCK)).dropDuplicates().select(long_rows.BLOCK, "row.__at", "row.__s", F.lit(0).alias("__kind"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"))
+    return rows.drop("__tie").unionByName(guests)
+
 
 def interpolate(targets: DataFrame, samples: DataFrame, values: list[str], keys: list[str] | None = None, t: str = "t", extrapolate: bool = True) -> DataFrame:
     """``targets`` with each value column interpolated at ``t``.
@@ -11,6 +24,9 @@ def interpolate(targets: DataFrame, samples: DataFrame, values: list[str], keys:
     Samples and targets are sorted together by time within the keys and each target takes the two samples
     before and after it; no join and no pair of rows is made.  Beyond the samples the nearest segment goes
     on (``extrapolate``) or the end value holds.  With one sample only, its value holds everywhere.
+
+    Without keys the rows are range-partitioned by time; each block also gets the last sample before it, the
+    first behind it, and the first and last two of all.
     """
     keys = keys or []
     row = F.struct(*targets.columns)
@@ -18,6 +34,9 @@ def interpolate(targets: DataFrame, samples: DataFrame, values: list[str], keys:
     left = samples.select(*keys, F.col(t).alias("__at"), F.lit(0).alias("__kind"), point.alias("__s"))
     right = targets.select(*keys, F.col(t).alias("__at"), F.lit(1).alias("__kind"), row.alias("__row"))
     both = left.withColumn("__row", F.lit(None).cast(right.schema["__row"].dataType)).unionByName(right.withColumn("__s", F.lit(None).cast(left.schema["__s"].dataType)))
+    if not keys:
+        both = _with_neighbours(long_rows.in_blocks(both, ["__at", "__kind"]))
+        keys = [long_rows.BLOCK]
     key = [F.col(k) for k in keys]
     ordered = Window.partitionBy(*key).orderBy("__at", "__kind")
     past = ordered.rowsBetween(Window.unboundedPreceding, 0)

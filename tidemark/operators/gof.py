@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.exprs import normal_ppf
 from .asof import interpolate
-from .windows import cumulative_trapezoid
+from . import ordered
+from .windows import cumulative_trapezoid, difference, running_sum
 
 _TINY = 2.220446049250313e-16
 
@@ -21,27 +22,34 @@ def rescaled_intervals(df: DataFrame, intensity: str = "intensity", spike: str =
     """
     keys = list(keys)
     area = cumulative_trapezoid(df, intensity, "__area", order, keys)
-    area = area.withColumn("__end", F.max("__area").over(Window.partitionBy(*keys)))
+    if keys:
+        area = area.withColumn("__end", F.max("__area").over(Window.partitionBy(*keys)))
+    else:
+        area = area.crossJoin(F.broadcast(area.agg(F.max("__area").alias("__end"))))  # one row
     hits = area.where(F.col(spike).cast("boolean"))
-    w = Window.partitionBy(*keys).orderBy(order)
-    isi = F.col("__area") - F.coalesce(F.lag("__area").over(w), F.lit(0.0))
-    out = hits.withColumn("isi", isi)
+    out = difference(hits, "__area", "isi", order, keys).withColumn("isi", F.coalesce("isi", "__area"))
     room = 1 - F.exp(-(F.col("__end") - F.col("__area") + F.col("isi"))) if censored else F.lit(1.0)
     return out.select(*keys, order, "isi", ((1 - F.exp(-F.col("isi"))) / room).alias("u"))
 
 
+def _ranked(intervals: DataFrame, keys: Sequence[str], u: str) -> DataFrame:
+    """With ``__k``, the rank from 1 within the keys, and ``__n``, their number of rows."""
+    if keys:
+        w = Window.partitionBy(*keys)
+        return intervals.withColumn("__k", F.row_number().over(w.orderBy(u))).withColumn("__n", F.count("*").over(w))
+    placed = ordered.positions(intervals, [u]).withColumn("__k", F.col(ordered.POSITION) + 1)
+    return placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias("__n"))))  # one row
+
+
 def ks_statistic(intervals: DataFrame, keys: Sequence[str] = (), u: str = "u") -> DataFrame:
     """(keys, n, ks): largest gap between the sorted values and (k + 0.5) / n."""
-    w = Window.partitionBy(*keys).orderBy(u)
-    ranked = intervals.withColumn("__k", F.row_number().over(w)).withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
+    ranked = _ranked(intervals, keys, u)
     return ranked.groupBy(*keys).agg(F.max("__n").alias("n"), F.max(F.abs(F.col(u) - (F.col("__k") - 0.5) / F.col("__n"))).alias("ks"))
 
 
 def qq_points(intervals: DataFrame, keys: Sequence[str] = (), u: str = "u") -> DataFrame:
     """(keys, model, empirical): the points of a quantile plot."""
-    w = Window.partitionBy(*keys).orderBy(u)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    return intervals.select(*keys, ((F.row_number().over(w) - 0.5) / n).alias("model"), F.col(u).alias("empirical"))
+    return _ranked(intervals, keys, u).select(*keys, ((F.col("__k") - 0.5) / F.col("__n")).alias("model"), F.col(u).alias("empirical"))
 
 
 def interval_autocorrelation(intervals: DataFrame, max_lag: int, keys: Sequence[str] = (), u: str = "u", order: str = "t_idx") -> DataFrame:
@@ -59,8 +67,7 @@ def interval_autocorrelation(intervals: DataFrame, max_lag: int, keys: Sequence[
 
 def residuals(df: DataFrame, intensity: str = "intensity", spike: str = "n", keys: Sequence[str] = (), order: str = "t_idx") -> DataFrame:
     """``df`` with the running sum of events less intensity."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("residual", F.sum(F.col(spike) - F.col(intensity)).over(w))
+    return running_sum(df, F.col(spike) - F.col(intensity), "residual", order, list(keys))
 
 
 def rescaled_at_events(intensity: DataFrame, events: DataFrame, keys: Sequence[str] = (), value: str = "intensity") -> DataFrame:
@@ -68,22 +75,24 @@ def rescaled_at_events(intensity: DataFrame, events: DataFrame, keys: Sequence[s
     keys = list(keys)
     area = cumulative_trapezoid(intensity, value, "area", "t", keys)
     at = interpolate(events, area.select(*keys, "t", "area"), ["area"], keys, extrapolate=False)
-    w = Window.partitionBy(*keys).orderBy("t")
-    isi = F.col("area") - F.coalesce(F.lag("area").over(w), F.lit(0.0))
-    return at.withColumn("isi", isi).withColumn("u", 1 - F.exp(-F.col("isi"))).drop("area")
+    at = difference(at, "area", "isi", "t", keys).withColumn("isi", F.coalesce("isi", "area"))
+    return at.withColumn("u", 1 - F.exp(-F.col("isi"))).drop("area")
 
 
 def empirical_cdf(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, value, cdf) at the distinct values."""
     counted = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*keys)
-    return counted.select(*keys, value, (F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("__n").over(w)).alias("cdf"))
+    if keys:
+        w = Window.partitionBy(*keys)
+        return counted.select(*keys, value, (F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("__n").over(w)).alias("cdf"))
+    upto = ordered.scan(counted, "__n", "__upto", [value])
+    return upto.crossJoin(F.broadcast(counted.agg(F.sum("__n").alias("__all")))).select(value, (F.col("__upto") / F.col("__all")).alias("cdf"))
 
 
 def rosenblatt(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """``df`` with u_<column>: each feature's empirical distribution function at its own value (independent features)."""
     for c in columns:
-        df = df.withColumn(f"u_{c}", F.cume_dist().over(Window.partitionBy(*keys).orderBy(c)))
+        df = df.withColumn(f"u_{c}", F.cume_dist().over(Window.partitionBy(*keys).orderBy(c))) if keys else ordered.cume_dist(df, c, f"u_{c}")
     return df
 
 

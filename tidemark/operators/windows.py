@@ -1,4 +1,8 @@
-"""Ordered operators: differences, gradients, smoothing, running integrals."""
+"""Ordered operators: differences, gradients, smoothing, running integrals.
+
+With keys (sessions) each is a window over the session.  Without keys the rows are one long recording, which is cut in
+parts with halo rows, and sums are prefix scans over its blocks (see ``ordered``).
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import ordered
+
 
 def _order(keys: list[str] | None, t: str) -> Window:
     return Window.partitionBy(*(keys or [])).orderBy(t)
@@ -13,6 +19,8 @@ def _order(keys: list[str] | None, t: str) -> Window:
 
 def gradient(df: DataFrame, value: str, out: str, t: str | None = None, order: str = "t_idx", keys: list[str] | None = None) -> DataFrame:
     """Central differences inside, one-sided at the ends; spacing 1, or the (uneven) spacing of ``t``."""
+    if not keys:
+        return ordered.windowed(df, lambda rows, k: gradient(rows, value, out, t, order, k), 1, [order])
     w = _order(keys, order)
     before, after = F.lag(value).over(w), F.lead(value).over(w)
     if t is None:
@@ -37,6 +45,8 @@ def gaussian_smooth(df: DataFrame, value: str, out: str, sigma: float, order: st
     """Gaussian filter with zeros beyond the ends; sigma in samples."""
     weights = gaussian_weights(sigma, truncate)
     radius = len(weights) // 2
+    if not keys:
+        return ordered.windowed(df, lambda rows, k: gaussian_smooth(rows, value, out, sigma, order, k, truncate), radius, [order])
     w = _order(keys, order)
     around = F.collect_list(F.coalesce(F.col(value).cast("double"), F.lit(0.0))).over(w.rowsBetween(-radius, radius))
     place = F.row_number().over(w)
@@ -48,28 +58,42 @@ def gaussian_smooth(df: DataFrame, value: str, out: str, sigma: float, order: st
 
 def cumulative_trapezoid(df: DataFrame, value: str, out: str, order: str = "t_idx", keys: list[str] | None = None, dx: float = 1.0) -> DataFrame:
     """Running integral by trapezoids of width dx, 0 at the first row."""
+    if not keys:
+        lag = F.lag(value).over(Window.partitionBy(ordered.PART).orderBy(ordered.POSITION))
+        parts = ordered.with_halo(ordered.positions(df, [order]), 1).withColumn("__step", F.coalesce((F.col(value) + lag) / 2 * dx, F.lit(0.0))).where(ordered.HOME)
+        summed = ordered.with_offsets(parts, F.col("__step"), [], ordered.PART, "__before")
+        own = F.sum("__step").over(Window.partitionBy(ordered.PART).orderBy(ordered.POSITION).rowsBetween(Window.unboundedPreceding, 0))
+        return summed.withColumn(out, own + F.col("__before")).drop("__step", "__before", ordered.PART, ordered.POSITION, ordered.HOME)
     w = _order(keys, order)
     step = df.withColumn("__step", F.coalesce((F.col(value) + F.lag(value).over(w)) / 2 * dx, F.lit(0.0)))
     return step.withColumn(out, F.sum("__step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
 
 
 def running_sum(df: DataFrame, value: Column | str, out: str, order: str = "t_idx", keys: list[str] | None = None) -> DataFrame:
+    if not keys:
+        return ordered.scan(df, value, out, [order])
     return df.withColumn(out, F.sum(value).over(_order(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def difference(df: DataFrame, value: str, out: str, order: str = "t_idx", keys: list[str] | None = None, first: float | None = None) -> DataFrame:
     """Difference to the row before; ``first`` for the first row."""
+    if not keys:
+        return ordered.windowed(df, lambda rows, k: difference(rows, value, out, order, k, first), 1, [order])
     gap = F.col(value) - F.lag(value).over(_order(keys, order))
     return df.withColumn(out, gap if first is None else F.coalesce(gap, F.lit(first)))
 
 
 def lagged(df: DataFrame, value: str, out: str, order: str = "t_idx", keys: list[str] | None = None, first: float = 0.0) -> DataFrame:
     """A covariate one step late, ``first`` at the start."""
+    if not keys:
+        return ordered.windowed(df, lambda rows, k: lagged(rows, value, out, order, k, first), 1, [order])
     return df.withColumn(out, F.lag(value, 1, first).over(_order(keys, order)))
 
 
 def trajectory_direction(df: DataFrame, value: str, out: str = "direction", order: str = "t_idx", keys: list[str] | None = None) -> DataFrame:
     """Inbound where the position falls, else Outbound; the first row is Outbound."""
+    if not keys:
+        return ordered.windowed(df, lambda rows, k: trajectory_direction(rows, value, out, order, k), 1, [order])
     falls = F.col(value) < F.lag(value).over(_order(keys, order))
     return df.withColumn(out, F.when(falls, "Inbound").otherwise("Outbound"))
 
@@ -95,9 +119,15 @@ def speed(df: DataFrame, columns: list[str], out: str = "speed", t: str = "t", o
 
 def movement_variance(df: DataFrame, columns: list[str], order: str = "t_idx", keys: list[str] | None = None) -> DataFrame:
     """Sample covariances (cov_<a>_<b>) of the first differences, rows with NaN left out."""
-    w = _order(keys, order)
-    steps = df.select(*(keys or []), *((F.col(c) - F.lag(c).over(w)).alias(c) for c in columns)).where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in columns))
-    return steps.groupBy(*(keys or [])).agg(*(F.covar_samp(a, b).alias(f"cov_{a}_{b}") for i, a in enumerate(columns) for b in columns[i:]))
+    w = _order(keys or [ordered.PART], order)
+    if not keys:
+        return _covariances(ordered.windowed(df, lambda rows, k: rows.select("*", *((F.col(c) - F.lag(c).over(w)).alias(f"__d{i}") for i, c in enumerate(columns))), 1, [order]).select(*(F.col(f"__d{i}").alias(c) for i, c in enumerate(columns))), columns, [])
+    return _covariances(df.select(*(keys or []), *((F.col(c) - F.lag(c).over(w)).alias(c) for c in columns)), columns, keys)
+
+
+def _covariances(steps: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    steps = steps.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in columns))
+    return steps.groupBy(*keys).agg(*(F.covar_samp(a, b).alias(f"cov_{a}_{b}") for i, a in enumerate(columns) for b in columns[i:]))
 
 
 def median_step(clock: DataFrame, keys: list[str] | None = None) -> DataFrame:

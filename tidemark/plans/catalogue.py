@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import exprs as X
 from ..operators import analysis, asof, binning, em, geometry, glm, gmm, gof, hmm, kde, likelihood, transitions, windows
 from ..sources import clock as clocks, simulate
-from ..sources.testdata import events as event_rows, marks as mark_rows, table
+from ..sources.testdata import events as event_rows, marks as mark_rows, seconds, table
 from . import models
 
 HOUR = 3600.0
@@ -596,6 +596,43 @@ def multiunit_rate(spark, d):
     return analysis.multiunit_rate(ev, hours(ev), ev.select("unit").distinct(), 1 / HOUR, 2 * HOUR).select("t_idx", _r("rate", 9))
 
 
+# --- one long recording, no keys --------------------------------------------------------------
+
+_LINES = "li AS (SELECT epoch_us(l_shipdate) / 1e6 + l_orderkey AS t, sum(l_quantity) AS v FROM lineitem GROUP BY 1)"
+
+
+def line_times(spark, d):
+    """Line items as one recording of (t, v): the quantities at the shipping date, parted by the order's key."""
+    rows = table(spark, d, "lineitem").select((seconds("l_shipdate") + F.col("l_orderkey")).alias("t"), F.col("l_quantity").alias("v"))
+    return rows.groupBy("t").agg(F.sum("v").alias("v"))
+
+
+@query(f"""WITH {_EV}, {_LINES}, s AS (SELECT t, avg(value) AS value FROM ev GROUP BY t), n AS (SELECT t, value, lag(t) OVER o AS pt, lag(value) OVER o AS pv, lead(t) OVER o AS nt, lead(value) OVER o AS nv FROM s WINDOW o AS (ORDER BY t)),
+a AS (SELECT li.t, n.t AS ta, value, pt, pv, nt, nv FROM li ASOF JOIN n ON li.t >= n.t),
+b AS (SELECT t, CASE WHEN nt IS NULL THEN pv + (t - pt) / (ta - pt) * (value - pv) ELSE value + (t - ta) / (nt - ta) * (nv - value) END AS x FROM a),
+f AS (SELECT * FROM n WHERE pt IS NULL), c AS (SELECT li.t, f.value + (li.t - f.t) / (f.nt - f.t) * (f.nv - f.value) AS x FROM li, f WHERE li.t < f.t)
+SELECT t, round(x / 1e3, 2) AS x FROM (SELECT * FROM b UNION ALL SELECT * FROM c)""")
+def long_interpolation(spark, d):
+    """The events' value at each line item's time, by lines between neighbours in time."""
+    samples = event_rows(spark, d).groupBy("t").agg(F.avg("value").alias("x"))
+    out = asof.interpolate(line_times(spark, d).select("t"), samples, ["x"])
+    return out.select("t", F.round(F.col("x") / 1e3, 2).alias("x"))
+
+
+@query(f"""WITH {_LINES}, m AS (SELECT t, v > 20 AS on_, row_number() OVER (ORDER BY t) - row_number() OVER (PARTITION BY v > 20 ORDER BY t) AS island FROM li)
+SELECT row_number() OVER (ORDER BY s) AS run, round(s, 3) AS s, round(e, 3) AS e FROM (SELECT min(t) AS s, max(t) AS e FROM m WHERE on_ GROUP BY island)""")
+def long_runs(spark, d):
+    return binning.runs(line_times(spark, d), "v > 20").select("run", F.round("start", 3).alias("s"), F.round("end", 3).alias("e"))
+
+
+@query(f"""WITH {_LINES}, s AS (SELECT t, v, coalesce((v + lag(v) OVER (ORDER BY t)) / 2, 0) AS step FROM li)
+SELECT t, round(sum(step) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING), 2) AS area, round(sum(v) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING), 2) AS total FROM s""")
+def long_integral(spark, d):
+    """Running integral and running sum of the quantities."""
+    rows = windows.cumulative_trapezoid(line_times(spark, d), "v", "area", "t")
+    return windows.running_sum(rows, "v", "total", "t").select("t", F.round("area", 2).alias("area"), F.round("total", 2).alias("total"))
+
+
 # --- local states -----------------------------------------------------------------------------
 
 _LOCAL = f"{_EV}, p AS (SELECT event_id, CASE WHEN value = 475 THEN 18 ELSE least(greatest(floor(value / 25), 0), 19) END AS b FROM ev), g AS (SELECT event_id, j AS bin, abs(b - j) * 25.0 AS dist, b FROM p, range(20) r(j))"
