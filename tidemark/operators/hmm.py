@@ -3,6 +3,10 @@
 Input: one row per step with ``t_idx``, ``ll`` (array of log likelihoods per state) and the session keys.
 With ``trans`` a column of row-major transition matrices is used: the one at step t leads from t to t + 1.
 
+State bins of discrete states have a transition that is the product of a discrete matrix, which may change in
+time, and fixed blocks between the bins of each two states (``Blocks``).  Rows then carry the discrete
+matrix only, blocks are applied one by one, and those with equal rows (jumps to anywhere) as one number.
+
 A recursion is sequential in time, but its steps are linear maps (max-plus maps for Viterbi), and those
 compose.  So a session is cut into chunks of time; each chunk becomes one S x S operator (first pass, all
 chunks in parallel); the operators of a session are folded to give each chunk its incoming messages (one row
@@ -29,6 +33,94 @@ CELLS = 4_000_000
 EPS = 1e-15
 
 
+class Blocks:
+    """Transitions between state bins: ``discrete[a, b]`` times the block of ``continuous`` from the bins of a to those of b.
+
+    ``states`` tells the discrete state of each bin; ``discrete`` is given here or, by time, in the rows.
+    """
+
+    def __init__(self, continuous: np.ndarray, states: Sequence[int], discrete: np.ndarray | None = None):
+        self.states, self.continuous = np.asarray(states), np.asarray(continuous, float)
+        self.names = np.unique(self.states)
+        if not np.array_equal(self.states, np.sort(self.states)) or not np.array_equal(self.names, np.arange(len(self.names))):
+            raise ValueError("state bins must lie in the order of their states, 0 to n - 1")
+        ends = np.searchsorted(self.states, np.arange(len(self.names) + 1))
+        self.spans = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        self.discrete = None if discrete is None else np.asarray(discrete, float)
+        self.parts = {}
+        for a, i in enumerate(self.spans):
+            for b, j in enumerate(self.spans):
+                part = self.continuous[i, j]
+                self.parts[a, b] = part[0] if len(part) and (part == part[0]).all() else part
+
+    def step(self, discrete: np.ndarray | None = None) -> "Step":
+        return Step(self, self.discrete if discrete is None else np.asarray(discrete, float).reshape(len(self.names), -1))
+
+
+class Step:
+    """One transition matrix of Blocks, never written out: what the recursions ask of a matrix."""
+
+    __array_ufunc__ = None  # so that arrays leave the product to this class
+    ndim = 2
+
+    def __init__(self, blocks: Blocks, discrete: np.ndarray):
+        self.blocks, self.discrete = blocks, discrete
+
+    def __rmatmul__(self, x: np.ndarray) -> np.ndarray:
+        """``x @ self`` of a vector or of rows."""
+        out, spans = np.zeros_like(x), self.blocks.spans
+        for (a, b), part in self.blocks.parts.items():
+            share = self.discrete[a, b]
+            if share:
+                mine = x[..., spans[a]]
+                out[..., spans[b]] += share * (mine.sum(axis=-1)[..., None] * part if part.ndim == 1 else mine @ part)
+        return out
+
+    def __matmul__(self, g: np.ndarray) -> np.ndarray:
+        out, spans = np.zeros_like(g), self.blocks.spans
+        for (a, b), part in self.blocks.parts.items():
+            if self.discrete[a, b]:
+                out[spans[a]] += self.discrete[a, b] * (part @ g[spans[b]])
+        return out
+
+    def sum(self, axis: int) -> np.ndarray:
+        return self @ np.ones(len(self.blocks.states))
+
+    def best(self, h: np.ndarray) -> np.ndarray:
+        """For each bin the largest log transition plus ``h`` of the bin led to."""
+        out, spans = np.full(len(h), -np.inf), self.blocks.spans
+        for (a, b), part in self.blocks.parts.items():
+            found = (_log(part) + h[spans[b]]).max(axis=-1) + _log(self.discrete[a, b])
+            out[spans[a]] = np.maximum(out[spans[a]], found)
+        return out
+
+    def __getitem__(self, state) -> np.ndarray:
+        """Rows of the matrix."""
+        b = self.blocks
+        return b.continuous[state] * self.discrete[b.states[state]][..., b.states]
+
+
+class Steps:
+    """The transitions of successive rows, by their discrete matrices."""
+
+    ndim = 3
+
+    def __init__(self, blocks: Blocks, discrete: np.ndarray):
+        self.blocks, self.discrete = blocks, discrete
+
+    def __getitem__(self, k):
+        return Steps(self.blocks, self.discrete[k]) if isinstance(k, slice) else self.blocks.step(self.discrete[k])
+
+
+def _best(a, h: np.ndarray) -> np.ndarray:
+    """Max-plus product of a transition and scores."""
+    return a.best(h) if isinstance(a, Step) else (_log(a) + h[None, :]).max(axis=1)
+
+
+def _dense(a) -> np.ndarray:
+    return a[np.arange(len(a.blocks.states))] if isinstance(a, Step) else a
+
+
 def condition_on(p: np.ndarray, ll: np.ndarray) -> tuple[np.ndarray, float]:
     """Posterior and log normaliser of a prior and log likelihoods; the guard keeps impossible rows at zero."""
     top = ll.max()
@@ -87,10 +179,10 @@ def _backward_max(ll: np.ndarray, trans: np.ndarray, last: np.ndarray) -> tuple[
     """Scores of the best continuation from each state at each step; ``last`` holds at the last step."""
     back = np.empty_like(ll)
     back[-1] = last
-    fixed = _log(trans) if trans.ndim == 2 else None
+    fixed = _log(trans) if isinstance(trans, np.ndarray) and trans.ndim == 2 else None
     for k in range(len(ll) - 2, -1, -1):
-        a = fixed if fixed is not None else _log(trans[k])
-        back[k] = (a + (back[k + 1] + ll[k + 1])[None, :]).max(axis=1)
+        h = back[k + 1] + ll[k + 1]
+        back[k] = (fixed + h[None, :]).max(axis=1) if fixed is not None else _best(trans if trans.ndim == 2 else trans[k], h)
     return back, back[0] + ll[0]
 
 
@@ -127,7 +219,7 @@ def _max_operator(ll: np.ndarray, trans: np.ndarray) -> np.ndarray:
     n = ll.shape[1]
     m = np.where(np.eye(n, dtype=bool), 0.0, -np.inf)
     for k in range(len(ll)):
-        a = _log(trans if trans.ndim == 2 else trans[k])
+        a = _log(_dense(trans if trans.ndim == 2 else trans[k]))
         m = ((m + ll[k][None, :])[:, :, None] + a[None]).max(axis=1)
     return m
 
@@ -149,9 +241,11 @@ def _pull(g: np.ndarray, m: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.exp(w - top) if np.isfinite(top) else np.zeros_like(g)
 
 
-def _read(pdf: pd.DataFrame, fixed: np.ndarray | None, trans: str | None) -> tuple[np.ndarray, np.ndarray]:
+def _read(pdf: pd.DataFrame, fixed: np.ndarray | Blocks | None, trans: str | None):
     ll = np.stack(pdf["ll"].to_list()).astype(float)
     n = ll.shape[1]
+    if isinstance(fixed, Blocks):
+        return ll, fixed.step() if trans is None else Steps(fixed, np.stack(pdf[trans].to_list()).astype(float))
     return ll, fixed if trans is None else np.stack(pdf[trans].to_list()).astype(float).reshape(-1, n, n)
 
 
@@ -191,7 +285,11 @@ def _messages(df: DataFrame, pi: np.ndarray, fixed, keys: list[str], trans: str
     return ops.groupBy(*keys).applyInPandas(fold, out) if keys else ops.groupBy(F.col("chunk") * 0).applyInPandas(fold, out)
 
 
-def _carry(rows: DataFrame, keys: list[str], name: str, fixed: np.ndarray | None, trans: str | None, start: np.ndarray | None, step, down: bool) -> DataFrame:
+def _given(transition) -> np.ndarray | Blocks | None:
+    return transition if transition is None or isinstance(transition, Blocks) else np.asarray(transition, float)
+
+
+def _carry(rows: DataFrame, keys: list[str], name: str, fixed: np.ndarray | Blocks | None, trans: str | None, start: np.ndarray | None, step, down: bool) -> DataFrame:
     """(keys, chunk, ``name``): the vector that reaches each chunk along its session; null where none does.
 
     ``step(vector, ll, transition)`` takes the vector over one row; ``down`` goes from the last row to the first.
@@ -205,7 +303,11 @@ def _carry(rows: DataFrame, keys: list[str], name: str, fixed: np.ndarray | None
                 continue
             n = len(batch.column("ll")[0])
             ll = batch.column("ll").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-            each = batch.column(trans).flatten().to_numpy(zero_copy_only=False).reshape(-1, n, n) if trans else None
+            if not trans:
+                each = [fixed.step() if isinstance(fixed, Blocks) else fixed] * len(ll)
+            else:
+                each = batch.column(trans).flatten().to_numpy(zero_copy_only=False).reshape(len(ll), -1)
+                each = Steps(fixed, each) if isinstance(fixed, Blocks) else each.reshape(-1, n, n)
             mine = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * batch.num_rows
             out = []
             for k, c in enumerate(batch.column("chunk").to_pylist()):
@@ -214,7 +316,7 @@ def _carry(rows: DataFrame, keys: list[str], name: str, fixed: np.ndarray | None
                 if c != chunk:
                     chunk = c
                     out.append((*session, c, None if vector is None else vector.tolist()))
-                vector = step(vector, ll[k], fixed if each is None else each[k])
+                vector = step(vector, ll[k], each[k])
             kinds = [*(batch.schema.field(k).type for k in keys), pa.int64(), pa.list_(pa.float64())]
             columns = zip(*out, strict=True) if out else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[*keys, "chunk", name])
@@ -246,13 +348,13 @@ def _chunked(df: DataFrame, keys: list[str], trans: str | None, chunk: int, n: i
     return df.select(*keys, "t_idx", "ll", *([trans] if trans else [])).withColumn("chunk", F.floor(F.col("t_idx") / size).cast("long"))
 
 
-def decode(df: DataFrame, initial: Sequence[float], transition: Sequence[Sequence[float]] | None = None, keys: Sequence[str] = (), trans: str | None = None, chunk: int = CHUNK) -> DataFrame:
+def decode(df: DataFrame, initial: Sequence[float], transition: Sequence[Sequence[float]] | Blocks | None = None, keys: Sequence[str] = (), trans: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """``df``'s keys and t_idx with filtered, predicted, smoothed (arrays) and log_norm.
 
     The log likelihood of a session is the sum of its log_norm.
     """
     keys, pi = list(keys), np.asarray(initial, float)
-    fixed = None if transition is None else np.asarray(transition, float)
+    fixed = _given(transition)
     rows = _chunked(df, keys, trans, chunk, len(pi))
     schema = T.StructType([*_fields(df, keys), df.schema["t_idx"], *(T.StructField(n, _ARRAY) for n in ("filtered", "predicted", "smoothed")), T.StructField("log_norm", T.DoubleType())])
 
@@ -276,10 +378,10 @@ def decode(df: DataFrame, initial: Sequence[float], transition: Sequence[Sequenc
     return rows.groupBy(*keys, "chunk").cogroup(messages.groupBy(*keys, "chunk")).applyInPandas(run, schema)
 
 
-def viterbi(df: DataFrame, initial: Sequence[float], transition: Sequence[Sequence[float]] | None = None, keys: Sequence[str] = (), trans: str | None = None, chunk: int = CHUNK) -> DataFrame:
+def viterbi(df: DataFrame, initial: Sequence[float], transition: Sequence[Sequence[float]] | Blocks | None = None, keys: Sequence[str] = (), trans: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """``df``'s keys and t_idx with ``state``, the most likely sequence of each session."""
     keys, pi = list(keys), np.asarray(initial, float)
-    fixed = None if transition is None else np.asarray(transition, float)
+    fixed = _given(transition)
     rows = _chunked(df, keys, trans, chunk, len(pi))
     schema = T.StructType([*_fields(df, keys), df.schema["t_idx"], T.StructField("state", T.LongType())])
     picked = T.StructType([*_fields(df, keys), T.StructField("chunk", T.LongType()), T.StructField("enter", T.LongType()), T.StructField("tail", _ARRAY)])
@@ -291,18 +393,16 @@ def viterbi(df: DataFrame, initial: Sequence[float], transition: Sequence[Sequen
         return pd.DataFrame({**{k: pdf[k] for k in keys}, "t_idx": pdf["t_idx"], "state": _walk(int(msg["enter"].iloc[0]), ll, a, back)})
 
     if len(pi) > SCAN_STATES:
-        logs = None if fixed is None else _log(fixed)
-
         def best(head, ll, a):  # score from each state at a row on, its own likelihood included
-            return ll if head is None else ll + ((_log(a) if trans else a) + head[None, :]).max(axis=1)
+            return ll if head is None else ll + _best(a, head)
 
-        heads = _carry(rows, keys, "head", logs, trans, None, best, True)
+        heads = _carry(rows, keys, "head", fixed, trans, None, best, True)
         ways = T.StructType([*_fields(df, keys), T.StructField("chunk", T.LongType()), T.StructField("start", _ARRAY), T.StructField("leave", T.ArrayType(T.LongType(), False)), T.StructField("tail", _ARRAY)])
 
         def links(key, pdf: pd.DataFrame, msg: pd.DataFrame) -> pd.DataFrame:
             ll, a = _read(pdf.sort_values("t_idx"), fixed, trans)
             head = msg["head"].iloc[0]
-            tail = np.zeros(ll.shape[1]) if head is None else (_log(a if a.ndim == 2 else a[-1]) + np.asarray(head)[None, :]).max(axis=1)
+            tail = np.zeros(ll.shape[1]) if head is None else _best(a if a.ndim == 2 else a[-1], np.asarray(head))
             back, start = _backward_max(ll, a, tail)
             state = np.arange(ll.shape[1])
             for k in range(1, len(ll) + (head is not None)):
@@ -329,7 +429,7 @@ def viterbi(df: DataFrame, initial: Sequence[float], transition: Sequence[Sequen
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         ll, a = _read(pdf.sort_values("t_idx"), fixed, trans)
         inner = _max_operator(ll[:-1], a if a.ndim == 2 else a[:-1]) + ll[-1][None, :]
-        link = _log(a if a.ndim == 2 else a[-1])
+        link = _log(_dense(a if a.ndim == 2 else a[-1]))
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "chunk": [pdf["chunk"].iloc[0]], "score": [inner.ravel()], "link": [link.ravel()], "head": [ll[0]]})
 
     ops = rows.groupBy(*keys, "chunk").applyInPandas(score, ends)

@@ -420,6 +420,41 @@ def em_fit(spark, d):
     return spark.createDataFrame([(k, float(round(v, 4))) for k, v in enumerate(out["log_likelihoods"])], "iteration int, log_likelihood double")
 
 
+@query()
+def covariate_decode(spark, d):
+    """The level of the events' values by hour, on 400 levels: drifting, or anywhere, the more so the more events."""
+    hourly_rows = value_levels(spark, d)
+    out = hmm.decode(hourly_rows, LEVEL_START, level_blocks(), trans="trans")
+    state = F.transform(F.array(F.slice("smoothed", 1, 400), F.slice("smoothed", 401, 400)), lambda part: F.aggregate(part, F.lit(0.0), lambda a, x: a + x))
+    level = F.zip_with(F.slice("smoothed", 1, 400), F.slice("smoothed", 401, 400), lambda a, b: a + b)
+    mean = F.aggregate(F.transform(level, lambda p, k: p * (k * 1.25 + 0.625)), F.lit(0.0), lambda a, x: a + x)
+    return out.select("t_idx", F.round(F.element_at(state, 1), 6).alias("p_drift"), F.round(mean, 4).alias("level"), F.round("log_norm", 5).alias("log_norm"))
+
+
+LEVEL_START = np.full(800, 1 / 800)
+
+
+def level_blocks() -> hmm.Blocks:
+    """Two states of 400 levels: a random walk of 20 units, and jumps to anywhere."""
+    c = np.arange(400) * 1.25 + 0.625
+    walk = np.exp(-0.5 * ((c[:, None] - c[None, :]) / 20.0) ** 2)
+    walk, jump = walk / walk.sum(axis=1, keepdims=True), np.full((400, 400), 1 / 400)
+    return hmm.Blocks(np.block([[walk, jump], [jump, jump]]), np.repeat([0, 1], 400))
+
+
+def value_levels(spark, d) -> DataFrame:
+    """(t_idx, ll, trans): each hour's mean value as a normal likelihood of the levels, and the transition of the two states that its number of events gives."""
+    ev = event_rows(spark, d)
+    clock = hours(ev)
+    by_hour = binning.bin_events(ev, clock).groupBy("t_idx").agg(F.avg("value").alias("m"), F.count("*").alias("n"))
+    rows = clock.join(by_hour, "t_idx", "left").select("t_idx", "m", F.coalesce("n", F.lit(0)).alias("n"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(399)), lambda k: k * 1.25 + 0.625)
+    near = F.when(F.col("m").isNotNull(), F.transform(at, lambda c: -0.5 * F.pow((F.col("m") - c) / (60.0 / F.sqrt("n")), 2))).otherwise(F.array_repeat(F.lit(0.0), 400))
+    coef = np.array([[[3.0], [-1.0]], [[-0.05], [0.02]]])  # of 1 and n; from each state to the first
+    both = rows.select("t_idx", near.alias("near"), F.array(F.lit(1.0), F.col("n").cast("double")).alias("x"))
+    return transitions.predict_transitions(both, coef).select("t_idx", F.concat("near", "near").alias("ll"), "trans")
+
+
 # --- posteriors -------------------------------------------------------------------------------
 
 _POST = f"{_EV}, pc AS (SELECT floor(t / {HOUR})::BIGINT % 24 AS t_idx, least(floor(value / 25), 19)::BIGINT AS bin, count(*) AS n FROM ev {{where}} GROUP BY 1, 2), post AS (SELECT t_idx, bin, n / sum(n) OVER (PARTITION BY t_idx) AS p FROM pc)"

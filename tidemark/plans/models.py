@@ -221,8 +221,11 @@ class Decoder:
 
     # --- decoding ---
 
-    def _inner(self) -> tuple[np.ndarray, np.ndarray]:
+    def _inner(self, by_time: bool = False) -> tuple[np.ndarray, np.ndarray | hmm.Blocks]:
+        """Start and transitions of the interior state bins; of many, or where they change in time, as blocks."""
         inside = np.flatnonzero(self.space.inside)
+        if by_time or len(inside) > hmm.SCAN_STATES:
+            return self.initial[inside], hmm.Blocks(self.continuous[np.ix_(inside, inside)], self.space.states[inside], self.transition)
         joint = self.space.joint(self.continuous, self.transition)
         return self.initial[inside], joint[np.ix_(inside, inside)]
 
@@ -234,23 +237,16 @@ class Decoder:
             at = self._positions(clock, samples)
             missing = likelihood.missing_rows(at, self.columns)
         ll = ll or self.compute_log_likelihood(events, clock, samples, missing)
-        pi, joint = self._inner()
+        pi, joint = self._inner(covariates is not None)
         if covariates is not None:
-            ll, joint = self._covariate(ll, covariates), None
+            ll = self._covariate(ll, covariates)
         decoded = hmm.decode(ll, pi, joint, trans="trans" if covariates is not None else None)
         return self._rows(decoded, ll, clock, outputs)
 
     def _covariate(self, ll: DataFrame, covariates: DataFrame) -> DataFrame:
-        """Adds each time's joint transition matrix; covariates: (t_idx, x array)."""
-        inside = np.flatnonzero(self.space.inside)
-        base = self.continuous[np.ix_(inside, inside)]
-        owner = self.space.states[inside]
-        n = len(self.names)
-        where = (owner[:, None] * n + owner[None, :]).ravel() + 1
+        """Adds each time's transition matrix of the discrete states; covariates: (t_idx, x array)."""
         coef = self.coefficients if self.coefficients is not None else self.discrete.coefficients(len(covariates.select("x").first()["x"]))
-        trans = predict_transitions(covariates.select("t_idx", "x"), coef, out="d")
-        flat = F.array(*(F.lit(float(b)) * F.element_at("d", int(w)) for b, w in zip(base.ravel(), where, strict=True)))
-        return ll.join(trans.select("t_idx", flat.alias("trans")), "t_idx")
+        return ll.join(predict_transitions(covariates.select("t_idx", "x"), coef).select("t_idx", "trans"), "t_idx")
 
     def _rows(self, decoded: DataFrame, ll: DataFrame, clock: DataFrame, outputs: str | None) -> DataFrame:
         spark = decoded.sparkSession
@@ -269,11 +265,13 @@ class Decoder:
         rows = decoded.select("t_idx", F.posexplode(zipped).alias("k", "v")).select("t_idx", "k", *(F.col(f"v.{n}").alias(n) for n in wanted))
         return rows.join(F.broadcast(inside), "k").drop("k").join(clock.select("t_idx", "t"), "t_idx")
 
-    def most_likely_sequence(self, events: DataFrame, clock: DataFrame, samples: DataFrame | None = None, missing: DataFrame | None = None) -> DataFrame:
+    def most_likely_sequence(self, events: DataFrame, clock: DataFrame, samples: DataFrame | None = None, missing: DataFrame | None = None, covariates: DataFrame | None = None) -> DataFrame:
         """(t_idx, state, name, environment, bin) of the best path."""
         ll = self.compute_log_likelihood(events, clock, samples, missing)
-        pi, joint = self._inner()
-        path = hmm.viterbi(ll, pi, joint)
+        pi, joint = self._inner(covariates is not None)
+        if covariates is not None:
+            ll = self._covariate(ll, covariates)
+        path = hmm.viterbi(ll, pi, joint, trans="trans" if covariates is not None else None)
         inside = [int(b) for b in np.flatnonzero(self.space.inside)]
         table = self.space.table(path.sparkSession).withColumnRenamed("state", "state_id")
         at = F.element_at(F.array(*map(F.lit, inside)), (F.col("state") + 1).cast("int"))
