@@ -36,9 +36,9 @@ def bin_events(events: DataFrame, clock: DataFrame, keys: list[str] | None = Non
     the end included; events of a session without a clock (or with a null key) go.
     """
     keys = keys or []
-    span = F.max("t_idx").alias("__n"), F.min("t").alias("__t0"), F.max("t").alias("__t1")
+    span = F.max("t_idx").alias("__n"), F.count("*").alias("__c"), F.min("t").alias("__t0"), F.max("t").alias("__t1")
     if keys:
-        width = F.lit(float(bucket)) if bucket else F.when((F.col("__n") > BUCKET_BINS) & (F.col("__t1") > F.col("__t0")), (F.col("__t1") - F.col("__t0")) * BUCKET_BINS / F.col("__n"))
+        width = F.lit(float(bucket)) if bucket else F.when((F.col("__c") > BUCKET_BINS) & (F.col("__t1") > F.col("__t0")), (F.col("__t1") - F.col("__t0")) * BUCKET_BINS / F.col("__c"))
         ends = clock.groupBy(*keys).agg(*span).withColumn("__w", width)
         inner = events.join(ends, keys).where(F.col(t).between(F.col("__t0"), F.col("__t1")))
         bins = clock.select(*keys, "t_idx", "t").join(ends, keys).where(F.col("t_idx") < F.col("__n"))
@@ -46,10 +46,10 @@ def bin_events(events: DataFrame, clock: DataFrame, keys: list[str] | None = Non
         last = clock.agg(*span).first()
         if last["__n"] is None:
             return events.withColumn("t_idx", F.lit(None).cast("long")).limit(0)
-        if bucket is None and clock.limit(BUCKET_BINS + 2).count() <= BUCKET_BINS + 1:
+        if bucket is None and last["__c"] <= BUCKET_BINS + 1:
             return _searched(events, clock, t)
         if bucket is None and last["__t1"] > last["__t0"]:
-            bucket = (last["__t1"] - last["__t0"]) * BUCKET_BINS / max(last["__n"], 1)
+            bucket = (last["__t1"] - last["__t0"]) * BUCKET_BINS / last["__c"]
         given = {"__t0": F.lit(last["__t0"]), "__t1": F.lit(last["__t1"]), "__w": F.lit(bucket).cast("double")}
         inner = events.where(F.col(t).between(last["__t0"], last["__t1"])).withColumns(given)
         bins = clock.where(F.col("t_idx") < last["__n"]).withColumns(given)

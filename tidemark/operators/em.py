@@ -5,25 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.checks import ConvergenceError, ValidationError, positive
-from . import hmm
+from ..sources.store import stored
+from . import hmm, ordered
 
 #: Predicted probabilities below this count as 0.
 _ZERO = 1e-8
 
 
+def _with_next(decoded: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with ``__p`` and ``__s``, predicted and smoothed of the step after; a session's last row goes."""
+    def lead(rows, by):
+        w = Window.partitionBy(*by).orderBy("t_idx")
+        return rows.withColumn("__p", F.lead("predicted").over(w)).withColumn("__s", F.lead("smoothed").over(w))
+
+    rows = lead(decoded, keys) if keys else ordered.windowed(decoded, lead, 1, ["t_idx"])
+    return rows.where("__p is not null")
+
+
 def expected_transitions(decoded: DataFrame, transition: np.ndarray | None = None, keys: Sequence[str] = (), trans: str | None = None) -> DataFrame:
     """(i, j, n): expected numbers of transitions, sum over time of A_ij f_t(i) s_t+1(j) / p_t+1(j).
 
     decoded has filtered, predicted and smoothed arrays; ``trans`` names a column of matrices instead of one matrix.
     """
-    w = Window.partitionBy(*keys).orderBy("t_idx")
     n = None if transition is None else len(transition)
-    rows = decoded.withColumn("__p", F.lead("predicted").over(w)).withColumn("__s", F.lead("smoothed").over(w)).where("__p is not null")
     ratio = F.zip_with("__s", "__p", lambda s, p: F.when(p <= _ZERO, 0.0).otherwise(s / p))
-    left = rows.select("filtered", ratio.alias("r"), *([trans] if trans else []))
+    left = _with_next(decoded, keys).select("filtered", ratio.alias("r"), *([trans] if trans else []))
     pairs = left.select(F.posexplode("filtered").alias("i", "f"), "r", *([trans] if trans else []))
     pairs = pairs.select("i", "f", F.posexplode("r").alias("j", "r"), *([trans] if trans else []))
     if trans:
@@ -34,6 +44,14 @@ def expected_transitions(decoded: DataFrame, transition: np.ndarray | None = Non
     return pairs.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.sum(a * F.col("f") * F.col("r")).alias("n"))
 
 
+def transition_responses(decoded: DataFrame, trans: str = "trans", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, t_idx, xi): the terms of expected_transitions() at each time, row-major; for few states."""
+    ratio = F.zip_with("__s", "__p", lambda s, p: F.when(p <= _ZERO, 0.0).otherwise(s / p))
+    rows = _with_next(decoded, keys).select(*keys, "t_idx", "filtered", ratio.alias("r"), trans)
+    each = F.transform(trans, lambda a, k: a * F.element_at("filtered", (F.floor(k / F.size("r")) + 1).cast("int")) * F.element_at("r", (k % F.size("r") + 1).cast("int")))
+    return rows.select(*keys, "t_idx", each.alias("xi"))
+
+
 def matrix_of(rows: DataFrame, n: int, value: str = "n") -> np.ndarray:
     """States x states numbers as a matrix."""
     out = np.zeros((n, n))
@@ -75,52 +93,63 @@ def update_transitions(expected: np.ndarray, concentration: float = 1.0, stickin
 def update_covariate_transitions(responses: DataFrame, coefficients: np.ndarray, x: str = "x", l2: float = 1e-10, alpha: np.ndarray | None = None, steps: int = 50, tolerance: float = 1e-8) -> np.ndarray:
     """Newton steps for the coefficients of covariate-driven transitions; responses: x array, xi array (row-major).
 
-    Gradient and Hessian of each state's row are sums over the rows of the table, taken by Spark in one
-    aggregation per step; a row that does not converge keeps its coefficients.
+    A step is one pass for the rows of all states that have not converged: each task adds up gradients and Hessians
+    of its batches as arrays, Spark adds those up by place, and the driver solves one small system a state.
+    A state that does not converge keeps its coefficients.
     """
     n_x, n, m = coefficients.shape
-    out = coefficients.copy()
-    total = responses.count()
-    prior = None if alpha is None else alpha - 1
-    for s in range(n):
-        beta, ok = out[:, s, :].copy(), False
-        for _ in range(steps):
-            logits = [sum((F.element_at(x, a + 1) * float(beta[a, k]) for a in range(n_x)), F.lit(0.0)) for k in range(m)] + [F.lit(0.0)]
-            top = F.greatest(*logits) if len(logits) > 1 else logits[0]
-            exps = [F.exp(z - top) for z in logits]
-            p = [e / sum(exps[1:], exps[0]) for e in exps]
-            y = [F.element_at("xi", s * n + k + 1) + (float(prior[s, k]) if prior is not None else 0.0) for k in range(n)]
-            mass = sum(y[1:], y[0])
-            aggs = []
-            for k in range(m):
-                for a in range(n_x):
-                    aggs.append(F.sum(F.element_at(x, a + 1) * (y[k] - mass * p[k])))
-            for k in range(m):
-                for q in range(m):
-                    for a in range(n_x):
-                        for b in range(n_x):
-                            aggs.append(F.sum(mass * p[k] * ((1.0 if k == q else 0.0) - p[q]) * F.element_at(x, a + 1) * F.element_at(x, b + 1)))
-            row = np.array(responses.agg(*aggs).first(), float) / max(total, 1)
-            grad = row[: m * n_x].reshape(m, n_x).T
-            hess = row[m * n_x:].reshape(m, m, n_x, n_x).transpose(2, 0, 3, 1).reshape(n_x * m, n_x * m)
-            pen = np.ones((n_x, m)) * 2 * l2
+    out, beta = coefficients.copy(), coefficients.astype(float).copy()
+    rows = responses.select(F.col(x).alias("x"), "xi")
+    total = max(rows.count(), 1)
+    prior = np.zeros((n, n)) if alpha is None else np.asarray(alpha, float) - 1
+    size = n_x * m
+    open_ = list(range(n))
+    for _ in range(steps):
+        if not open_:
+            break
+        at, wanted = beta.copy(), list(open_)
+
+        def sums(batches, at=at, wanted=wanted):
+            g, h = np.zeros((len(wanted), m, n_x)), np.zeros((len(wanted), m, m, n_x, n_x))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                design, xi = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for k in (0, 1))
+                for seat, s in enumerate(wanted):
+                    z = np.concatenate([design @ at[:, s, :], np.zeros((len(design), 1))], axis=1)
+                    e = np.exp(z - z.max(axis=1, keepdims=True))
+                    p = (e / e.sum(axis=1, keepdims=True))[:, :m]
+                    y = xi[:, s * n:(s + 1) * n] + prior[s]
+                    mass = y.sum(axis=1)
+                    g[seat] += (y[:, :m] - mass[:, None] * p).T @ design
+                    for k in range(m):
+                        for q in range(m):
+                            w = mass * p[:, k] * ((k == q) - p[:, q])
+                            h[seat, k, q] += (design * w[:, None]).T @ design
+            flat = np.concatenate([g.reshape(len(wanted), -1), h.reshape(len(wanted), -1)], axis=1).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["part"])
+
+        parts = rows.mapInArrow(sums, "part array<double>").select(F.posexplode("part").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()
+        flat = (np.array([r["v"] for r in parts]) / total).reshape(len(wanted), -1)
+        for seat, s in enumerate(wanted):
+            pen = np.full((n_x, m), 2 * l2)
             pen[0] = 0
-            grad = grad - pen * beta
-            step = np.linalg.lstsq(hess + np.diag(pen.ravel()) + 1e-12 * np.eye(n_x * m), grad.ravel(), rcond=None)[0].reshape(n_x, m)
-            size = np.abs(step).max()
-            beta = beta + step * min(1.0, 5.0 / max(size, 1e-300))
-            if size < tolerance:
-                ok = True
-                break
-        if ok and np.isfinite(beta).all():
-            out[:, s, :] = beta
+            grad = flat[seat, :size].reshape(m, n_x).T - pen * beta[:, s, :]
+            hess = flat[seat, size:].reshape(m, m, n_x, n_x).transpose(2, 0, 3, 1).reshape(size, size)
+            step = np.linalg.lstsq(hess + np.diag(pen.ravel()) + 1e-12 * np.eye(size), grad.ravel(), rcond=None)[0].reshape(n_x, m)
+            largest = np.abs(step).max()
+            beta[:, s, :] += step * min(1.0, 5.0 / max(largest, 1e-300))
+            if not np.isfinite(beta[:, s, :]).all():
+                open_.remove(s)
+            elif largest < tolerance:
+                out[:, s, :] = beta[:, s, :]
+                open_.remove(s)
     return out
 
 
 def update_initial(decoded: DataFrame, keys: Sequence[str] = ()) -> np.ndarray:
     """Mean smoothed probabilities at each session's first step."""
-    w = Window.partitionBy(*keys).orderBy("t_idx")
-    first = decoded.withColumn("__k", F.row_number().over(w)).where("__k = 1")
+    first = decoded.groupBy(*keys).agg(F.min_by("smoothed", "t_idx").alias("smoothed"))
     rows = first.select(F.posexplode("smoothed").alias("k", "p")).groupBy("k").agg(F.avg("p").alias("p")).collect()
     out = np.zeros(len(rows))
     for r in rows:
@@ -151,7 +180,7 @@ def fit(likelihood: Callable[[DataFrame | None], DataFrame], initial: np.ndarray
     trace, decoded, ll, done = [], None, None, False
     pi, a = np.asarray(initial, float), np.asarray(transition, float)
     refit = getattr(likelihood, "refits", False)
-    cut = cut or (lambda df: df.checkpoint(eager=True) if df.sparkSession.sparkContext.getCheckpointDir() else df.persist())
+    cut = cut or stored
     for k in range(iterations):
         if ll is None or refit:
             ll = likelihood(decoded)

@@ -180,10 +180,16 @@ def _local_blocks(counts, events, samples, positions, columns, std, unit):
     return out
 
 
-def no_event_loglik(counts: DataFrame, step: float, rate: float = 1e-10, clock: DataFrame | None = None) -> DataFrame:
-    """(t_idx, ll): Poisson likelihood at a tiny rate for every unit; step is the clock's median step."""
+def no_event_loglik(counts: DataFrame, step: float, rate: float = 1e-10, clock: DataFrame | None = None, n_units: int | None = None) -> DataFrame:
+    """(t_idx, ll): Poisson likelihood at a tiny rate for every unit; step is the clock's median step.
+
+    With ``clock`` and ``n_units`` the counts may leave out units without events.
+    """
     r = rate * step
-    return counts.groupBy("t_idx").agg(F.sum(F.when(F.col("n") == 0, 0.0).otherwise(F.col("n") * float(np.log(r))) - r).alias("ll"))
+    if clock is None:
+        return counts.groupBy("t_idx").agg(F.sum(F.when(F.col("n") == 0, 0.0).otherwise(F.col("n") * float(np.log(r))) - r).alias("ll"))
+    hits = counts.groupBy("t_idx").agg(F.sum("n").alias("__n"))
+    return clock.select("t_idx").join(hits, "t_idx", "left").select("t_idx", (F.coalesce("__n", F.lit(0)) * float(np.log(r)) - n_units * r).alias("ll"))
 
 
 # --- marked events ----------------------------------------------------------------------------

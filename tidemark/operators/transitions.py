@@ -220,6 +220,27 @@ def bspline_columns(x: Column, knots: Sequence[float], degree: int = 3) -> list[
     return level[1:]
 
 
+@dataclass
+class Design:
+    """Design rows of covariates: an intercept, columns as they are, and B-spline bases on stored knots."""
+
+    plain: Sequence[str] = ()
+    knots: dict[str, list[float]] | None = None
+    degree: int = 3
+
+    @classmethod
+    def over(cls, samples: DataFrame, plain: Sequence[str] = (), splines: dict[str, int] | None = None, degree: int = 3) -> "Design":
+        """``splines``: the number of inner knots by column."""
+        return cls(tuple(plain), {c: knots_of(samples, c, n) for c, n in (splines or {}).items()}, degree)
+
+    def rows(self, df: DataFrame, out: str = "x") -> DataFrame:
+        """``df`` with the design row; values beyond the boundary knots count as on them."""
+        columns = [F.lit(1.0), *(F.col(c).cast("double") for c in self.plain)]
+        for c, knots in (self.knots or {}).items():
+            columns += bspline_columns(F.least(F.greatest(F.col(c).cast("double"), F.lit(knots[0])), F.lit(knots[-1])), knots, self.degree)
+        return df.withColumn(out, F.array(*columns))
+
+
 # --- assembly ---------------------------------------------------------------------------------
 
 @dataclass(frozen=True)

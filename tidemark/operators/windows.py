@@ -130,6 +130,11 @@ def _covariances(steps: DataFrame, columns: list[str], keys: list[str]) -> DataF
     return steps.groupBy(*keys).agg(*(F.covar_samp(a, b).alias(f"cov_{a}_{b}") for i, a in enumerate(columns) for b in columns[i:]))
 
 
+def typical_step(clock: DataFrame, keys: list[str] | None = None) -> float:
+    """Exact median of all steps of a clock (of all its sessions); 0 without any."""
+    return difference(clock.select(*(keys or []), "t"), "t", "step", "t", keys).agg(F.percentile("step", 0.5)).first()[0] or 0.0
+
+
 def median_step(clock: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Exact median of the clock's steps."""
     return difference(clock, "t", "step", "t_idx", keys).groupBy(*(keys or [])).agg(F.percentile("step", 0.5).alias("median_step"))

@@ -13,12 +13,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.checks import ConfigurationError, ValidationError, position_rows, positive, probabilities
-from ..operators import binning, em, glm, gmm, hmm, kde, likelihood
+from ..operators import binning, em, glm, gmm, hmm, kde, likelihood, ordered
 from ..operators.asof import interpolate
 from ..operators.geometry import Environment
 from ..operators.transitions import Discrete, NonStationary, Observation, RandomWalk, StateSpace, StationaryCustom, StationaryDiagonal, Uniform, predict_transitions
-from ..operators.windows import median_step
+from ..operators.windows import typical_step
 from ..sources import io
+from ..sources.store import forget, stored
 
 OUTPUTS = ("filter", "predictive", "predictive_posterior", "log_likelihood", "all")
 SORTED = ("kde", "glm")
@@ -65,9 +66,13 @@ class Decoder:
 
     # --- fit ---
 
-    def fit(self, samples: DataFrame, events: DataFrame, columns: Sequence[str] = ("x",), unit: str = "unit", group: str | None = None, environment: str | None = None, training: str = "true", weight: str | None = None) -> "Decoder":
-        """samples: (t, columns) and optional group, environment and training columns; events: (event_id, unit, t, marks)."""
-        self.columns, self.unit = list(columns), unit
+    def fit(self, samples: DataFrame, events: DataFrame, columns: Sequence[str] = ("x",), unit: str = "unit", group: str | None = None, environment: str | None = None, training: str = "true", weight: str | None = None, keys: Sequence[str] = ()) -> "Decoder":
+        """samples: (t, columns) and optional group, environment and training columns; events: (event_id, unit, t, marks).
+
+        ``keys`` name sessions: recordings with times of their own, of which samples, events and clocks have the
+        columns.  One model is fitted to all of them; each is decoded from its own start.
+        """
+        self.columns, self.unit, self.keys = list(columns), unit, list(keys)
         position_rows(samples, self.columns)
         for e in self.environments:
             if e.edges is None:
@@ -76,7 +81,7 @@ class Decoder:
         self.space = StateSpace(self.names, self.observations, self.environments, self.local_std is not None)
         self.initial = self.space.initial(self.prior)
         if isinstance(self.discrete, NonStationary):
-            self.coefficients, self.transition = None, np.asarray(self.discrete.matrix, float)
+            self.coefficients, self.transition = getattr(self.discrete, "fitted", None), np.asarray(self.discrete.matrix, float)
         else:
             self.coefficients, self.transition = None, self.discrete.make()
         self.continuous = self.space.continuous(self.blocks, samples)
@@ -107,10 +112,9 @@ class Decoder:
             env = next(e for e in self.environments if e.name == o.environment)
             points = env.points[env.interior_bins]
             mine = self._mine(o.key)
-            spans = binning.runs(self.samples.withColumn("__in", self._flag(o.key)), "__in")
-            step = median_step(self.samples.select(F.col("t"), F.col("t").alias("t_idx"))).first()[0] or 0.0
-            near = binning.events_in_runs(self.events, spans, step)
-            placed = interpolate(near, self.samples, [*columns, *([weight] if weight else [])])
+            spans = binning.runs(self.samples.withColumn("__in", self._flag(o.key)), "__in", self.keys)
+            near = binning.events_in_runs(self.events, spans, typical_step(self.samples, self.keys), self.keys)
+            placed = stored(interpolate(near, self.samples, [*columns, *([weight] if weight else [])], self.keys))
             # Without marks all samples count as visited unless told otherwise; with marks only the group's do.
             visited = mine if self.marks or self.occupancy == "group" or weight else self.samples
             model = {"points": points, "placed": placed, "visited": visited}
@@ -140,9 +144,9 @@ class Decoder:
     def _glm_fields(self, placed: DataFrame, visited: DataFrame, points: np.ndarray, spark: SparkSession, weight: str | None) -> DataFrame:
         """A Poisson regression per unit of the events per sample at the sample's position."""
         design = glm.Design.over(visited, self.columns, 2 * self.position_std)
-        clock = visited.select("t", F.dense_rank().over(_by("t")).cast("long").alias("t_idx"))
-        counted = binning.bin_events(placed, clock).groupBy(self.unit, "t_idx").agg(F.count("*").alias("n"))
-        rows = clock.join(visited, "t")
+        clock = stored(ordered.positions(visited.select(*self.keys, "t").distinct(), [*self.keys, "t"], out="t_idx"))
+        counted = binning.sparse_counts(placed, clock, self.unit, self.keys)
+        rows = clock.join(visited, [*self.keys, "t"])
         found = glm.fit_units(rows, rows.join(counted, "t_idx"), design, self.columns, self.unit, "n", weight)
         for r in self.units.collect():  # a unit without events near samples has no rate
             found.setdefault(r[0], np.r_[np.log(kde.EPS), np.zeros(len(design(points[:1])[0]) - 1)])
@@ -163,9 +167,30 @@ class Decoder:
 
     # --- likelihood ---
 
+    def _coded(self, clock: DataFrame, *others: DataFrame | None) -> list[DataFrame | None]:
+        """Clock and further tables by time, with sessions told by the upper half of ``t_idx`` (its own value is ``__t``)."""
+        if not self.keys:
+            return [clock, *others]
+        numbers = stored(ordered.positions(clock.select(*self.keys).distinct(), self.keys, out="__sid"))
+        return [None if x is None else x.join(numbers, self.keys).withColumn("__t", F.col("t_idx")).withColumn("t_idx", F.col("__sid") * F.lit(1 << 32) + F.col("t_idx")).drop("__sid") for x in (clock, *others)]
+
+    def _plain(self, rows: DataFrame, clock: DataFrame, *more: str) -> DataFrame:
+        """Results with the sessions' columns and times (and ``more``) of the coded clock."""
+        if not self.keys:
+            return rows.join(clock.select("t_idx", *more), "t_idx") if more else rows
+        back = rows.join(clock.select("t_idx", *self.keys, "__t", *more), "t_idx").drop("t_idx").withColumnRenamed("__t", "t_idx")
+        return back.select(*self.keys, "t_idx", *(c for c in back.columns if c not in ("t_idx", *self.keys)))
+
+    def _sessions(self, ll: DataFrame) -> tuple[DataFrame, list[str]]:
+        return (ll.withColumn("__sid", F.shiftright("t_idx", 32)), ["__sid"]) if self.keys else (ll, [])
+
     def compute_log_likelihood(self, events: DataFrame, clock: DataFrame, samples: DataFrame | None = None, missing: DataFrame | None = None) -> DataFrame:
-        """(t_idx, ll array over the interior state bins)."""
-        counted = binning.counts(events, clock, self.units, self.unit)
+        """(keys, t_idx, ll array over the interior state bins)."""
+        clock, missing = self._coded(clock, missing)
+        return self._plain(self._likelihood(events, clock, samples, missing), clock)
+
+    def _likelihood(self, events: DataFrame, clock: DataFrame, samples: DataFrame | None, missing: DataFrame | None) -> DataFrame:
+        counted = stored(binning.sparse_counts(events, clock, self.unit, self.keys))
         parts, extra = {}, {}
         at = None
         if samples is not None:
@@ -174,7 +199,7 @@ class Decoder:
             if o.no_event:
                 key = ("no_event",)
                 if key not in parts:
-                    parts[key] = kde.no_event_loglik(counted, median_step(clock).first()[0], self.no_event_rate)
+                    parts[key] = kde.no_event_loglik(counted, typical_step(clock, self.keys), self.no_event_rate, clock, self.units.count())
                 continue
             model = self.encoding[o.key]
             env = next(e for e in self.environments if e.name == o.environment)
@@ -198,12 +223,12 @@ class Decoder:
     def _positions(self, clock: DataFrame, samples: DataFrame) -> DataFrame:
         """The clock with the position at each time."""
         bare = clock.select(*(c for c in clock.columns if c not in self.columns), *(F.lit(None).cast("double").alias(c) for c in self.columns))
-        return interpolate(bare, samples, self.columns)
+        return interpolate(bare, samples, self.columns, self.keys)
 
     def _bins(self, model: dict, counted: DataFrame, events: DataFrame, clock: DataFrame, n: int) -> DataFrame:
         if not self.marks:
             return kde.poisson_loglik(counted, model["fields"], n, clock, self.unit)
-        when = binning.bin_events(events, clock)
+        when = binning.bin_events(events, clock, self.keys)
         if self.algorithm == "gmm":
             ll = gmm.marked_intensity(events, model["joint"], model["rate_values"], model["occupancy_mixture"], model["points"], self.marks, self.unit)
             ground = events.sparkSession.createDataFrame([(k, float(g)) for k, g in enumerate(model["ground_values"])], "bin int, intensity double")
@@ -216,7 +241,7 @@ class Decoder:
             raise ConfigurationError("local states without bins have a kernel density likelihood only", "kde", self.algorithm, hint="give local_std: the local state then has the bins of this algorithm")
         if not self.marks:
             return kde.local_loglik(counted, model["placed"], model["visited"], at, self.columns, self.position_std, self.unit)
-        decode = interpolate(binning.bin_events(events, clock).select("*", *(F.lit(None).cast("double").alias(c) for c in self.columns)), samples, self.columns)
+        decode = interpolate(binning.bin_events(events, clock, self.keys).select("*", *(F.lit(None).cast("double").alias(c) for c in self.columns)), samples, self.columns, self.keys)
         return kde.marked_local_loglik(decode, model["placed"], model["visited"], model["rates"], at, self.marks, self.columns, self.mark_std, self.position_std, self.unit)
 
     # --- decoding ---
@@ -230,18 +255,26 @@ class Decoder:
         return self.initial[inside], joint[np.ix_(inside, inside)]
 
     def predict(self, events: DataFrame, clock: DataFrame, samples: DataFrame | None = None, missing: DataFrame | None = None, outputs: str | None = None, covariates: DataFrame | None = None, ll: DataFrame | None = None) -> DataFrame:
-        """(t_idx, t, state_bin, state, name, environment, bin, acausal[, causal, predictive, log_likelihood])."""
+        """(keys, t_idx, t, state_bin, state, name, environment, bin, acausal[, causal, predictive, log_likelihood]); covariates: (keys, t_idx, x array)."""
         if outputs is not None and outputs not in OUTPUTS:
             raise ValidationError("unknown outputs", OUTPUTS, outputs)
+        clock, missing, covariates, ll = self._coded(clock, missing, covariates, ll)
+        ll = ll if ll is not None else self._likelihood(events, clock, samples, self._missing(clock, samples, missing))
+        return self._rows(self._decoded(ll, covariates)[0], ll, clock, outputs)
+
+    def _missing(self, clock: DataFrame, samples: DataFrame | None, missing: DataFrame | None) -> DataFrame | None:
+        """Without word on it, times without a position are missing."""
         if missing is None and samples is not None:
-            at = self._positions(clock, samples)
-            missing = likelihood.missing_rows(at, self.columns)
-        ll = ll or self.compute_log_likelihood(events, clock, samples, missing)
+            return likelihood.missing_rows(self._positions(clock, samples), self.columns)
+        return missing
+
+    def _decoded(self, ll: DataFrame, covariates: DataFrame | None) -> tuple[DataFrame, list[str]]:
+        """The recursion of each session; and the column that tells sessions."""
         pi, joint = self._inner(covariates is not None)
         if covariates is not None:
             ll = self._covariate(ll, covariates)
-        decoded = hmm.decode(ll, pi, joint, trans="trans" if covariates is not None else None)
-        return self._rows(decoded, ll, clock, outputs)
+        rows, sid = self._sessions(ll)
+        return hmm.decode(rows, pi, joint, sid, "trans" if covariates is not None else None), sid
 
     def _covariate(self, ll: DataFrame, covariates: DataFrame) -> DataFrame:
         """Adds each time's transition matrix of the discrete states; covariates: (t_idx, x array)."""
@@ -263,61 +296,88 @@ class Decoder:
             wanted["log_likelihood"] = "ll"
         zipped = F.arrays_zip(*(F.col(c).alias(n) for n, c in wanted.items()))
         rows = decoded.select("t_idx", F.posexplode(zipped).alias("k", "v")).select("t_idx", "k", *(F.col(f"v.{n}").alias(n) for n in wanted))
-        return rows.join(F.broadcast(inside), "k").drop("k").join(clock.select("t_idx", "t"), "t_idx")
+        return self._plain(rows.join(F.broadcast(inside), "k").drop("k"), clock, "t")
 
     def most_likely_sequence(self, events: DataFrame, clock: DataFrame, samples: DataFrame | None = None, missing: DataFrame | None = None, covariates: DataFrame | None = None) -> DataFrame:
-        """(t_idx, state, name, environment, bin) of the best path."""
-        ll = self.compute_log_likelihood(events, clock, samples, missing)
+        """(keys, t_idx, state, name, environment, bin) of the best path."""
+        clock, missing, covariates = self._coded(clock, missing, covariates)
+        ll = self._likelihood(events, clock, samples, missing)
         pi, joint = self._inner(covariates is not None)
         if covariates is not None:
             ll = self._covariate(ll, covariates)
-        path = hmm.viterbi(ll, pi, joint, trans="trans" if covariates is not None else None)
+        rows, sid = self._sessions(ll)
+        path = hmm.viterbi(rows, pi, joint, sid, "trans" if covariates is not None else None)
         inside = [int(b) for b in np.flatnonzero(self.space.inside)]
         table = self.space.table(path.sparkSession).withColumnRenamed("state", "state_id")
         at = F.element_at(F.array(*map(F.lit, inside)), (F.col("state") + 1).cast("int"))
-        return path.select("t_idx", at.alias("state_bin")).join(F.broadcast(table), "state_bin").select("t_idx", "state_bin", F.col("state_id").alias("state"), "name", "environment", "bin")
+        named = path.select("t_idx", at.alias("state_bin")).join(F.broadcast(table), "state_bin").select("t_idx", "state_bin", F.col("state_id").alias("state"), "name", "environment", "bin")
+        return self._plain(named, clock)
 
-    def estimate_parameters(self, samples: DataFrame, events: DataFrame, clock: DataFrame, iterations: int = 20, tolerance: float = 1e-4, update_transitions: bool = True, update_start: bool = True, update_encoding: bool = False, damping: float = 1.0, **how) -> dict:
-        """Fit, then alternate decoding and updates of transitions, start and (from the local state's share) encoding."""
+    def estimate_parameters(self, samples: DataFrame, events: DataFrame, clock: DataFrame, iterations: int = 20, tolerance: float = 1e-4, update_transitions: bool = True, update_start: bool = True, update_encoding: bool = False, damping: float = 1.0, covariates: DataFrame | None = None, **how) -> dict:
+        """Fit, then alternate decoding and updates of transitions, start and (from the local state's share) encoding.
+
+        With covariates, (keys, t_idx, x array), the coefficients of the transitions are updated instead of one matrix.
+        """
         self.fit(samples, events, **how)
+        if covariates is not None and not isinstance(self.discrete, NonStationary):
+            raise ConfigurationError("covariates drive transitions that follow them only", "NonStationary", type(self.discrete).__name__)
+        clock, covariates = self._coded(clock, covariates)
+        clock = stored(clock)
         inside = np.flatnonzero(self.space.inside)
         owner = self.space.states[inside].tolist()
+        if covariates is not None:
+            covariates = stored(covariates.select("t_idx", "x"))
+            if self.coefficients is None:
+                self.coefficients = self.discrete.coefficients(len(covariates.select("x").first()["x"]))
         trace, posterior, ll, done = [], None, None, False
         for k in range(iterations):
             if ll is None or update_encoding and not self.marks:
-                ll = self.compute_log_likelihood(events, clock, samples)
-            pi, joint = self._inner()
-            posterior = hmm.decode(ll, pi, joint).persist()
+                forget(ll)
+                ll = stored(self._likelihood(events, clock, samples, None))
+            forget(posterior)
+            decoded, sid = self._decoded(ll, covariates)
+            posterior = stored(decoded)
             trace.append(posterior.agg(F.sum("log_norm")).first()[0])
-            share = {}
-            for c in ("filtered", "predicted", "smoothed"):
-                m = hmm.marginal(posterior, c, owner)
-                share[c] = kde.as_array(m.withColumnRenamed("state", "bin"), "p", ["t_idx"], len(self.names)).withColumnRenamed("p", c)
-            states = share["filtered"].join(share["predicted"], "t_idx").join(share["smoothed"], "t_idx")
+            states = stored(self._by_state(posterior, sid, owner))
             if update_encoding and not self.marks and "Local" in self.names:
                 self._reweigh(states, clock, damping)
-            if update_transitions:
-                expected = em.matrix_of(em.expected_transitions(states, self.transition), len(self.names))
+            if update_transitions and covariates is not None:
+                by_time = states.join(predict_transitions(covariates, self.coefficients), "t_idx")
+                responses = stored(em.transition_responses(by_time, "trans", sid).join(covariates, "t_idx").select("x", "xi"))
+                flat = self.concentration == 1.0 and not np.any(self.stickiness)
+                self.coefficients = em.update_covariate_transitions(responses, self.coefficients, alpha=None if flat else em.dirichlet(self.concentration, self.stickiness, len(self.names)))
+                forget(responses)
+            elif update_transitions:
+                expected = em.matrix_of(em.expected_transitions(states, self.transition, sid), len(self.names))
                 self.transition = em.update_transitions(expected, self.concentration, self.stickiness, self.weight, self.frozen, self.transition)
             if update_start:
-                first = posterior.where(F.col("t_idx") == F.lit(clock.agg(F.min("t_idx")).first()[0])).select("smoothed").first()["smoothed"]
-                self.initial[inside] = first
+                self.initial[inside] = em.update_initial(posterior, sid)
+            forget(states)
             if k and (done := hmm.converged(trace[-1], trace[-2], tolerance)[0]):
                 break
         return {"posterior": self._rows(posterior, ll, clock, None), "log_likelihoods": trace, "converged": done}
 
+    def _by_state(self, posterior: DataFrame, sid: list[str], owner: list[int]) -> DataFrame:
+        """Posterior with arrays over discrete states."""
+        ends = np.searchsorted(owner, np.arange(len(self.names) + 1)).tolist()
+
+        def summed(c: str):
+            return F.array(*(F.aggregate(F.slice(c, a + 1, b - a), F.lit(0.0), lambda acc, x: acc + x) for a, b in zip(ends[:-1], ends[1:], strict=True))).alias(c)
+
+        return posterior.select(*sid, "t_idx", *map(summed, ("filtered", "predicted", "smoothed")))
+
     def _reweigh(self, states: DataFrame, clock: DataFrame, damping: float) -> None:
         """Refit the fields with the samples weighted by the probability of the local state."""
         at = list(self.names).index("Local") + 1
-        local = states.select("t_idx", F.element_at("smoothed", at).alias("w")).join(clock.select("t_idx", "t"), "t_idx").select("t", "w")
-        samples = interpolate(self.samples.withColumn("w", F.lit(None).cast("double")), local, ["w"], extrapolate=False)
+        local = states.select("t_idx", F.element_at("smoothed", at).alias("w")).join(clock.select("t_idx", "t", *self.keys), "t_idx").select(*self.keys, "t", "w")
+        samples = stored(interpolate(self.samples.withColumn("w", F.lit(None).cast("double")), local, ["w"], self.keys, extrapolate=False))
         size = em.effective_size(samples).first()
         if size["mass"] < 1 or size["ess"] < 1:
             return
         old = {k: m["fields"] for k, m in self.encoding.items()}
         keep, self.samples, self.how = self.samples, samples, (*self.how[:3], "w")
         self._encode()
-        self.samples = keep.join(samples.select("t", "w"), "t") if "w" not in keep.columns else samples
+        self.samples = keep.join(samples.select(*self.keys, "t", "w"), [*self.keys, "t"]) if "w" not in keep.columns else samples
         if damping < 1:
             for k, m in self.encoding.items():
                 m["fields"] = em.damped(old[k], m["fields"], damping, (self.unit, "bin"))
@@ -341,12 +401,6 @@ class Decoder:
         return io.load_tables(spark, path)
 
 
-def _by(t: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(t)
-
-
 # --- presets ----------------------------------------------------------------------------------
 
 def single(**options) -> Decoder:

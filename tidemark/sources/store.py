@@ -40,7 +40,7 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
+def forget(df: DataFrame | None) -> None:
     """Delete what stored() wrote, once nothing reads it any more."""
     path = getattr(df, "_stored_at", None)
     if path:
