@@ -105,21 +105,24 @@ class Decoder:
         spark, columns = self.samples.sparkSession, self.columns
         group, environment, training, weight = self.how
         self.encoding = {}
-        self.units = self.events.select(self.unit).distinct()
+        self.units = stored(self.events.select(self.unit).distinct())
         for o in self.observations:
             if o.key in self.encoding or o.no_event:
                 continue
             env = next(e for e in self.environments if e.name == o.environment)
             points = env.points[env.interior_bins]
             mine = self._mine(o.key)
-            spans = binning.runs(self.samples.withColumn("__in", self._flag(o.key)), "__in", self.keys)
+            if training == "true" and group is None and (environment is None or not o.environment):  # one run
+                spans = self.samples.groupBy(*self.keys).agg(F.lit(1).cast("long").alias("run"), F.min("t").alias("start"), F.max("t").alias("end"))
+            else:
+                spans = binning.runs(self.samples.withColumn("__in", self._flag(o.key)), "__in", self.keys)
             near = binning.events_in_runs(self.events, spans, typical_step(self.samples, self.keys), self.keys)
             placed = stored(interpolate(near, self.samples, [*columns, *([weight] if weight else [])], self.keys))
             # Without marks all samples count as visited unless told otherwise; with marks only the group's do.
             visited = mine if self.marks or self.occupancy == "group" or weight else self.samples
             model = {"points": points, "placed": placed, "visited": visited}
             if not self.marks and self.algorithm == "kde":
-                model["fields"] = kde.place_fields(placed, visited, columns, points, self.position_std, self.unit, weight, weight, self.units)
+                model["fields"] = stored(kde.place_fields(placed, visited, columns, points, self.position_std, self.unit, weight, weight, self.units))
             elif not self.marks:
                 model["fields"] = self._glm_fields(placed, visited, points, spark, weight)
             else:
