@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import exprs as X
 from ..operators import analysis, asof, binning, em, geometry, glm, gmm, gof, hmm, kde, likelihood, transitions, windows
 from ..sources import clock as clocks, simulate
+from ..sources.store import stored
 from ..sources.testdata import events as event_rows, marks as mark_rows, seconds, table
 from . import models
 
@@ -43,10 +44,10 @@ def _r(column: str, digits: int = 6):
     return F.round(column, digits).alias(column) if isinstance(column, str) else column
 
 
-def hours(ev: DataFrame) -> DataFrame:
-    """Hourly bins that cover the events, and the end of the last one."""
-    ends = ev.agg(F.floor(F.min("t") / HOUR).alias("a"), (F.floor(F.max("t") / HOUR) + 1).alias("b"))
-    return ends.select(F.explode(F.sequence("a", "b")).alias("k"), "a").select((F.col("k") - F.col("a")).alias("t_idx"), (F.col("k") * F.lit(HOUR)).alias("t"))
+def hours(ev: DataFrame, step: float = HOUR) -> DataFrame:
+    """Hourly bins (or those of another step) that cover the events, and the end of the last one."""
+    ends = ev.agg(F.floor(F.min("t") / step).alias("a"), (F.floor(F.max("t") / step) + 1).alias("b"))
+    return ends.select(F.explode(F.sequence("a", "b")).alias("k"), "a").select((F.col("k") - F.col("a")).alias("t_idx"), (F.col("k") * F.lit(step)).alias("t"))
 
 
 def hourly(spark: SparkSession, d: str) -> DataFrame:
@@ -709,15 +710,82 @@ def simulate_field(spark, d):
     return run.select("t_idx", _r("x"), F.round(simulate.place_rate("x", 40.0, 6.0, 12.0), 6).alias("rate"))
 
 
-@query()
+def _decode_sql(unit: str, kind: str, out: str, step: float = HOUR) -> str:
+    """Rates by value, likelihoods of ten bins by time step, and filter and smoother over the bins of two states, for each kind of recording."""
+    k = f"exp(-0.5 * power((c - value) / {STD}, 2)) / ({STD} * sqrt(2 * pi()))"
+    scaled = "list_transform(u, lambda y: y / list_sum(u))"
+    return f"""WITH RECURSIVE ev AS (SELECT epoch_us(ts) / 1e6 AS t, value, {unit} AS unit, {kind} AS kind FROM events),
+{_HOURS.replace(str(HOUR), str(step))}, pts AS (SELECT i AS bin, i * 50.0 + 25.0 AS c FROM range(10) r(i)),
+occ AS (SELECT bin, avg({k}) AS occ FROM ev, pts GROUP BY bin), mg AS (SELECT unit, bin, avg({k}) AS m FROM ev, pts GROUP BY unit, bin),
+rt AS (SELECT unit, count(*) / (SELECT count(*) FROM ev)::DOUBLE AS rate FROM ev GROUP BY unit),
+fields AS (SELECT unit, bin, greatest(CASE WHEN occ > 0 THEN rate * m / occ ELSE rate * 1e-15 END, 1e-15) AS field FROM mg JOIN occ USING (bin) JOIN rt USING (unit)),
+silent AS (SELECT bin, sum(field) AS f FROM fields GROUP BY bin),
+cnt AS (SELECT kind, floor(t / {step})::BIGINT - (SELECT a FROM ends) AS i, unit, count(*) AS n FROM ev GROUP BY ALL),
+hit AS (SELECT kind, i, bin, sum(n * ln(field)) AS x FROM cnt JOIN fields USING (unit) GROUP BY ALL),
+ll AS (SELECT k.kind, h.t_idx AS i, s.bin, coalesce(x, 0) - f AS l FROM (SELECT DISTINCT kind FROM ev) k CROSS JOIN hours h CROSS JOIN silent s LEFT JOIN hit ON hit.kind = k.kind AND hit.i = h.t_idx AND hit.bin = s.bin),
+es AS (SELECT kind, i, list_transform(l || l, lambda x: exp(x - list_max(l))) AS e FROM (SELECT kind, i, list(l ORDER BY bin) AS l FROM ll GROUP BY ALL)),
+w AS (SELECT x.bin AS i, y.bin AS j, exp(-0.5 * power(x.c - y.c, 2) / 6.0) AS w FROM pts x, pts y), wn AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM w),
+st AS (SELECT x.s * 10 + wn.i AS i, y.s * 10 + wn.j AS j, CASE WHEN x.s = y.s THEN 0.98 ELSE 0.02 END * CASE WHEN x.s + y.s = 0 THEN w ELSE 0.1 END AS a FROM wn, (SELECT unnest([0, 1]) AS s) x, (SELECT unnest([0, 1]) AS s) y),
+m AS (SELECT (SELECT list(r ORDER BY i) FROM (SELECT i, list(a::DOUBLE ORDER BY j) AS r FROM st GROUP BY i)) AS rows_, (SELECT list(r ORDER BY j) FROM (SELECT j, list(a::DOUBLE ORDER BY i) AS r FROM st GROUP BY j)) AS columns_),
+f(kind, i, p, q) AS (
+  SELECT kind, i, {scaled}, q FROM (SELECT kind, i, list_transform(e, lambda x: 0.05 * x) AS u, list_transform(e, lambda x: 0.05::DOUBLE) AS q FROM es WHERE i = 0)
+  UNION ALL SELECT kind, i, {scaled}, q FROM (SELECT kind, i, q, list_transform(range(1, 21), lambda j: q[j] * e[j]) AS u FROM (
+    SELECT f.kind, es.i, e, list_transform(columns_, lambda c: list_dot_product(c, p)) AS q FROM f JOIN es ON es.kind = f.kind AND es.i = f.i + 1, m))),
+g(kind, i, g) AS (
+  SELECT kind, i, p FROM f WHERE i = (SELECT max(i) FROM f)
+  UNION ALL SELECT kind, i, {scaled} FROM (SELECT kind, i, list_transform(range(1, 21), lambda k: p[k] * list_dot_product(rows_[k], r)) AS u FROM (
+    SELECT f.kind, f.i, f.p, rows_, list_transform(range(1, 21), lambda j: CASE WHEN n.q[j] = 0 THEN 0 ELSE g.g[j] / n.q[j] END) AS r
+    FROM g JOIN f n ON n.kind = g.kind AND n.i = g.i JOIN f ON f.kind = g.kind AND f.i = g.i - 1, m)))
+SELECT {out}i AS t_idx, CASE WHEN k < 10 THEN 'Continuous' ELSE 'Fragmented' END AS name, (k % 10)::INTEGER AS bin, round(g[k + 1], 6) AS acausal FROM (SELECT kind, i, g, unnest(range(20)) AS k FROM g)"""
+
+
+def _two_states() -> models.Decoder:
+    return models.continuous_fragmented(environments=[geometry.Environment("", bin_size=50.0, ranges=[(0.0, 500.0)], infer_interior=False)], position_std=STD)
+
+
+@query(_decode_sql("event_type", "0", ""))
 def decode_position(spark, d):
     """Fit a continuous / fragmented decoder on the events' values and decode hourly."""
     ev = event_rows(spark, d)
-    samples = ev.select("t", F.col("value").alias("x"))
-    model = models.continuous_fragmented(environments=[geometry.Environment("", bin_size=50.0, ranges=[(0.0, 500.0)], infer_interior=False)], position_std=STD)
-    model.fit(samples, ev.select("event_id", "unit", "t"))
-    out = model.predict(ev.select("event_id", "unit", "t"), hours(ev))
+    rows = ev.select("event_id", "unit", "t")
+    out = _two_states().fit(ev.select("t", F.col("value").alias("x")), rows).predict(rows, hours(ev))
     return out.select("t_idx", "name", "bin", _r("acausal"))
 
 
+@query(_decode_sql("user_id % 6", "event_type", "kind, ", 6 * HOUR))
+def decode_sessions(spark, d):
+    """The same with users as units, each kind of event as a recording of its own, in one plan, and steps of six hours."""
+    ev = event_rows(spark, d).select("event_id", F.col("unit").alias("kind"), (F.col("user_id") % 6).alias("unit"), "t", "value")
+    clock = hours(ev, 6 * HOUR).crossJoin(F.broadcast(ev.select("kind").distinct()))
+    model = _two_states().fit(ev.select("kind", "t", F.col("value").alias("x")), ev.drop("value"), keys=["kind"])
+    out = model.predict(ev.drop("value"), clock)
+    return out.select("kind", "t_idx", "name", "bin", _r("acausal"))
+
+
+@query()
+def em_covariates(spark, d):
+    """Slow and fast states of the hourly counts, whose transitions follow the hour of the day; three rounds."""
+    coef, trace = covariate_rounds(spark, d, 3)
+    rows = [(f"log likelihood {k}", float(round(v, 3))) for k, v in enumerate(trace)] + [(f"coefficient {i} {s}", float(round(coef[i, s, 0], 4))) for i in range(coef.shape[0]) for s in range(2)]
+    return spark.createDataFrame(rows, "what string, value double")
+
+
+def daily_design(spark, d) -> DataFrame:
+    """(unit, t_idx, ll, x): likelihoods of intensity_loglik() and a spline of the hour of the day with its knots at quantiles."""
+    rows = intensity_loglik(spark, d).withColumn("hour", F.pmod("t_idx", F.lit(24)).cast("double"))
+    return transitions.Design.over(rows, splines={"hour": 1}, degree=2).rows(rows).select("unit", "t_idx", "ll", "x")
+
+
+def covariate_rounds(spark, d, rounds: int) -> tuple[np.ndarray, list[float]]:
+    rows = stored(daily_design(spark, d))
+    coef, trace = transitions.NonStationary(A).coefficients(len(rows.select("x").first()["x"])), []
+    for _ in range(rounds):
+        by_time = transitions.predict_transitions(rows, coef).select("unit", "t_idx", "ll", "x", "trans")
+        out = stored(hmm.decode(by_time, [0.5, 0.5], None, ["unit"], "trans", chunk=256))
+        trace.append(out.agg(F.sum("log_norm")).first()[0])
+        xi = em.transition_responses(out.join(by_time.select("unit", "t_idx", "trans"), ["unit", "t_idx"]), "trans", ["unit"])
+        coef = em.update_covariate_transitions(stored(xi.join(rows.select("unit", "t_idx", "x"), ["unit", "t_idx"]).select("x", "xi")), coef, l2=1e-3)
+    return coef, trace
+
+
 assert math.isfinite(X.LOG_EPS)
