@@ -14,10 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.exprs import EPS, LOG_EPS
+from ..sources.store import stored
+from . import ordered
 
 #: Rows of a matrix block, and events of one side of a tile.
 BLOCK = 4096
 TILE = 20_000
+#: Standard deviations beyond which a kernel at a single place counts as 0: less than 1.3e-14 of its height.
+CUT = 8.0
 #: Fields of more numbers than this are joined, not broadcast (64 MB).
 BROADCAST_NUMBERS = 8_000_000
 _LOG_SQRT_TAU = 0.5 * np.log(2 * np.pi)
@@ -150,34 +154,84 @@ def poisson_loglik(counts: DataFrame, fields: DataFrame, n_bins: int, clock: Dat
     return rows.mapInPandas(run, T.StructType([times.schema["t_idx"], T.StructField("ll", _ARRAY)]))
 
 
-def local_loglik(counts: DataFrame, events: DataFrame, samples: DataFrame, positions: DataFrame, columns: Sequence[str], std, unit: str = "unit") -> DataFrame:
-    """(t_idx, ll): the likelihood of being where the animal is; positions: (t_idx, columns) on the clock."""
-    at = positions.select("t_idx", *columns)
-    points = np.array(at.orderBy("t_idx").toPandas()[list(columns)]) if at.count() <= BLOCK * 16 else None
-    if points is None:
-        return _local_blocks(counts, events, samples, positions, columns, std, unit)
-    fields = place_fields(events, samples, columns, points, std, unit)
-    order = at.select("t_idx", F.row_number().over(_by_time()).alias("k")).select("t_idx", (F.col("k") - 1).alias("bin"))
-    long = fields.join(order, "bin").join(counts, [unit, "t_idx"], "left").select("t_idx", (F.when(F.coalesce("n", F.lit(0)) == 0, 0.0).otherwise(F.col("n") * F.log("field")) - F.col("field")).alias("x"))
-    return long.groupBy("t_idx").agg(F.sum("x").alias("ll"))
-
-
-def _by_time():
-    from pyspark.sql import Window
-
-    return Window.orderBy("t_idx")
-
+def sums_at(targets: DataFrame, key: str, samples: DataFrame, columns: Sequence[str], std, same: str | None = None, by: str | None = None, grid: Sequence[str] | None = None, cut: float = CUT, tile: int = TILE) -> DataFrame:
+    """(key[, by], total): sums over samples of the kernel at each target's own place; targets without a sample near go.
 
-def _local_blocks(counts, events, samples, positions, columns, std, unit):
-    """Blocks of BLOCK * 16 consecutive times, each evaluated as above; the clock itself is not gathered."""
-    size = BLOCK * 16
-    ends = positions.agg(F.min("t_idx"), F.max("t_idx")).first()
-    out = None
-    for a in range(ends[0], ends[1] + 1, size):
-        part = positions.where(F.col("t_idx").between(a, a + size - 1))
-        got = local_loglik(counts.where(F.col("t_idx").between(a, a + size - 1)), events, samples, part, columns, std, unit)
-        out = got if out is None else out.unionByName(got)
-    return out
+    Both sides lie in cells of ``cut`` standard deviations in the ``grid`` columns (all unless told), and a target meets
+    the samples of its own and the neighbouring cells: what is left out is less than exp(-cut^2 / 2) of a kernel's
+    height a sample.  Cells with many rows are cut in tiles of ``tile`` rows of either side.  ``same`` must be equal on
+    both sides; ``by``, a column of the samples, parts the sums.  Rows with unknown places take no part.
+    """
+    columns, grid = list(columns), list(grid or columns)
+    width = _std(std, len(columns))
+    known = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in columns)
+    cell = [f"__c{k}" for k in range(len(grid))]
+    seat = [F.floor(F.col(c) / float(cut * width[columns.index(c)])).cast("long") for c in grid]
+    on = [*cell, *(["__same"] if same else [])]
+    own = [F.col(same).alias("__same")] if same else []
+    right = samples.where(known).select(*own, *([F.col(by).alias("__by")] if by else []), *(F.col(c).cast("double").alias(f"__{k}") for k, c in enumerate(columns)), *(x.alias(c) for x, c in zip(seat, cell, strict=True)))
+    left = targets.where(known).select(F.col(key).alias("__key"), *own, *(F.col(c).cast("double").alias(c) for c in columns), *(F.explode(F.array(x - 1, x, x + 1)).alias(c) if k == 0 else x.alias(c) for k, (x, c) in enumerate(zip(seat, cell, strict=True))))
+    for c in cell[1:]:
+        left = left.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+    n_right = right.groupBy(*on).agg(F.count("*").alias("n_right"))
+    n_left = left.groupBy(*on).agg(F.count("*").alias("n_left"))
+    shape = stored(n_right.join(n_left, on).withColumn("eb", F.ceil(F.col("n_right") / tile)).withColumn("db", F.ceil(F.col("n_left") / tile)))
+    b = ordered.join_counted(right, shape, on, "n_right").withColumn("__e", F.pmod(F.xxhash64(*(f"__{k}" for k in range(len(columns)))), F.col("eb"))).withColumn("__d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("db") - 1))).drop("n_right", "n_left", "eb", "db")
+    a = ordered.join_counted(left, shape, on, "n_left").withColumn("__d", F.pmod(F.xxhash64("__key"), F.col("db"))).withColumn("__e", F.explode(F.sequence(F.lit(0).cast("long"), F.col("eb") - 1))).drop("n_right", "n_left", "eb", "db")
+    keyed = T.StructField("__key", targets.schema[key].dataType)
+    schema = T.StructType([keyed, *([T.StructField("__by", samples.schema[by].dataType)] if by else []), T.StructField("part", T.DoubleType())])
+    names = [f"__{k}" for k in range(len(columns))]
+
+    def run(_, at: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if not len(at) or not len(near):
+            return pd.DataFrame({f.name: [] for f in schema})
+        codes, kinds = pd.factorize(near["__by"]) if by else (np.zeros(len(near), int), [None])
+        total = np.zeros((len(at), len(kinds)))
+        x, y, share = at[columns].to_numpy(float), near[names].to_numpy(float), np.eye(len(kinds))[codes]
+        for i in range(0, len(x), BLOCK):
+            for j in range(0, len(y), BLOCK):
+                total[i:i + BLOCK] += kernel(x[i:i + BLOCK], y[j:j + BLOCK], width) @ share[j:j + BLOCK]
+        out = {"__key": np.repeat(at["__key"].to_numpy(), len(kinds)), "part": total.ravel()}
+        if by:
+            out["__by"] = np.tile(np.asarray(kinds), len(at))
+        return pd.DataFrame(out)[[f.name for f in schema]]
+
+    parts = a.groupBy(*on, "__e", "__d").cogroup(b.groupBy(*on, "__e", "__d")).applyInPandas(run, schema)
+    return parts.groupBy(F.col("__key").alias(key), *([F.col("__by").alias(by)] if by else [])).agg(F.sum("part").alias("total"))
+
+
+def _density_at(targets: DataFrame, key: str, samples: DataFrame, columns: Sequence[str], std, by: str | None = None) -> DataFrame:
+    """(key[, by], density): kernel density of the samples (of each group) at the targets near them."""
+    known = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in columns)
+    mass = samples.where(known).groupBy(*([by] if by else [])).agg(F.count("*").alias("__n"))
+    sums = sums_at(targets, key, samples, columns, std, by=by)
+    joined = sums.join(mass, by) if by else sums.crossJoin(F.broadcast(mass))  # a row a group; one row
+    return joined.select(key, *([by] if by else []), (F.col("total") / F.col("__n")).alias("density"))
+
+
+def _fields_at(positions: DataFrame, events: DataFrame, samples: DataFrame, columns: Sequence[str], std, unit: str) -> DataFrame:
+    """(t_idx, unit, field): rates at the clock's places of the units with events near; elsewhere a field is EPS."""
+    rates = mean_rates(events, samples, unit)
+    occ = _density_at(positions, "t_idx", samples, columns, std).withColumnRenamed("density", "occ")
+    near = _density_at(positions, "t_idx", events, columns, std, unit)
+    field = F.when(F.col("occ") > 0, F.col("rate") * F.col("density") / F.col("occ")).otherwise(F.col("rate") * EPS)
+    return near.join(rates, unit).join(occ, "t_idx", "left").select("t_idx", unit, F.greatest(field, F.lit(EPS)).alias("field"))
+
+
+def local_loglik(counts: DataFrame, events: DataFrame, samples: DataFrame, positions: DataFrame, columns: Sequence[str], std, unit: str = "unit", units: DataFrame | None = None) -> DataFrame:
+    """(t_idx, ll): the likelihood of being where the animal is; positions: (t_idx, columns) on the clock.
+
+    counts may leave out units without events; ``units`` lists the units (those of the events unless told).
+    """
+    near = _fields_at(positions, events, samples, columns, std, unit)
+    some = counts.where("n > 0").select("t_idx", unit, "n")
+    both = near.join(some, ["t_idx", unit], "full")
+    f = F.coalesce("field", F.lit(EPS))
+    term = F.coalesce(F.col("n") * F.log(f), F.lit(0.0)) - f
+    sums = both.groupBy("t_idx").agg(F.sum(term).alias("x"), F.count("*").alias("k"))
+    all_units = (units if units is not None else events.select(unit).distinct()).agg(F.count("*").alias("u"))
+    rest = (F.col("u") - F.coalesce("k", F.lit(0))) * EPS
+    return positions.select("t_idx").join(sums, "t_idx", "left").crossJoin(F.broadcast(all_units)).select("t_idx", (F.coalesce("x", F.lit(0.0)) - rest).alias("ll"))
 
 
 def no_event_loglik(counts: DataFrame, step: float, rate: float = 1e-10, clock: DataFrame | None = None, n_units: int | None = None) -> DataFrame:
@@ -257,40 +311,23 @@ def marked_local_loglik(decode: DataFrame, encode: DataFrame, samples: DataFrame
     of rate * density at events / occupancy at the time.
     """
     marks, columns = list(marks), list(columns)
-    ms, ps = _std(mark_std, len(marks)), _std(position_std, len(columns))
-    both = [*marks, *columns]
-    std = np.concatenate([ms, ps])
-    schema = T.StructType([decode.schema[event], decode.schema["t_idx"], T.StructField("x", T.DoubleType()), decode.schema[unit]])
-
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a):
-            return pd.DataFrame({event: [], "t_idx": [], "x": [], unit: []})
-        total = np.zeros(len(a))
-        for k in range(0, len(b), BLOCK):
-            total += kernel(a[both].to_numpy(float), b[[f"__{c}" for c in both]].to_numpy(float)[k:k + BLOCK], std).sum(axis=1)
-        return pd.DataFrame({event: a[event], "t_idx": a["t_idx"], "x": total / max(len(b), 1), unit: a[unit]})
-
-    other = encode.select(F.col(unit).alias("__u"), *(F.col(c).alias(f"__{c}") for c in both))
-    joint = decode.groupBy(unit).cogroup(other.groupBy("__u")).applyInPandas(run, schema)
+    ps = _std(position_std, len(columns))
+    std = np.concatenate([_std(mark_std, len(marks)), ps])
+    mass = encode.groupBy(F.col(unit).alias("__u")).agg(F.count("*").alias("__n"))
+    joint = sums_at(decode, event, encode, [*marks, *columns], std, same=unit, grid=columns)
     occ_event = _density_at(decode.select(event, *columns), event, samples, columns, ps).withColumnRenamed("density", "occ")
-    hits = joint.join(occ_event, event).join(rates, unit).select("t_idx", F.log(F.greatest(F.col("rate") * F.col("x") / F.greatest("occ", F.lit(EPS)), F.lit(EPS))).alias("x")).groupBy("t_idx").agg(F.sum("x").alias("x"))
+    per_unit = rates.join(mass, F.col(unit) == F.col("__u"))
+    hits = decode.select(event, "t_idx", unit).join(joint, event, "left").join(occ_event, event, "left").join(per_unit.drop("__u"), unit)
+    near = F.coalesce("total", F.lit(0.0)) / F.col("__n")
+    hits = hits.select("t_idx", F.log(F.greatest(F.col("rate") * near / F.greatest(F.coalesce("occ", F.lit(0.0)), F.lit(EPS)), F.lit(EPS))).alias("x")).groupBy("t_idx").agg(F.sum("x").alias("x"))
     occ_time = _density_at(positions, "t_idx", samples, columns, ps).withColumnRenamed("density", "occ")
     by_unit = _density_at(positions, "t_idx", encode, columns, ps, unit)
-    ground = by_unit.join(rates, unit).join(occ_time, "t_idx").groupBy("t_idx").agg(F.sum(F.greatest(F.col("rate") * F.col("density") / F.greatest("occ", F.lit(EPS)), F.lit(EPS))).alias("g"))
-    return positions.select("t_idx").join(hits, "t_idx", "left").join(ground, "t_idx", "left").select("t_idx", (F.coalesce("x", F.lit(0.0)) - F.coalesce("g", F.lit(0.0))).alias("ll"))
-
-
-def _density_at(targets: DataFrame, key: str, samples: DataFrame, columns: Sequence[str], std: np.ndarray, by: str | None = None) -> DataFrame:
-    """(key[, by], density): kernel density of the samples at the targets, in blocks of targets."""
-    out, blocks = None, max(1, -(-targets.count() // (BLOCK * 4)))
-    for b in range(blocks):
-        part = targets if blocks == 1 else targets.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
-        rows = part.select(key, *columns).toPandas()  # one block
-        got = kde(samples, columns, rows[list(columns)].to_numpy(float), std, by=[by] if by else [])
-        seat = targets.sparkSession.createDataFrame(pd.DataFrame({key: rows[key], "bin": np.arange(len(rows))}))
-        got = got.join(F.broadcast(seat), "bin").select(key, *([by] if by else []), "density")
-        out = got if out is None else out.unionByName(got)
-    return out
+    term = F.greatest(F.col("rate") * F.col("density") / F.greatest(F.coalesce("occ", F.lit(0.0)), F.lit(EPS)), F.lit(EPS))
+    ground = by_unit.join(rates, unit).join(occ_time, "t_idx", "left").groupBy("t_idx").agg(F.sum(term).alias("g"), F.count("*").alias("k"))
+    all_units = rates.agg(F.count("*").alias("u"))
+    out = positions.select("t_idx").join(hits, "t_idx", "left").join(ground, "t_idx", "left").crossJoin(F.broadcast(all_units))
+    rest = (F.col("u") - F.coalesce("k", F.lit(0))) * EPS  # units without events near
+    return out.select("t_idx", (F.coalesce("x", F.lit(0.0)) - F.coalesce("g", F.lit(0.0)) - rest).alias("ll"))
 
 
 def points_table(spark: SparkSession, points: np.ndarray) -> DataFrame:

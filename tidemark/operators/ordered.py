@@ -42,6 +42,19 @@ def join_same(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "
     return rows.join(renamed, same, how).drop(*(f"__same{i}" for i in range(len(on))))
 
 
+def join_counted(rows: DataFrame, table: DataFrame, on: Sequence[str], count: str) -> DataFrame:
+    """``rows`` joined to a stored ``table`` (one row a key), whose column ``count`` tells how many rows each key has.
+
+    Keys with more than a thousandth of the counted rows are fewer than a thousand: those are broadcast, and what is
+    shuffled has no larger group.
+    """
+    large = F.col(count) * 1000 > (table.agg(F.sum(count)).first()[0] or 0)
+    heavy = table.where(large)
+    hot = join_same(rows, F.broadcast(heavy), on)
+    cold = join_same(join_same(rows, F.broadcast(heavy.select(*on)), on, "left_anti"), table.where(~large), on)
+    return hot.unionByName(cold)
+
+
 def with_offsets(rows: DataFrame, value: Column, keys: Sequence[str], by: str, out: str) -> DataFrame:
     """``rows`` with ``out``: the sum of ``value`` over all rows of the groups (``by``) before theirs."""
     sums = rows.groupBy(*keys, by).agg(F.sum(value).alias("__sum"))
@@ -104,10 +117,4 @@ def cume_dist(df: DataFrame, column: str, out: str, keys: Sequence[str] = (), bl
     below = scan(counts, "__n", "__upto", ["__v"], keys, blocks)
     total = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"))
     share = stored(join_same(below, total, keys).select(*keys, "__v", "__n", (F.col("__upto") / F.col("__all")).alias(out)))
-    whole = counts.agg(F.sum("__n")).first()[0] or 0
-    large = F.col("__n") * 1000 > whole  # fewer than 1000 values
-    heavy = share.where(large)
-    rows = df.withColumn("__v", F.col(column))
-    hot = join_same(rows, F.broadcast(heavy), [*keys, "__v"])
-    cold = join_same(join_same(rows, F.broadcast(heavy.select(*keys, "__v")), [*keys, "__v"], "left_anti"), share.where(~large), [*keys, "__v"])
-    return hot.unionByName(cold).drop("__v", "__n")
+    return join_counted(df.withColumn("__v", F.col(column)), share, [*keys, "__v"], "__n").drop("__v", "__n")

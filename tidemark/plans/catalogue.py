@@ -697,6 +697,37 @@ def local_delta_kernel(spark, d):
     return _explode(out, "kernel")
 
 
+@query(f"""WITH {_COUNTS}, pos AS (SELECT floor(t / {HOUR})::BIGINT - (SELECT a FROM ends) AS t_idx, avg(value) AS c FROM ev GROUP BY 1),
+ks AS (SELECT t_idx, unit, {_K} AS k FROM pos, ev), occ AS (SELECT t_idx, avg(k) AS occ FROM ks GROUP BY 1), mg AS (SELECT t_idx, unit, avg(k) AS m FROM ks GROUP BY 1, 2),
+rt AS (SELECT unit, count(*) / (SELECT count(*) FROM ev)::DOUBLE AS rate FROM ev GROUP BY unit),
+f AS (SELECT t_idx, unit, greatest(CASE WHEN occ > 0 THEN rate * m / occ ELSE rate * 1e-15 END, 1e-15) AS f FROM mg JOIN occ USING (t_idx) JOIN rt USING (unit))
+SELECT t_idx, round(sum(CASE WHEN n = 0 THEN 0 ELSE n * ln(f) END - f), 5) AS ll FROM f JOIN counts USING (t_idx, unit) GROUP BY t_idx""")
+def local_place_loglik(spark, d):
+    """Each hour's events under the rates at the hour's own mean value."""
+    ev = event_rows(spark, d)
+    clock = hours(ev)
+    binned = stored(binning.bin_events(ev, clock))
+    at = binned.groupBy("t_idx").agg(F.avg("value").alias("value"))
+    counted = binned.groupBy("unit", "t_idx").agg(F.count("*").alias("n"))
+    return kde.local_loglik(counted, ev, ev, at, ["value"], STD).select("t_idx", _r("ll", 5))
+
+
+@query("""WITH v AS (SELECT vec_id, label AS unit, (vec_id // 5) % 40 AS t_idx, embedding[1]::DOUBLE * 500 + 250 AS x, embedding[2]::DOUBLE * 100 AS m0, embedding[3]::DOUBLE * 100 AS m1 FROM embeddings),
+pos AS (SELECT t_idx, avg(x) AS x FROM v GROUP BY 1), rt AS (SELECT unit, count(*) / (SELECT count(*) FROM v)::DOUBLE AS rate FROM v GROUP BY unit),
+j AS (SELECT a.vec_id, a.t_idx, a.unit, avg(exp(-0.5 * (power((a.m0 - b.m0) / 24.0, 2) + power((a.m1 - b.m1) / 24.0, 2) + power((a.x - b.x) / 30.0, 2))) / (24.0 * 24.0 * 30.0 * power(2 * pi(), 1.5))) AS j FROM v a JOIN v b USING (unit) GROUP BY 1, 2, 3),
+oe AS (SELECT a.vec_id, avg(exp(-0.5 * power((a.x - b.x) / 30.0, 2)) / (30.0 * sqrt(2 * pi()))) AS o FROM v a, v b GROUP BY 1),
+h AS (SELECT t_idx, sum(ln(greatest(rate * j / greatest(o, 1e-15), 1e-15))) AS x FROM j JOIN oe USING (vec_id) JOIN rt USING (unit) GROUP BY 1),
+kt AS (SELECT pos.t_idx, b.unit, exp(-0.5 * power((pos.x - b.x) / 30.0, 2)) / (30.0 * sqrt(2 * pi())) AS k FROM pos, v b), ot AS (SELECT t_idx, avg(k) AS o FROM kt GROUP BY 1), mt AS (SELECT t_idx, unit, avg(k) AS m FROM kt GROUP BY 1, 2),
+g AS (SELECT t_idx, sum(greatest(rate * m / greatest(o, 1e-15), 1e-15)) AS g FROM mt JOIN ot USING (t_idx) JOIN rt USING (unit) GROUP BY 1)
+SELECT t_idx, round(x - g, 5) AS ll FROM h JOIN g USING (t_idx)""")
+def local_mark_loglik(spark, d):
+    """Marked events under the intensities at their own place, by bins of events."""
+    v = mark_rows(spark, d, 3).select(F.col("vec_id").alias("event_id"), "unit", F.pmod(F.floor(F.col("vec_id") / 5), F.lit(40)).alias("t_idx"), (F.col("m0") * 500 + 250).alias("x"), (F.col("m1") * 100).alias("m0"), (F.col("m2") * 100).alias("m1"))
+    at = v.groupBy("t_idx").agg(F.avg("x").alias("x"))
+    out = kde.marked_local_loglik(v, v, v, kde.mean_rates(v, v), at, ["m0", "m1"], ["x"], 24.0, 30.0)
+    return out.select("t_idx", _r("ll", 5))
+
+
 # --- simulators, decoders ---------------------------------------------------------------------
 
 @query("SELECT i AS t_idx, round(i / 100.0, 6) AS t, round(50 * sin(2 * pi() * (1 / (2 * 100.0 / 20.0)) * (i / 100.0) - pi() / 2) + 50, 6) AS x FROM range(5000) r(i)")

@@ -243,7 +243,7 @@ class Decoder:
         if self.algorithm not in ("kde", "log_kde"):
             raise ConfigurationError("local states without bins have a kernel density likelihood only", "kde", self.algorithm, hint="give local_std: the local state then has the bins of this algorithm")
         if not self.marks:
-            return kde.local_loglik(counted, model["placed"], model["visited"], at, self.columns, self.position_std, self.unit)
+            return kde.local_loglik(counted, model["placed"], model["visited"], at, self.columns, self.position_std, self.unit, self.units)
         decode = interpolate(binning.bin_events(events, clock, self.keys).select("*", *(F.lit(None).cast("double").alias(c) for c in self.columns)), samples, self.columns, self.keys)
         return kde.marked_local_loglik(decode, model["placed"], model["visited"], model["rates"], at, self.marks, self.columns, self.mark_std, self.position_std, self.unit)
 
