@@ -388,19 +388,21 @@ class Decoder:
     # --- saving ---
 
     def save(self, path: str) -> None:
-        """Encoding tables and matrices as Parquet, parameters as JSON."""
-        spark = self.samples.sparkSession
-        tables = {"states": self.space.table(spark)}
-        for k, e in enumerate(self.environments):
-            tables[f"bins_{k}"] = e.bins(spark)
-        for k, m in enumerate(self.encoding.values()):
-            if "fields" in m:
-                tables[f"fields_{k}"] = m["fields"]
-        params = {"names": list(self.names), "transition": self.transition.tolist(), "initial": self.initial.tolist(), "continuous": self.continuous.tolist(), "columns": self.columns, "algorithm": self.algorithm, "position_std": self.position_std}
-        io.save_tables(path, tables, params, spark)
+        """Tables as Parquet, a manifest as JSON; restore() reads them back."""
+        from . import saved
+
+        saved.save(self, path)
+
+    @staticmethod
+    def restore(spark: SparkSession, path: str) -> "Decoder":
+        """A decoder that predicts as the saved one."""
+        from . import saved
+
+        return saved.restore(spark, path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
+        """The tables and the manifest, as they are."""
         return io.load_tables(spark, path)
 
 
