@@ -3,6 +3,7 @@
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, tokencount
@@ -58,5 +59,10 @@ def test_edges(spark):
     out = tokencount.token_counts(df, ["section"])
     assert out.columns[:2] == ["section", "section_"] and out.count() == 4
     assert tokencount.token_counts(df.limit(0), ["section"]).count() == 0
+    clash = df.select("section", F.lit(7).alias("__field0"), F.lit(8).alias("__field"), "text")
+    assert [(r["__field0"], r["__field"]) for r in tokencount.token_counts(clash, ["section", "__field0", "__field"]).collect()] == [(7, 8)] * 4
+    long_text = "word two\n" * 20_000
+    out = tokencount.token_counts(df.limit(1).select(F.lit(1).alias("section"), F.lit(long_text).alias("text")), ["section"])
+    assert out.count() == 20_000 and out.agg(F.sum("n_tokens")).first()[0] == len(bpe.automaton().encode(long_text))
     with pytest.raises(ValueError):
         tokencount.token_counts(df, ["section"], rule="other")

@@ -103,7 +103,10 @@ def token_counts(df: DataFrame, keep: list[str], text: str | None = "text", fiel
                 yield _sections(parts[a:a + 100], [c.slice(a, 100) for c in kept], names, machine, widths, rule)
         machine.rest()
 
-    return df.select(*keep, *(F.col(c).cast("string").alias(f"__field{k}") for k, c in enumerate(columns))).mapInArrow(run, schema)
+    parts = []
+    for _ in columns:  # read by place, but a clash of names would make them ambiguous
+        parts.append(distinct_name([*keep, *parts], "__field"))
+    return df.select(*keep, *(F.col(c).cast("string").alias(p) for c, p in zip(columns, parts, strict=True))).mapInArrow(run, schema)
 
 
 def _lines(text: str) -> list[str]:
