@@ -1,6 +1,7 @@
 """Operators over one long recording without keys: the same as the windows in one task, without that task."""
 
 import random
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -128,3 +129,17 @@ def test_no_row_goes_to_one_task(spark):
         assert len(lone) <= 4 and not any("windowspecdefinition(t" in line for line in windows_), (name, lone)
     ev = testdata.events(spark, d)
     assert analysis.multiunit_rate(ev, catalogue.hours(ev), ev.select("unit").distinct(), 1 / 3600, 7200).count() > 100
+
+
+@pytest.mark.parametrize("block", [4, 32_768])
+def test_all_lags_as_numpy(spark, block):
+    """Sessions of one and of many blocks, one of a single interval."""
+    r = np.random.default_rng(1)
+    rows = [(s, float(k), float(x)) for s, n in (("a", 23), ("b", 9), ("c", 1)) for k, x in enumerate(r.random(n))]
+    df = spark.createDataFrame(rows, "s string, t double, u double").repartition(3)
+    z = {s: np.array([NormalDist().inv_cdf(x) for q, _, x in rows if q == s]) for s in "abc"}
+    want = {(s, k): float((v[:len(v) - k] * v[k:]).sum() / (v * v).sum()) for s, v in z.items() for k in range(len(v))}
+    got = {(x["s"], x["lag"]): x["c"] for x in gof.full_autocorrelation(df, ["s"], order="t", block=block).collect()}
+    assert set(got) == set(want) and all(np.isclose(got[k], want[k], atol=1e-7) for k in want)
+    got = {(x["s"], x["lag"]): x["c"] for x in gof.full_autocorrelation(df, ["s"], order="t", max_lag=6, block=block).collect()}
+    assert set(got) == {k for k in want if k[1] <= 6} and all(np.isclose(got[k], want[k], atol=1e-7) for k in got)

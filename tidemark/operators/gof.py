@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.exprs import normal_ppf
 from .asof import interpolate
@@ -12,6 +14,8 @@ from . import ordered
 from .windows import cumulative_trapezoid, difference, running_sum
 
 _TINY = 2.220446049250313e-16
+#: Intervals of a block of the full autocorrelation.
+BLOCK = 32_768
 
 
 def rescaled_intervals(df: DataFrame, intensity: str = "intensity", spike: str = "is_spike", keys: Sequence[str] = (), order: str = "t_idx", censored: bool = True) -> DataFrame:
@@ -65,6 +69,38 @@ def interval_autocorrelation(intervals: DataFrame, max_lag: int, keys: Sequence[
     return sums.select(*keys, F.posexplode(F.array(*(F.col(f"l{k}") / F.col("l0") for k in range(max_lag + 1)))).alias("lag", "c"))
 
 
+def full_autocorrelation(intervals: DataFrame, keys: Sequence[str] = (), u: str = "u", order: str = "t_idx", max_lag: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(keys, lag, c): correlation of the intervals' normal scores at all lags (or up to ``max_lag``), 1 at lag 0.
+
+    A session is cut in blocks of ``block`` intervals.  Each two blocks that a lag can join are one group, whose
+    products at all lags are two FFTs; the products are added up by lag.  A session of one block is one group.
+    """
+    keys = list(keys)
+    p = F.least(F.greatest(F.col(u), F.lit(_TINY)), F.lit(1 - _TINY))
+    z = ordered.positions(intervals.select(*keys, F.col(order).alias("__at"), normal_ppf(p).alias("__z")), ["__at"], keys)
+    z = z.select(*keys, "__z", F.pmod(ordered.POSITION, F.lit(block)).alias("__i"), F.floor(F.col(ordered.POSITION) / block).cast("long").alias("__b"))
+    last = z.groupBy(*keys).agg(F.max("__b").alias("__last"))
+    reach = F.col("__last") if max_lag is None else F.least(F.col("__last"), F.col("__b") + (max_lag // block + 1))
+    lead = ordered.join_same(z, last, keys).select(*keys, F.col("__b").alias("__first"), F.explode(F.sequence("__b", reach)).alias("__second"), F.lit(0).alias("__side"), "__i", "__z")
+    from_ = F.lit(0).cast("long") if max_lag is None else F.greatest(F.lit(0).cast("long"), F.col("__b") - (max_lag // block + 1))
+    trail = z.select(*keys, F.explode(F.sequence(from_, F.col("__b"))).alias("__first"), F.col("__b").alias("__second"), F.lit(1).alias("__side"), "__i", "__z")
+    schema = T.StructType([*(intervals.schema[k] for k in keys), T.StructField("lag", T.LongType()), T.StructField("__part", T.DoubleType())])
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [np.zeros(block), np.zeros(block)]
+        for side, own in pdf.groupby("__side"):
+            sides[side][own["__i"].to_numpy(int)] = own["__z"]
+        size = 2 * block
+        found = np.fft.irfft(np.conj(np.fft.rfft(sides[0], size)) * np.fft.rfft(sides[1], size), size)
+        lag = np.r_[np.arange(block), np.arange(-block, 0)] + (pdf["__second"].iloc[0] - pdf["__first"].iloc[0]) * block
+        good = (lag >= 0) & (lag <= (lag.max() if max_lag is None else max_lag))
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * int(good.sum()) for k in keys}, "lag": lag[good], "__part": found[good]})
+
+    sums = lead.unionByName(trail).groupBy(*keys, "__first", "__second").applyInPandas(products, schema).groupBy(*keys, "lag").agg(F.sum("__part").alias("__s"))
+    count = z.groupBy(*keys).agg(F.count("*").alias("__n"), F.sum(F.col("__z") * F.col("__z")).alias("__all"))
+    return ordered.join_same(sums, count, keys).where("lag < __n").select(*keys, "lag", (F.col("__s") / F.col("__all")).alias("c"))
+
+
 def residuals(df: DataFrame, intensity: str = "intensity", spike: str = "n", keys: Sequence[str] = (), order: str = "t_idx") -> DataFrame:
     """``df`` with the running sum of events less intensity."""
     return running_sum(df, F.col(spike) - F.col(intensity), "residual", order, list(keys))

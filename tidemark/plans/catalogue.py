@@ -106,7 +106,7 @@ def _lerp(spark, d, extrapolate: bool):
     """Each unit's values at each half hour."""
     ev = event_rows(spark, d)
     units = ev.select("unit").distinct()
-    targets = _half_hours(spark).join(units.groupBy().agg(F.collect_set("unit").alias("units"))).select("t_idx", "t", F.explode("units").alias("unit"))
+    targets = units.crossJoin(F.broadcast(_half_hours(spark)))  # 1,460 rows
     return asof.interpolate(targets, ev.select("unit", "t", "value"), ["value"], ["unit"], extrapolate=extrapolate).select("unit", "t_idx", _r("value", 5))
 
 
@@ -210,7 +210,9 @@ def place_fields(spark, d):
 @query(f"""WITH {_COUNTS}, {_POINTS}, {_FIELDS}
 SELECT t_idx, bin, round(sum(CASE WHEN n = 0 THEN 0 ELSE n * ln(field) END - field), 4) AS ll FROM counts JOIN fields USING (unit) GROUP BY t_idx, bin""")
 def poisson_loglik(spark, d):
-    ll = kde.poisson_loglik(hourly(spark, d), _fields(spark, d), len(POINTS))
+    ev = event_rows(spark, d)
+    clock = hours(ev)
+    ll = kde.poisson_loglik(binning.sparse_counts(ev, clock, bucket=86_400.0), _fields(spark, d), len(POINTS), clock)
     return ll.select("t_idx", F.posexplode("ll").alias("pos", "ll")).select("t_idx", F.col("pos").cast("long").alias("bin"), _r("ll", 4))
 
 
@@ -559,6 +561,20 @@ def interval_autocorrelation(spark, d):
     return gof.interval_autocorrelation(u, 10, ["unit"]).select("unit", "lag", _r("c"))
 
 
+@query()
+def full_autocorrelation(spark, d):
+    """Each user's gaps between events, against a constant rate, at all lags."""
+    return gof.full_autocorrelation(user_gaps(spark, d), ["user_id"], order="t").select("user_id", "lag", _r("c"))
+
+
+def user_gaps(spark, d) -> DataFrame:
+    ev = event_rows(spark, d)
+    w = Window.partitionBy("user_id")
+    gap = F.col("t") - F.lag("t").over(w.orderBy("t", "event_id"))
+    rows = ev.select("user_id", "t", gap.alias("gap"), ((F.max("t").over(w) - F.min("t").over(w)) / (F.count("*").over(w) - 1)).alias("mean"))
+    return rows.where("gap IS NOT NULL AND mean > 0").select("user_id", "t", (1 - F.exp(-F.col("gap") / F.col("mean"))).alias("u"))
+
+
 @query("WITH c AS (SELECT l_returnflag, l_quantity, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, l_quantity, round(sum(n) OVER (PARTITION BY l_returnflag ORDER BY l_quantity ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY l_returnflag), 9) AS cdf FROM c")
 def empirical_cdf(spark, d):
     return gof.empirical_cdf(table(spark, d, "lineitem"), "l_quantity", ["l_returnflag"]).select("l_returnflag", "l_quantity", _r("cdf", 9))
