@@ -12,11 +12,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.checks import FittingError
 from ..functions.exprs import EPS
 
+#: Groups of tasks whose sums are added before a unit's are.
+GROUPS = 64
+
 
 def inner_knots(low: float, high: float, spacing: float) -> np.ndarray:
     """Knots at multiples of the spacing strictly inside the data."""
@@ -165,6 +169,60 @@ def fit_poisson(counts: DataFrame, design: Design, columns: Sequence[str], n: st
     return beta
 
 
+def fit_units(samples: DataFrame, counted: DataFrame, design: Design, columns: Sequence[str], unit: str = "unit", n: str = "n", weight: str | None = None, l2: float = 1e-3, steps: int = 50, tolerance: float = 1e-6) -> dict:
+    """{unit: coefficients}: fit_poisson() of every unit, all of them in the same passes over the samples.
+
+    counted: (unit, columns, n, weight) of the samples with events, so no grid of units and samples is made.  A pass
+    adds up, for each unit that still moves, as many numbers as the square of the columns: each task one array a
+    unit, those in groups of tasks, and those in one group a unit, which also solves the unit's Newton step.  The
+    driver gets steps and values only, a few numbers a column.
+    """
+    columns = list(columns)
+    size = design(np.array([[s.knots[0] for s in design.splines]])).shape[1]
+    rows = counts.select(*columns, F.col(n).cast("double").alias("__y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w"))
+    for c in columns:
+        rows = rows.where(~F.isnan(c) & F.col(c).isNotNull())
+    mean = rows.agg(F.sum(F.col("__y") * F.col("__w")).alias("y"), F.sum("__w").alias("w")).first()
+    if not mean["w"]:
+        raise FittingError("no weight to fit to")
+    beta = np.zeros(size)
+    beta[0] = np.log(max(mean["y"] / mean["w"], EPS))
+    pen = np.full(size, 2 * l2)
+    pen[0] = 0
+
+    def moments(beta):
+        def run(frames):
+            g, h, f = np.zeros(size), np.zeros((size, size)), 0.0
+            for pdf in frames:
+                x, y, w = design(pdf[columns].to_numpy(float)), pdf["__y"].to_numpy(), pdf["__w"].to_numpy()
+                eta = np.clip(x @ beta, -50, 50)
+                mu = np.exp(eta)
+                g += x.T @ (w * (y - mu))
+                h += (x * (w * mu)[:, None]).T @ x
+                f += float((w * (mu - y * eta)).sum())
+            yield pd.DataFrame({"k": np.arange(size * size + size + 1), "v": np.concatenate([h.ravel(), g, [f]])})
+
+        got = rows.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()  # columns squared
+        v = np.array([r["v"] for r in got]) / mean["w"]
+        return v[: size * size].reshape(size, size), v[size * size: -1], v[-1]
+
+    h, g, f = moments(beta)
+    value = f + (pen / 2 * beta**2).sum()
+    for _ in range(steps):
+        step = np.linalg.solve(h + np.diag(pen) + 1e-10 * np.eye(size), g - pen * beta)
+        scale = 1.0
+        for _ in range(20):
+            h2, g2, f2 = moments(beta + scale * step)
+            new = f2 + (pen / 2 * (beta + scale * step) ** 2).sum()
+            if new <= value + 1e-12:
+                break
+            scale /= 2
+        beta, h, g, moved, value = beta + scale * step, h2, g2, abs(value - new), new
+        if np.abs(scale * step).max() < tolerance or moved < 1e-14:
+            return beta
+    return beta
+
+
 def fit_units(samples: DataFrame, counted: DataFrame, design: Design, columns: Sequence[str], unit: str = "unit", n: str = "n", weight: str | None = None, l2: float = 1e-3, steps: int = 50, tolerance: float = 1e-6) -> dict:
     """{unit: coefficients}: fit_poisson() of every unit, all of them in the same passes over the samples.
 
@@ -193,8 +251,10 @@ def fit_units(samples: DataFrame, counted: DataFrame, design: Design, columns: S
     pen[0] = 0
 
     def moments(betas: dict) -> dict:
+        """{unit: (Newton step, value)} at the given coefficients."""
         names, stack = list(betas), np.array(list(betas.values()))
         block = size * size + size + 1
+        seen_y = np.array([sums[u] for u in names])
 
         def run(frames):
             out = np.zeros((len(names), block))
@@ -205,11 +265,22 @@ def fit_units(samples: DataFrame, counted: DataFrame, design: Design, columns: S
                     out[k, :size * size] += ((x * mu[:, k:k + 1]).T @ x).ravel()
                 out[:, size * size:-1] += mu.T @ x
                 out[:, -1] += mu.sum(axis=0)
-            yield pd.DataFrame({"k": np.arange(out.size), "v": out.ravel()})
+            task = TaskContext.get().partitionId()
+            yield pd.DataFrame({"k": np.arange(len(names)), "task": task % GROUPS, "v": list(out)})
+
+        def added(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"k": [pdf["k"].iloc[0]], "v": [np.sum(np.stack(pdf["v"].to_list()), axis=0)]})
+
+        def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+            k = int(pdf["k"].iloc[0])
+            v, b = np.sum(np.stack(pdf["v"].to_list()), axis=0) / mass, stack[k]
+            h, g = v[:size * size].reshape(size, size), seen_y[k] - v[size * size:-1]
+            step = np.linalg.solve(h + np.diag(pen) + 1e-10 * np.eye(size), g - pen * b)
+            return pd.DataFrame({"k": [k], "value": [v[-1] - seen_y[k] @ b + (pen / 2 * b**2).sum()], "step": [step]})
 
-        got = rows.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()  # columns squared a unit
-        v = np.array([r["v"] for r in got]).reshape(len(names), block) / mass
-        return {u: (v[k, :size * size].reshape(size, size), sums[u] - v[k, size * size:-1], v[k, -1] - sums[u] @ betas[u] + (pen / 2 * betas[u] ** 2).sum()) for k, u in enumerate(names)}
+        parts = rows.mapInPandas(run, "k int, task int, v array<double>").groupBy("k", "task").applyInPandas(added, "k int, v array<double>")
+        got = parts.groupBy("k").applyInPandas(solved, "k int, value double, step array<double>").collect()  # columns a unit
+        return {names[r["k"]]: (np.array(r["step"]), r["value"]) for r in got}
 
     beta = {u: np.r_[np.log(max(v[0], EPS)), np.zeros(size - 1)] for u, v in sums.items()}
     now, moving = moments(beta), dict.fromkeys(beta, 1.0)
@@ -219,15 +290,14 @@ def fit_units(samples: DataFrame, counted: DataFrame, design: Design, columns: S
             break
         for u, scale in moving.items():
             if scale == 1.0:
-                h, g, _ = now[u]
-                step[u] = np.linalg.solve(h + np.diag(pen) + 1e-10 * np.eye(size), g - pen * beta[u])
+                step[u] = now[u][0]
         tried = {u: beta[u] + scale * step[u] for u, scale in moving.items()}
         new = moments(tried)
         for u, scale in list(moving.items()):
-            if new[u][2] > now[u][2] + 1e-12 and scale > 1e-5:
+            if new[u][1] > now[u][1] + 1e-12 and scale > 1e-5:
                 moving[u] = scale / 2
                 continue
-            moved = abs(now[u][2] - new[u][2])
+            moved = abs(now[u][1] - new[u][1])
             beta[u], now[u], moving[u] = tried[u], new[u], 1.0
             if np.abs(scale * step[u]).max() < tolerance or moved < 1e-14:
                 del moving[u]
