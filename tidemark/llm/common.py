@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.store import forget, shared_dir, stored  # noqa: F401  (for the other modules)
+
 #: UTF-8 bytes are hashed in slices of about this size, which bounds the memory of a Python worker.
 SLICE_BYTES = 1 << 20
 
@@ -26,48 +24,6 @@ def arrow_bounds(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); on one machine alone it may be unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    """(file system, path) of the JVM."""
-    sc = spark.sparkContext
-    hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(sc._jsc.hadoopConfiguration()), hpath
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage and survives a lost executor.
-
-    What forget() has not deleted before goes when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    # No marker file: the write is done when the call returns, and on a local folder each file costs a child process.
-    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
-    fs, hpath = _hadoop_path(spark, path)
-    fs.deleteOnExit(hpath)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete what stored() wrote, once nothing reads it any more."""
-    path = getattr(df, "_stored_at", None)
-    if path:
-        fs, hpath = _hadoop_path(df.sparkSession, path)
-        fs.delete(hpath, True)
-
-
 def join_counted(rows: DataFrame, table: DataFrame, on: list[str], count: str, share: int = 1000) -> DataFrame:
     """``rows`` joined to ``table`` (one row a key), whose column ``count`` tells how many rows each key has.
 
