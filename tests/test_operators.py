@@ -312,3 +312,22 @@ def test_simulators(spark):
     marks = simulate.marked_events(run, [[20.0, 60.0]], [[[0.0, 0.0], [9.0, 9.0]]], 8.0, 30.0, 50.0, 0.5)
     assert marks.columns == ["event_id", "unit", "t_idx", "t", "m0", "m1"] and marks.count() > 20
     assert simulate.joined_replays([simulate.hover_replay(spark, 1, 3), simulate.continuous_replay(spark, 4), simulate.fragmented_replay(spark, 4)], 0.1).count() == 11
+
+
+def test_gradient_of_rows_at_one_time(spark):
+    """Steps of no time divide as floating-point numbers do, in the middle and at the ends."""
+    df = spark.createDataFrame([(0, 1.0, 5.0), (1, 1.0, 5.0), (2, 1.0, 7.0), (3, 2.0, 9.0), (4, 3.0, 9.0), (5, 3.0, 8.0)], "k long, t double, v double").withColumn("one", F.lit(1))
+    got = [r["g"] for r in windows.gradient(df, "v", "g", "t", "k", ["one"]).orderBy("k").collect()]
+    assert all(math.isnan(got[k]) for k in (0, 1)) and got[2] == math.inf and got[3] == 1.0 and got[4] == -math.inf and got[5] == -math.inf
+    assert [r["speed"] for r in windows.speed(df, ["v"], t="t", order="k", keys=["one"]).orderBy("k").collect()][2:] == [math.inf, 1.0, math.inf, math.inf]
+
+
+def test_local_kernels_are_read_from_a_row_a_bin(spark):
+    """The plan holds no functions over the other bins: the optimizer puts those in each other, so that bins are gone through again for each bin."""
+    env = geometry.Environment("", bin_size=25.0, ranges=[(0.0, 500.0)], infer_interior=False).fit(None, ["x"])
+    df = spark.createDataFrame([(3.0,), (480.0,), (None,)], "x double")
+    for std in (0.0, 40.0):
+        out = likelihood.local_kernel(df, env, std, ["x"])
+        assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+        rows = [r["kernel"] for r in out.collect()]
+        assert sorted(np.isclose(np.exp(r).sum(), 20) for r in rows) == [True] * 3 and rows.count([0.0] * 20) == 1

@@ -401,7 +401,11 @@ class Environment:
 
     def distances_to_interior(self, samples: DataFrame, columns: Sequence[str] | None = None, out: str = "distances") -> DataFrame:
         """``samples`` with the array of distances from the point's bin to every interior bin."""
-        rows = self.distance_rows(samples.sparkSession).withColumnRenamed("bin", "__bin").withColumnRenamed("distances", out)
+        return self.with_bin_rows(samples, self.distance[:, self.interior_bins], columns, out)
+
+    def with_bin_rows(self, samples: DataFrame, table: np.ndarray, columns: Sequence[str] | None = None, out: str = "row") -> DataFrame:
+        """``samples`` with the array that ``table`` (bins, any) has for the point's bin; null where the point is unknown."""
+        rows = samples.sparkSession.createDataFrame([(int(k), row.tolist()) for k, row in enumerate(table)], f"__bin long, {out} array<double>")
         rows = F.broadcast(rows) if len(self.points) <= BROADCAST_BINS else rows
         return self.bin_of(samples, columns, "__b").join(rows, F.col("__b") == F.col("__bin"), "left").drop("__b", "__bin")
 

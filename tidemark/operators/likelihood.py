@@ -25,29 +25,31 @@ def non_local_penalty(positions: DataFrame, env: Environment, amount: float, std
     """
     columns = list(columns or env.columns)
     zero = F.array_repeat(F.lit(0.0), len(env.interior_bins))
-    near = env.distances_to_interior(positions, columns, "__d")
-    value = F.transform("__d", lambda d: F.when(F.isnan(d) | (d == float("inf")), 0.0).otherwise(-amount * F.exp(-0.5 * d * d / (std * std))))
-    return near.withColumn(out, F.when(_lost(columns), zero).otherwise(value)).drop("__d")
+    d = env.distance[:, env.interior_bins]
+    value = np.where(np.isfinite(d), -amount * np.exp(-0.5 * d * d / (std * std)), 0.0)
+    near = env.with_bin_rows(positions, value, columns, "__row")
+    return near.withColumn(out, F.when(_lost(columns), zero).otherwise(F.col("__row"))).drop("__row")
 
 
 def local_kernel(positions: DataFrame, env: Environment, std: float, columns: Sequence[str] | None = None, out: str = "kernel") -> DataFrame:
     """``positions`` with the log kernel of the local state over interior bins; its exponentials sum to their number.
 
-    std 0: all on the animal's bin.  Unknown positions give 0 everywhere.
+    std 0: all on the animal's bin.  Unknown positions give 0 everywhere.  The kernel depends on the bin alone: it is
+    worked out once a bin, and rows are joined to it.
     """
     columns, inside = list(columns or env.columns), env.interior_bins
     n = len(inside)
     zero = F.array_repeat(F.lit(0.0), n)
     if std == 0:
-        at = env.bin_of(positions, columns, "__b")
-        value = F.transform(F.array(*(F.lit(int(k)) for k in inside)), lambda k: F.when(k == F.col("__b"), float(np.log(n))).otherwise(float("-inf")))
-        return at.withColumn(out, F.when(_lost(columns), zero).otherwise(value)).drop("__b")
-    near = env.distances_to_interior(positions, columns, "__d")
-    raw = near.withColumn("__k", F.transform("__d", lambda d: F.when(F.isnan(d) | (d == float("inf")), float("-inf")).otherwise(-0.5 * d * d / (std * std))))
-    raw = raw.withColumn("__m", F.array_max("__k"))
-    total = F.aggregate("__k", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__m")))
-    scaled = raw.withColumn("__z", F.col("__m") + F.log(total) - float(np.log(n)))
-    return scaled.withColumn(out, F.when(_lost(columns), zero).otherwise(F.transform("__k", lambda x: x - F.col("__z")))).drop("__d", "__k", "__m", "__z")
+        value = np.where(np.arange(len(env.points))[:, None] == np.asarray(inside)[None, :], np.log(n), -np.inf)
+    else:
+        d = env.distance[:, inside]
+        raw = np.where(np.isfinite(d), -0.5 * d * d / (std * std), -np.inf)
+        top = raw.max(axis=1, keepdims=True)
+        with np.errstate(invalid="ignore"):  # a bin from which none can be reached has no kernel: NaN
+            value = raw - (top + np.log(np.exp(raw - top).sum(axis=1, keepdims=True)) - np.log(n))
+    near = env.with_bin_rows(positions, value, columns, "__row")
+    return near.withColumn(out, F.when(_lost(columns), zero).otherwise(F.col("__row"))).drop("__row")
 
 
 def add_arrays(a: Column, b: Column) -> Column:
