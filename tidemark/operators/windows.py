@@ -17,8 +17,16 @@ def _order(keys: list[str] | None, t: str) -> Window:
     return Window.partitionBy(*(keys or [])).orderBy(t)
 
 
+def over(a: Column, b: Column) -> Column:
+    """a / b of floating-point numbers; b of 0 gives infinity with the sign of a, and NaN for 0 / 0."""
+    return F.when(b == 0, a * float("inf")).otherwise(a / F.when(b != 0, b))
+
+
 def gradient(df: DataFrame, value: str, out: str, t: str | None = None, order: str = "t_idx", keys: list[str] | None = None) -> DataFrame:
-    """Central differences inside, one-sided at the ends; spacing 1, or the (uneven) spacing of ``t``."""
+    """Central differences inside, one-sided at the ends; spacing 1, or the (uneven) spacing of ``t``.
+
+    Rows of the same ``t`` divide by 0, as floating-point numbers do: infinite, or NaN where the values are equal too.
+    """
     if not keys:
         return ordered.windowed(df, lambda rows, k: gradient(rows, value, out, t, order, k), 1, [order])
     w = _order(keys, order)
@@ -28,8 +36,8 @@ def gradient(df: DataFrame, value: str, out: str, t: str | None = None, order: s
         left, right = F.col(value) - before, after - F.col(value)
     else:
         a, b = F.col(t) - F.lag(t).over(w), F.lead(t).over(w) - F.col(t)
-        inner = (a * a * after + (b * b - a * a) * F.col(value) - b * b * before) / (a * b * (a + b))
-        left, right = (F.col(value) - before) / a, (after - F.col(value)) / b
+        inner = over(a * a * after + (b * b - a * a) * F.col(value) - b * b * before, a * b * (a + b))
+        left, right = over(F.col(value) - before, a), over(after - F.col(value), b)
     return df.withColumn(out, F.when(before.isNull(), right).when(after.isNull(), left).otherwise(inner))
 
 
