@@ -4,6 +4,7 @@ import random
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window, functions as F
 
@@ -143,3 +144,13 @@ def test_all_lags_as_numpy(spark, block):
     assert set(got) == set(want) and all(np.isclose(got[k], want[k], atol=1e-7) for k in want)
     got = {(x["s"], x["lag"]): x["c"] for x in gof.full_autocorrelation(df, ["s"], order="t", max_lag=6, block=block).collect()}
     assert set(got) == {k for k in want if k[1] <= 6} and all(np.isclose(got[k], want[k], atol=1e-7) for k in got)
+
+
+def test_lags_returned_are_those_reached():
+    """Short sessions in a block of any size return as many lags as they have intervals, however the rows come in batches."""
+    rows = pd.DataFrame([(s, 0, 0, side, i, float(i - side)) for s in range(3) for side in (0, 1) for i in range(5)], columns=["s", "__first", "__second", "__side", "__i", "__z"])
+    for size in (3, 10, 100):
+        out = pd.concat(gof.lag_products((rows[k:k + size] for k in range(0, len(rows), size)), ["s"], gof.BLOCK, None))
+        assert len(out) == 15 and sorted(out.lag) == sorted([*range(5)] * 3)
+        x, y = np.arange(5.0), np.arange(5.0) - 1
+        assert np.allclose(out[out.s == 1]["__part"], [(x[:5 - k] * y[k:]).sum() for k in range(5)])

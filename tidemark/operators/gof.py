@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from ..functions.exprs import normal_ppf
 from .asof import interpolate
 from . import ordered
-from .windows import cumulative_trapezoid, difference, running_sum
+from .windows import cumulative_trapezoid, difference, over, running_sum
 
 _TINY = 2.220446049250313e-16
 #: Intervals of a block of the full autocorrelation.
@@ -69,16 +70,60 @@ def interval_autocorrelation(intervals: DataFrame, max_lag: int, keys: Sequence[
     return sums.select(*keys, F.posexplode(F.array(*(F.col(f"l{k}") / F.col("l0") for k in range(max_lag + 1)))).alias("lag", "c"))
 
 
+def lag_products(frames: Iterable[pd.DataFrame], keys: Sequence[str], block: int, max_lag: int | None) -> Iterator[pd.DataFrame]:
+    """Sums of products of each two blocks of a session (or of one with itself) at the lags that their intervals reach.
+
+    frames: rows sorted by (keys, __first, __second, __side, __i), so that the first row of a pair has side 0 and place 0.
+    """
+    def first(pdf):
+        return np.flatnonzero((pdf["__side"].to_numpy() == 0) & (pdf["__i"].to_numpy() == 0))
+
+    def sums(pdf):
+        starts = first(pdf)
+        side, at, z = pdf["__side"].to_numpy(int), pdf["__i"].to_numpy(int), pdf["__z"].to_numpy(float)
+        shift = (pdf["__second"].to_numpy() - pdf["__first"].to_numpy()) * block
+        lags, parts = [], []
+        for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True):
+            n = np.bincount(side[a:b], minlength=2)
+            size = 1 << int(n.sum() - 1).bit_length()
+            lines = np.zeros((2, size))
+            lines[side[a:b], at[a:b]] = z[a:b]
+            ahead, behind = np.fft.rfft(lines)
+            lag = np.arange(1 - n[0], n[1])
+            lag = lag[(lag + shift[a] >= 0) & (lag + shift[a] <= (n[1] + shift[a] if max_lag is None else max_lag))]
+            lags.append(lag + shift[a])
+            parts.append(np.fft.irfft(np.conj(ahead) * behind, size)[lag % size])
+        n = [len(x) for x in lags]
+        return pd.DataFrame({**{k: pdf[k].iloc[starts].repeat(n).to_numpy() for k in keys}, "lag": np.concatenate(lags), "__part": np.concatenate(parts)})
+
+    held = None
+    for pdf in frames:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if len(pdf):
+            cut = first(pdf)[-1]
+            if cut:
+                yield sums(pdf.iloc[:cut])
+            held = pdf.iloc[cut:]
+    if held is not None:
+        yield sums(held)
+
+
 def full_autocorrelation(intervals: DataFrame, keys: Sequence[str] = (), u: str = "u", order: str = "t_idx", max_lag: int | None = None, block: int = BLOCK) -> DataFrame:
     """(keys, lag, c): correlation of the intervals' normal scores at all lags (or up to ``max_lag``), 1 at lag 0.
 
-    A session is cut in blocks of ``block`` intervals.  Each two blocks that a lag can join are one group, whose
-    products at all lags are two FFTs; the products are added up by lag.  A session of one block is one group.
+    A session is cut in blocks of ``block`` intervals.  Each two blocks that a lag can join are neighbours in a sorted
+    partition; their products at all lags are two FFTs of their own length, which return at most two lags a row; the
+    products are added up by lag.
     """
     keys = list(keys)
     p = F.least(F.greatest(F.col(u), F.lit(_TINY)), F.lit(1 - _TINY))
-    z = ordered.positions(intervals.select(*keys, F.col(order).alias("__at"), normal_ppf(p).alias("__z")), ["__at"], keys)
-    z = z.select(*keys, "__z", F.pmod(ordered.POSITION, F.lit(block)).alias("__i"), F.floor(F.col(ordered.POSITION) / block).cast("long").alias("__b"))
+
+    @F.pandas_udf("double")
+    def scores(p: pd.Series) -> pd.Series:
+        return p.map(NormalDist().inv_cdf)
+
+    z = ordered.positions(intervals.select(*keys, F.col(order).alias("__at"), p.alias("__p")), ["__at"], keys)
+    z = z.select(*keys, scores("__p").alias("__z"), F.pmod(ordered.POSITION, F.lit(block)).alias("__i"), F.floor(F.col(ordered.POSITION) / block).cast("long").alias("__b"))
     last = z.groupBy(*keys).agg(F.max("__b").alias("__last"))
     reach = F.col("__last") if max_lag is None else F.least(F.col("__last"), F.col("__b") + (max_lag // block + 1))
     lead = ordered.join_same(z, last, keys).select(*keys, F.col("__b").alias("__first"), F.explode(F.sequence("__b", reach)).alias("__second"), F.lit(0).alias("__side"), "__i", "__z")
@@ -86,19 +131,11 @@ def full_autocorrelation(intervals: DataFrame, keys: Sequence[str] = (), u: str
     trail = z.select(*keys, F.explode(F.sequence(from_, F.col("__b"))).alias("__first"), F.col("__b").alias("__second"), F.lit(1).alias("__side"), "__i", "__z")
     schema = T.StructType([*(intervals.schema[k] for k in keys), T.StructField("lag", T.LongType()), T.StructField("__part", T.DoubleType())])
 
-    def products(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [np.zeros(block), np.zeros(block)]
-        for side, own in pdf.groupby("__side"):
-            sides[side][own["__i"].to_numpy(int)] = own["__z"]
-        size = 2 * block
-        found = np.fft.irfft(np.conj(np.fft.rfft(sides[0], size)) * np.fft.rfft(sides[1], size), size)
-        lag = np.r_[np.arange(block), np.arange(-block, 0)] + (pdf["__second"].iloc[0] - pdf["__first"].iloc[0]) * block
-        good = (lag >= 0) & (lag <= (lag.max() if max_lag is None else max_lag))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * int(good.sum()) for k in keys}, "lag": lag[good], "__part": found[good]})
-
-    sums = lead.unionByName(trail).groupBy(*keys, "__first", "__second").applyInPandas(products, schema).groupBy(*keys, "lag").agg(F.sum("__part").alias("__s"))
+    pair = [*keys, "__first", "__second"]
+    pairs = lead.unionByName(trail).repartition(*pair).sortWithinPartitions(*pair, "__side", "__i")
+    sums = pairs.mapInPandas(lambda frames: lag_products(frames, keys, block, max_lag), schema).groupBy(*keys, "lag").agg(F.sum("__part").alias("__s"))
     count = z.groupBy(*keys).agg(F.count("*").alias("__n"), F.sum(F.col("__z") * F.col("__z")).alias("__all"))
-    return ordered.join_same(sums, count, keys).where("lag < __n").select(*keys, "lag", (F.col("__s") / F.col("__all")).alias("c"))
+    return ordered.join_same(sums, count, keys).where("lag < __n").select(*keys, "lag", over(F.col("__s"), F.col("__all")).alias("c"))
 
 
 def residuals(df: DataFrame, intensity: str = "intensity", spike: str = "n", keys: Sequence[str] = (), order: str = "t_idx") -> DataFrame:
