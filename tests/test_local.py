@@ -1,5 +1,7 @@
 """Likelihoods at the animal's own place: cells and tiles against plain sums."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -50,3 +52,20 @@ def test_units_without_events_near(spark):
         field[:3, u] = np.maximum(np.where(occ > 0, 0.25 * dens / np.where(occ > 0, occ, 1), EPS), EPS)
     want = (n * np.log(field) - field).sum(axis=1)
     assert np.allclose([got[t] for t in range(4)], want, rtol=1e-9)
+
+
+def test_matrices_of_a_tile_are_bounded():
+    """A tile of 6000 events a side stays far below its whole matrix (288 MB) and gives the plain sums."""
+    r = np.random.default_rng(3)
+    x, y, place, points = r.random((6000, 2)), r.random((6000, 2)), r.random((6000, 1)), np.array([[0.2], [0.8]])
+    std, codes = np.array([0.1, 0.2]), r.integers(0, 3, 6000)
+    tracemalloc.start()
+    total = kde.kernel_sums(x, y, std, codes, 3)
+    top, part = kde.mark_sums(x, y, place, points, std, std[:1])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6
+    for n in (0, 5999):
+        near = k(x[n:n + 1], y, std)[0]
+        assert np.allclose(total[n], [near[codes == c].sum() for c in range(3)])
+        assert np.allclose(np.exp(top[n]) * part[n], k(points, place, std[:1]) @ near)

@@ -17,9 +17,10 @@ from ..functions.exprs import EPS, LOG_EPS
 from ..sources.store import stored
 from . import ordered
 
-#: Rows of a matrix block, and events of one side of a tile.
+#: Rows of a matrix block, events of one side of a tile, and of one side of a matrix of events by events (8 MB).
 BLOCK = 4096
 TILE = 20_000
+SIDE = 1024
 #: Standard deviations beyond which a kernel at a single place counts as 0: less than 1.3e-14 of its height.
 CUT = 8.0
 #: Fields of more numbers than this are joined, not broadcast (64 MB).
@@ -154,6 +155,32 @@ def poisson_loglik(counts: DataFrame, fields: DataFrame, n_bins: int, clock: Dat
     return rows.mapInPandas(run, T.StructType([times.schema["t_idx"], T.StructField("ll", _ARRAY)]))
 
 
+def kernel_sums(x: np.ndarray, y: np.ndarray, std: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
+    """(x, n): sums of the kernels of the samples y of each of n codes; no matrix is larger than SIDE x SIDE or SIDE x n."""
+    total = np.zeros((len(x), n))
+    for j in range(0, len(y), SIDE):
+        share = np.eye(n)[codes[j:j + SIDE]]
+        for i in range(0, len(x), SIDE):
+            total[i:i + SIDE] += kernel(x[i:i + SIDE], y[j:j + SIDE], std) @ share
+    return total
+
+
+def mark_sums(own: np.ndarray, marks: np.ndarray, places: np.ndarray, points: np.ndarray, mark_std: np.ndarray, position_std: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each event's ``own`` marks: the largest log kernel of the ``marks``, and by point the sum over samples relative to it.
+
+    No matrix is larger than SIDE x SIDE or SIDE x points.
+    """
+    top, part = np.full(len(own), -np.inf), np.zeros((len(own), len(points)))
+    for j in range(0, len(marks), SIDE):
+        position = kernel(points, places[j:j + SIDE], position_std).T
+        for k in range(0, len(own), SIDE):
+            lk = log_kernel(own[k:k + SIDE], marks[j:j + SIDE], mark_std)
+            new = np.maximum(top[k:k + SIDE], lk.max(axis=1))
+            part[k:k + SIDE] = part[k:k + SIDE] * np.exp(top[k:k + SIDE] - new)[:, None] + np.exp(lk - new[:, None]) @ position
+            top[k:k + SIDE] = new
+    return top, part
+
+
 def sums_at(targets: DataFrame, key: str, samples: DataFrame, columns: Sequence[str], std, same: str | None = None, by: str | None = None, grid: Sequence[str] | None = None, cut: float = CUT, tile: int = TILE) -> DataFrame:
     """(key[, by], total): sums over samples of the kernel at each target's own place; targets without a sample near go.
 
@@ -186,11 +213,7 @@ def sums_at(targets: DataFrame, key: str, samples: DataFrame, columns: Sequence[
         if not len(at) or not len(near):
             return pd.DataFrame({f.name: [] for f in schema})
         codes, kinds = pd.factorize(near["__by"]) if by else (np.zeros(len(near), int), [None])
-        total = np.zeros((len(at), len(kinds)))
-        x, y, share = at[columns].to_numpy(float), near[names].to_numpy(float), np.eye(len(kinds))[codes]
-        for i in range(0, len(x), BLOCK):
-            for j in range(0, len(y), BLOCK):
-                total[i:i + BLOCK] += kernel(x[i:i + BLOCK], y[j:j + BLOCK], width) @ share[j:j + BLOCK]
+        total = kernel_sums(at[columns].to_numpy(float), near[names].to_numpy(float), width, codes, len(kinds))
         out = {"__key": np.repeat(at["__key"].to_numpy(), len(kinds)), "part": total.ravel()}
         if by:
             out["__by"] = np.tile(np.asarray(kinds), len(at))
@@ -274,14 +297,8 @@ def mark_intensity(decode: DataFrame, encode: DataFrame, rates: DataFrame, occup
         """a: decoded events, b: encoding events of the tile."""
         if not len(a) or not len(b):
             return pd.DataFrame({unit: [], event: [], "top": [], "part": []})
-        position = kernel(points, b[[f"__{c}" for c in columns]].to_numpy(float), ps)
-        tops, parts = [], []
-        for k in range(0, len(a), BLOCK):
-            lk = log_kernel(a[marks].to_numpy(float)[k:k + BLOCK], b[[f"__{c}" for c in marks]].to_numpy(float), ms)
-            top = lk.max(axis=1)
-            parts.append(np.exp(lk - top[:, None]) @ position.T)
-            tops.append(top)
-        return pd.DataFrame({unit: a[unit], event: a[event], "top": np.concatenate(tops), "part": list(np.concatenate(parts))})
+        top, part = mark_sums(a[marks].to_numpy(float), b[[f"__{c}" for c in marks]].to_numpy(float), b[[f"__{c}" for c in columns]].to_numpy(float), points, ms, ps)
+        return pd.DataFrame({unit: a[unit], event: a[event], "top": top, "part": list(part)})
 
     tiles = dec.groupBy(unit, "e", "d").cogroup(enc.groupBy("__u", "__e", "__d")).applyInPandas(run, schema)
     grouped = tiles.groupBy(unit, event).agg(F.max("top").alias("m"), F.collect_list(F.struct("top", "part")).alias("p"))  # a row a tile of the unit
