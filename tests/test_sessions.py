@@ -137,3 +137,12 @@ def test_covariate_query_as_dense(spark):
         want.append(total)
         beta = newton(np.concatenate(xs), np.concatenate(xis), beta, 1e-3)
     assert np.allclose(trace, want) and np.allclose(coef, beta, atol=1e-5)
+
+
+def test_events_keep_their_own_places(spark):
+    """Two events at one time lie at different places; each unit's field is high at its own."""
+    rows = [(2 * k + u, u, float(k), 75.0 + 350.0 * u) for k in range(40) for u in (0, 1)]
+    events = spark.createDataFrame(rows, "event_id long, unit long, t double, x double")
+    model = catalogue._two_states().fit(events.select("t", "x"), events)
+    fields = {(r["unit"], r["bin"]): r["field"] for e in model.encoding.values() for r in e["fields"].collect()}
+    assert all(fields[u, b] > 100 * fields[1 - u, b] for u, b in ((0, 1), (1, 8)))

@@ -794,8 +794,8 @@ def _two_states() -> models.Decoder:
 def decode_position(spark, d):
     """Fit a continuous / fragmented decoder on the events' values and decode hourly."""
     ev = event_rows(spark, d)
-    rows = ev.select("event_id", "unit", "t")
-    out = _two_states().fit(ev.select("t", F.col("value").alias("x")), rows).predict(rows, hours(ev))
+    placed = ev.select("event_id", "unit", "t", F.col("value").alias("x"))
+    out = _two_states().fit(placed.select("t", "x"), placed).predict(placed.drop("x"), hours(ev))
     return out.select("t_idx", "name", "bin", _r("acausal"))
 
 
@@ -804,7 +804,8 @@ def decode_sessions(spark, d):
     """The same with users as units, each kind of event as a recording of its own, in one plan, and steps of six hours."""
     ev = event_rows(spark, d).select("event_id", F.col("unit").alias("kind"), (F.col("user_id") % 6).alias("unit"), "t", "value")
     clock = hours(ev, 6 * HOUR).crossJoin(F.broadcast(ev.select("kind").distinct()))
-    model = _two_states().fit(ev.select("kind", "t", F.col("value").alias("x")), ev.drop("value"), keys=["kind"])
+    placed = ev.withColumnRenamed("value", "x")
+    model = _two_states().fit(placed.select("kind", "t", "x"), placed, keys=["kind"])
     out = model.predict(ev.drop("value"), clock)
     return out.select("kind", "t_idx", "name", "bin", _r("acausal"))
 

@@ -69,6 +69,9 @@ class Decoder:
     def fit(self, samples: DataFrame, events: DataFrame, columns: Sequence[str] = ("x",), unit: str = "unit", group: str | None = None, environment: str | None = None, training: str = "true", weight: str | None = None, keys: Sequence[str] = ()) -> "Decoder":
         """samples: (t, columns) and optional group, environment and training columns; events: (event_id, unit, t, marks).
 
+        Events that have all position columns keep their own places (two events at one time may differ in them); others
+        are placed by interpolation of the samples.
+
         ``keys`` name sessions: recordings with times of their own, of which samples, events and clocks have the
         columns.  One model is fitted to all of them; each is decoded from its own start.
         """
@@ -117,7 +120,8 @@ class Decoder:
             else:
                 spans = binning.runs(self.samples.withColumn("__in", self._flag(o.key)), "__in", self.keys)
             near = binning.events_in_runs(self.events, spans, typical_step(self.samples, self.keys), self.keys)
-            placed = stored(interpolate(near, self.samples, [*columns, *([weight] if weight else [])], self.keys))
+            wanted = [*([] if set(columns) <= set(near.columns) else columns), *([weight] if weight else [])]
+            placed = stored(interpolate(near, self.samples, wanted, self.keys) if wanted else near)
             # Without marks all samples count as visited unless told otherwise; with marks only the group's do.
             visited = mine if self.marks or self.occupancy == "group" or weight else self.samples
             model = {"points": points, "placed": placed, "visited": visited}
