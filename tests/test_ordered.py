@@ -154,3 +154,17 @@ def test_lags_returned_are_those_reached():
         assert len(out) == 15 and sorted(out.lag) == sorted([*range(5)] * 3)
         x, y = np.arange(5.0), np.arange(5.0) - 1
         assert np.allclose(out[out.s == 1]["__part"], [(x[:5 - k] * y[k:]).sum() for k in range(5)])
+
+
+def test_blocks_become_more_with_the_rows(spark, monkeypatch):
+    """Twenty times as many rows as a block should have: blocks stay small, and so do the tasks that order them."""
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 35)
+    df = rows_of(spark)
+    sizes = [r["count"] for r in ordered.in_blocks(df, ["t"]).groupBy(ordered.BLOCK).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 100
+    placed = ordered.positions(df, ["t"])
+    assert sorted(r["__pos"] for r in placed.collect()) == list(range(700)) and placed.rdd.getNumPartitions() == 20
+    samples, targets = rows_of(spark, ties=False), spark.range(900).select((F.col("id") - 50.0).alias("t"))
+    want = np.interp(np.arange(900) - 50.0, *samples.orderBy("t").toPandas()[["t", "v"]].to_numpy().T)
+    out = asof.interpolate(targets, samples, ["v"], extrapolate=False)
+    assert out.rdd.getNumPartitions() == 46 and np.allclose(out.orderBy("t").toPandas().v, want)

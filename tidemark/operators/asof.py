@@ -15,7 +15,7 @@ def _with_neighbours(rows: DataFrame) -> DataFrame:
     ends = ends[0].unionByName(ends[1]).select(F.struct(F.col(long_rows.BLOCK).alias("home"), "__tie", "__at", "__s").alias("row"))
     everywhere = rows.select(long_rows.BLOCK).distinct().crossJoin(F.broadcast(ends))  # four rows
     guests = near.unionByName(everywhere).where(F.col("row.home") != F.col(long_rows.BLOCK)).dropDuplicates().select(long_rows.BLOCK, "row.__at", "row.__s", F.lit(0).alias("__kind"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"))
-    return rows.drop("__tie").unionByName(guests)
+    return long_rows.spread(rows.drop("__tie").unionByName(guests), rows)
 
 
 def interpolate(targets: DataFrame, samples: DataFrame, values: list[str], keys: list[str] | None = None, t: str = "t", extrapolate: bool = True) -> DataFrame:

@@ -14,18 +14,34 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..sources.store import stored
+from ..sources.store import forget, stored
 
 BLOCK, POSITION, PART, HOME = "__block", "__pos", "__part", "__home"
 #: Rows of a part of the ordered rows; also the least number of rows that a halo must not exceed.
 PART_ROWS = 65_536
+#: Rows of a range, about; there are as many ranges as shuffle partitions at least.
+BLOCK_ROWS = 250_000
 
 
 def in_blocks(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
-    """``df`` with ``__block``, the number of its range of (keys, order), and ``__tie``; stored, so that blocks stay what they are."""
-    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """``df`` with ``__block``, the number of its range of (keys, order), and ``__tie``; stored, so that blocks stay what they are.
+
+    Ranges become more with the rows, not larger: the rows are stored once as they are, and counted.
+    """
     tied = df.withColumn("__tie", F.xxhash64(*(c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind)))
-    return stored(tied.repartitionByRange(n, *keys, *order, "__tie").withColumn(BLOCK, F.spark_partition_id()))
+    if not blocks:
+        tied = stored(tied)
+        blocks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tied.count() // BLOCK_ROWS))
+    out = stored(tied.repartitionByRange(blocks, *keys, *order, "__tie").withColumn(BLOCK, F.spark_partition_id()))
+    forget(tied)
+    out._blocks = blocks
+    return out
+
+
+def spread(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``rows`` with a task a block or so, where what in_blocks() gave has more blocks than a shuffle has partitions."""
+    n = blocks._blocks
+    return rows.repartition(n, BLOCK) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
 def _before(value: str, keys: Sequence[str], by: str) -> Column:
@@ -64,7 +80,8 @@ def with_offsets(rows: DataFrame, value: Column, keys: Sequence[str], by: str, o
 def positions(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), out: str = POSITION, blocks: int | None = None) -> DataFrame:
     """``df`` with the place (from 0) of each row in the order, within its keys; ties in a fixed, arbitrary order."""
     keys, order = list(keys), list(order)
-    rows = with_offsets(in_blocks(df, order, keys, blocks), F.lit(1), keys, BLOCK, "__before")
+    cut = in_blocks(df, order, keys, blocks)
+    rows = spread(with_offsets(cut, F.lit(1), keys, BLOCK, "__before"), cut)
     own = F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(*order, "__tie"))
     return rows.withColumn(out, (own - 1 + F.col("__before")).cast("long")).drop(BLOCK, "__before", "__tie")
 
@@ -90,8 +107,8 @@ def scan(df: DataFrame, value: Column | str, out: str, order: Sequence[str], key
     """``df`` with the running sum of ``value`` (nulls count 0) up to and with each row."""
     keys, order = list(keys), list(order)
     value = F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(0))
-    rows = in_blocks(df.withColumn("__value", value), order, keys, blocks)
-    rows = with_offsets(rows, F.col("__value"), keys, BLOCK, "__before")
+    cut = in_blocks(df.withColumn("__value", value), order, keys, blocks)
+    rows = spread(with_offsets(cut, F.col("__value"), keys, BLOCK, "__before"), cut)
     own = F.sum("__value").over(Window.partitionBy(*keys, BLOCK).orderBy(*order, "__tie").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn(out, own + F.col("__before")).drop(BLOCK, "__before", "__value", "__tie")
 
