@@ -168,3 +168,25 @@ def test_blocks_become_more_with_the_rows(spark, monkeypatch):
     want = np.interp(np.arange(900) - 50.0, *samples.orderBy("t").toPandas()[["t", "v"]].to_numpy().T)
     out = asof.interpolate(targets, samples, ["v"], extrapolate=False)
     assert out.rdd.getNumPartitions() == 46 and np.allclose(out.orderBy("t").toPandas().v, want)
+
+
+@pytest.mark.parametrize("extrapolate", [True, False])
+def test_a_key_of_many_samples_is_cut(spark, monkeypatch, extrapolate):
+    """One key with most rows, a null key, one of a single sample; blocks of targets alone, before, between and behind the samples."""
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 40)
+    r = random.Random(4)
+    at = {"hot": sorted({round(r.random() * 1000, 3) for _ in range(900)} | {4000.0, 5000.0, 5001.0}), None: [2.0, 3.0, 9.0], "one": [5.0], "none": []}
+    samples = spark.createDataFrame([(k, t, float(i % 7)) for k, ts in at.items() for i, t in enumerate(ts)], "k string, t double, v double").repartition(5)
+    times = [float(t) for t in (*range(-300, 0), *range(2000, 2300), *range(7000, 7300), *range(0, 1000, 9), *at["hot"][::50])]
+    targets = spark.createDataFrame([(k, t) for k in at for t in times], "k string, t double").repartition(3)
+    out = asof.interpolate(targets, samples, ["v"], ["k"], extrapolate=extrapolate)
+    sizes = out.groupBy("k", F.spark_partition_id().alias("task")).count().where("k = 'hot'").collect()
+    assert len(sizes) > 10 and max(s["count"] for s in sizes) < 200
+    got = {(x["k"], x["t"]): x["v"] for x in out.collect()}
+    assert len(got) == len({*times}) * 4 and all(got["none", t] is None and got["one", t] == 0 for t in times)
+    for k in ("hot", None):
+        ts, vs = np.array(at[k]), np.arange(len(at[k])) % 7.0
+        i = np.clip(np.searchsorted(ts, times, side="right"), 1, len(ts) - 1)
+        share = (np.array(times) - ts[i - 1]) / (ts[i] - ts[i - 1])
+        want = vs[i - 1] + (share if extrapolate else np.clip(share, 0, 1)) * (vs[i] - vs[i - 1])
+        assert np.allclose([got[k, t] for t in times], want)

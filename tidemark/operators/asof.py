@@ -7,15 +7,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import ordered as long_rows
 
 
-def _with_neighbours(rows: DataFrame) -> DataFrame:
+def _with_neighbours(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Blocks with the samples of others that their targets may need; those are samples (kind 0), so they are no result."""
-    sample, order = F.col("__kind") == 0, ["__at", "__kind"]
-    near = long_rows.boundary_rows(rows, sample, order, F.struct(F.col(long_rows.BLOCK).alias("home"), "__tie", "__at", "__s"))
-    ends = [rows.where(sample).orderBy(*(F.col(c).desc() if down else F.col(c) for c in (*order, "__tie"))).limit(2) for down in (False, True)]
-    ends = ends[0].unionByName(ends[1]).select(F.struct(F.col(long_rows.BLOCK).alias("home"), "__tie", "__at", "__s").alias("row"))
-    everywhere = rows.select(long_rows.BLOCK).distinct().crossJoin(F.broadcast(ends))  # four rows
-    guests = near.unionByName(everywhere).where(F.col("row.home") != F.col(long_rows.BLOCK)).dropDuplicates().select(long_rows.BLOCK, "row.__at", "row.__s", F.lit(0).alias("__kind"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"))
-    return long_rows.spread(rows.drop("__tie").unionByName(guests), rows)
+    near = long_rows.near_rows(rows, F.col("__kind") == 0, ["__at", "__kind"], F.col("__s"), keys).withColumnRenamed("row", "__s")
+    return long_rows.spread(rows.unionByName(near.withColumn("__row", F.lit(None).cast(rows.schema["__row"].dataType))), rows)
 
 
 def interpolate(targets: DataFrame, samples: DataFrame, values: list[str], keys: list[str] | None = None, t: str = "t", extrapolate: bool = True) -> DataFrame:
@@ -25,8 +20,8 @@ def interpolate(targets: DataFrame, samples: DataFrame, values: list[str], keys:
     before and after it; no join and no pair of rows is made.  Beyond the samples the nearest segment goes
     on (``extrapolate``) or the end value holds.  With one sample only, its value holds everywhere.
 
-    Without keys the rows are range-partitioned by time; each block also gets the last sample before it, the
-    first behind it, and the first and last two of all.
+    The rows are range-partitioned by keys and time, so that a key of any size is cut in blocks; each block also
+    gets the last two samples of its keys before it and the first two behind it.
     """
     keys = keys or []
     row = F.struct(*targets.columns)
@@ -34,23 +29,18 @@ def interpolate(targets: DataFrame, samples: DataFrame, values: list[str], keys:
     left = samples.select(*keys, F.col(t).alias("__at"), F.lit(0).alias("__kind"), point.alias("__s"))
     right = targets.select(*keys, F.col(t).alias("__at"), F.lit(1).alias("__kind"), row.alias("__row"))
     both = left.withColumn("__row", F.lit(None).cast(right.schema["__row"].dataType)).unionByName(right.withColumn("__s", F.lit(None).cast(left.schema["__s"].dataType)))
-    if not keys:
-        both = _with_neighbours(long_rows.in_blocks(both, ["__at", "__kind"]))
-        keys = [long_rows.BLOCK]
-    key = [F.col(k) for k in keys]
-    ordered = Window.partitionBy(*key).orderBy("__at", "__kind")
-    past = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    both = _with_neighbours(long_rows.in_blocks(both, ["__at", "__kind"], keys), keys)
+    groups, order = Window.partitionBy(*keys, long_rows.BLOCK), ["__at", "__kind", "__tie"]
     # What follows is looked at in reverse order: a frame that grows is summed up once, one that shrinks is not.
-    future = Window.partitionBy(*key).orderBy(F.desc("__at"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, -1)
-    # Each sample also knows its neighbours, which serve beyond the ends.
-    own = Window.partitionBy(*key, "__kind").orderBy("__at")
-    both = both.withColumn("__prev", F.when(F.col("__kind") == 0, F.lag("__s").over(own))).withColumn("__next", F.when(F.col("__kind") == 0, F.lead("__s").over(own)))
-    seen = F.struct(F.col("__s").alias("s"), F.col("__prev").alias("p"), F.col("__next").alias("n"))
-    both = both.withColumn("__pair", F.when(F.col("__kind") == 0, seen))
-    both = both.withColumn("__before", F.last("__pair", ignorenulls=True).over(past)).withColumn("__after", F.last("__pair", ignorenulls=True).over(future))
+    # Each sample also knows its neighbour, which serves beyond the ends.
+    for side, by in (("__before", order), ("__after", [F.desc(c) for c in order])):
+        passed = groups.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+        both = both.withColumn("__far", F.last("__s", ignorenulls=True).over(passed))
+        pair = F.when(F.col("__kind") == 0, F.struct(F.col("__s").alias("s"), F.col("__far").alias("far")))
+        both = both.withColumn(side, F.last(pair, ignorenulls=True).over(passed)).drop("__far")
     hit = both.where("__kind = 1")
-    a = F.coalesce(F.when(F.col("__after").isNull(), F.coalesce(F.col("__before.p"), F.col("__before.s"))).otherwise(F.col("__before.s")), F.col("__after.s"))
-    b = F.when(F.col("__after").isNull(), F.col("__before.s")).when(F.col("__before").isNull(), F.coalesce(F.col("__after.n"), F.col("__after.s"))).otherwise(F.col("__after.s"))
+    a = F.coalesce(F.when(F.col("__after").isNull(), F.coalesce(F.col("__before.far"), F.col("__before.s"))).otherwise(F.col("__before.s")), F.col("__after.s"))
+    b = F.when(F.col("__after").isNull(), F.col("__before.s")).when(F.col("__before").isNull(), F.coalesce(F.col("__after.far"), F.col("__after.s"))).otherwise(F.col("__after.s"))
     hit = hit.withColumn("__a", a).withColumn("__b", b)
     width = F.col("__b.t") - F.col("__a.t")
     share = F.when(width == 0, F.lit(0.0)).otherwise((F.col("__at") - F.col("__a.t")) / width)

@@ -39,9 +39,8 @@ def in_blocks(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), blo
 
 
 def spread(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``rows`` with a task a block or so, where what in_blocks() gave has more blocks than a shuffle has partitions."""
-    n = blocks._blocks
-    return rows.repartition(n, BLOCK) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+    """``rows`` with a task a block, where ``blocks`` is what in_blocks() gave: blocks that share a task would need its memory at once."""
+    return rows.repartitionById(blocks._blocks, BLOCK)
 
 
 def _before(value: str, keys: Sequence[str], by: str) -> Column:
@@ -113,14 +112,25 @@ def scan(df: DataFrame, value: Column | str, out: str, order: Sequence[str], key
     return rows.withColumn(out, own + F.col("__before")).drop(BLOCK, "__before", "__value", "__tie")
 
 
-def boundary_rows(rows: DataFrame, wanted: Column, order: Sequence[str], row: Column) -> DataFrame:
-    """(__block, row): for each block, ``row`` of the last row before the block and of the first behind it that is wanted."""
-    item = F.when(wanted, F.struct(*order, "__tie", row.alias("row")))
-    ends = rows.groupBy(BLOCK).agg(F.min(item).alias("first"), F.max(item).alias("last"))
-    upto = (Window.unboundedPreceding, -1)
-    before = F.last("last", ignorenulls=True).over(Window.partitionBy().orderBy(BLOCK).rowsBetween(*upto))
-    behind = F.last("first", ignorenulls=True).over(Window.partitionBy().orderBy(F.desc(BLOCK)).rowsBetween(*upto))
-    return ends.select(BLOCK, F.array(before["row"], behind["row"]).alias("rows")).select(BLOCK, F.explode(F.array_compact("rows")).alias("row"))
+def near_rows(rows: DataFrame, wanted: Column, order: Sequence[str], row: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, __block, order, __tie, row): of what in_blocks() gave, the last two rows before each block and the first two behind it that are wanted.
+
+    A block's rows of other keys are no neighbours.  The rows pass from block to block as one summary a block and key.
+    """
+    keys, order = list(keys), [*order, "__tie"]
+    upto, row = (Window.unboundedPreceding, -1), row.alias("row")
+    own = Window.partitionBy(*keys, BLOCK, "__wanted").orderBy(*order)
+    rows = spread(rows.select(*keys, BLOCK, wanted.alias("__wanted"), *order, F.when(wanted, F.struct(*order, row)).alias("__item")), rows)
+    rows = rows.withColumn("__a", F.lag("__item").over(own)).withColumn("__z", F.lead("__item").over(own))
+    pair = lambda other: F.when(F.col("__wanted"), F.struct(F.col("__item").alias("one"), F.col(other).alias("two")))
+    ends = rows.groupBy(*keys, BLOCK).agg(F.max(pair("__a")).alias("__last"), F.min(pair("__z")).alias("__first"))
+    for end, by in (("__last", F.col(BLOCK)), ("__first", F.col(BLOCK).desc())):
+        others = Window.partitionBy(*keys).orderBy(by).rowsBetween(*upto)
+        ends = ends.withColumn("__far", F.last(f"{end}.one", ignorenulls=True).over(others))  # where the block has one wanted row only
+        ends = ends.withColumn(end, F.when(F.col(end).isNotNull(), F.struct(F.col(f"{end}.one"), F.coalesce(f"{end}.two", "__far").alias("two"))))
+        ends = ends.withColumn(end, F.last(end, ignorenulls=True).over(others))
+    near = F.array_compact(F.array("__last.one", "__last.two", "__first.one", "__first.two"))
+    return ends.select(*keys, BLOCK, F.explode(near).alias("__near")).select(*keys, BLOCK, "__near.*")
 
 
 def cume_dist(df: DataFrame, column: str, out: str, keys: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
