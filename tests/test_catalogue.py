@@ -9,7 +9,9 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.operators import ordered
 from tidemark.plans import catalogue
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -42,6 +44,16 @@ def test_query(spark, con, name):
     assert got == rows(want.select(*columns).fetchall()) and got
 
 
+@pytest.mark.parametrize("name", ["asof_lerp", "asof_lerp_clamp"])
+def test_lerp_of_units_that_are_cut(spark, con, monkeypatch, name):
+    """Five units of 1,460 targets each in ranges of about 300 rows: the rows of the SQL, and no task has a whole unit."""
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 300)
+    out = catalogue.QUERIES[name](spark, DATA).withColumn("task", F.spark_partition_id()).collect()
+    assert rows(r[:3] for r in out) == rows(con.sql(catalogue.ORACLE_SQL[name]).select("unit", "t_idx", "value").fetchall())
+    tasks = [r["task"] for r in out]
+    assert len(set(tasks)) > 10 and max(tasks.count(k) for k in set(tasks)) < 730
+
+
 def test_entry_without_the_optional_parts(tmp_path):
     shutil.copytree(ROOT / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
