@@ -54,6 +54,17 @@ def test_lerp_of_units_that_are_cut(spark, con, monkeypatch, name):
     assert len(set(tasks)) > 10 and max(tasks.count(k) for k in set(tasks)) < 730
 
 
+@pytest.mark.parametrize("name", ["gradient", "speed"])
+def test_slopes_of_events_at_one_time(spark, tmp_path, name):
+    """Four events a time, in a file in no order: the rows of the SQL where its order of time goes on with the event's number."""
+    con = duckdb.connect()
+    con.sql("create table events as select i as event_id, timestamp '2024-01-01' + to_seconds(i // 8) as ts, i % 2 as user_id, 'kind ' || i % 2 as event_type, (i * 7 % 11)::double as value from range(800) r(i)")
+    con.sql(f"copy (from events order by hash(event_id)) to '{tmp_path}/events.parquet'")
+    want = con.sql(catalogue.ORACLE_SQL[name].replace("ORDER BY t)", "ORDER BY t, event_id)"))
+    got = catalogue.QUERIES[name](spark, str(tmp_path))
+    assert rows(got.select(*want.columns).collect()) == rows(want.fetchall())
+
+
 def test_entry_without_the_optional_parts(tmp_path):
     shutil.copytree(ROOT / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)

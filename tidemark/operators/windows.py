@@ -13,8 +13,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from . import ordered
 
 
-def _order(keys: list[str] | None, t: str) -> Window:
-    return Window.partitionBy(*(keys or [])).orderBy(t)
+def _listed(order: str | list[str]) -> list[str]:
+    return [order] if isinstance(order, str) else list(order)
+
+
+def _order(keys: list[str] | None, t: str | list[str]) -> Window:
+    return Window.partitionBy(*(keys or [])).orderBy(*_listed(t))
 
 
 def over(a: Column, b: Column) -> Column:
@@ -22,13 +26,14 @@ def over(a: Column, b: Column) -> Column:
     return F.when(b == 0, a * float("inf")).otherwise(a / F.when(b != 0, b))
 
 
-def gradient(df: DataFrame, value: str, out: str, t: str | None = None, order: str = "t_idx", keys: list[str] | None = None) -> DataFrame:
+def gradient(df: DataFrame, value: str, out: str, t: str | None = None, order: str | list[str] = "t_idx", keys: list[str] | None = None) -> DataFrame:
     """Central differences inside, one-sided at the ends; spacing 1, or the (uneven) spacing of ``t``.
 
     Rows of the same ``t`` divide by 0, as floating-point numbers do: infinite, or NaN where the values are equal too.
+    Which of them come first is open, and so is the result, unless ``order`` has further columns that tell.
     """
     if not keys:
-        return ordered.windowed(df, lambda rows, k: gradient(rows, value, out, t, order, k), 1, [order])
+        return ordered.windowed(df, lambda rows, k: gradient(rows, value, out, t, ordered.POSITION, k), 1, _listed(order))
     w = _order(keys, order)
     before, after = F.lag(value).over(w), F.lead(value).over(w)
     if t is None:
@@ -49,12 +54,12 @@ def gaussian_weights(sigma: float, truncate: float = 8.0) -> list[float]:
     return [x / total for x in raw]
 
 
-def gaussian_smooth(df: DataFrame, value: str, out: str, sigma: float, order: str = "t_idx", keys: list[str] | None = None, truncate: float = 8.0) -> DataFrame:
+def gaussian_smooth(df: DataFrame, value: str, out: str, sigma: float, order: str | list[str] = "t_idx", keys: list[str] | None = None, truncate: float = 8.0) -> DataFrame:
     """Gaussian filter with zeros beyond the ends; sigma in samples."""
     weights = gaussian_weights(sigma, truncate)
     radius = len(weights) // 2
     if not keys:
-        return ordered.windowed(df, lambda rows, k: gaussian_smooth(rows, value, out, sigma, order, k, truncate), radius, [order])
+        return ordered.windowed(df, lambda rows, k: gaussian_smooth(rows, value, out, sigma, order, k, truncate), radius, _listed(order))
     w = _order(keys, order)
     around = F.collect_list(F.coalesce(F.col(value).cast("double"), F.lit(0.0))).over(w.rowsBetween(-radius, radius))
     place = F.row_number().over(w)
@@ -106,7 +111,7 @@ def trajectory_direction(df: DataFrame, value: str, out: str = "direction", orde
     return df.withColumn(out, F.when(falls, "Inbound").otherwise("Outbound"))
 
 
-def velocity(df: DataFrame, columns: list[str], t: str = "t", order: str = "t_idx", keys: list[str] | None = None, sigma: float | None = None) -> DataFrame:
+def velocity(df: DataFrame, columns: list[str], t: str = "t", order: str | list[str] = "t_idx", keys: list[str] | None = None, sigma: float | None = None) -> DataFrame:
     """Columns v_<name>: gradients over time, of the smoothed positions where sigma (in samples) is given."""
     for c in columns:
         source = c
@@ -119,7 +124,7 @@ def velocity(df: DataFrame, columns: list[str], t: str = "t", order: str = "t_id
     return df
 
 
-def speed(df: DataFrame, columns: list[str], out: str = "speed", t: str = "t", order: str = "t_idx", keys: list[str] | None = None, sigma: float | None = None) -> DataFrame:
+def speed(df: DataFrame, columns: list[str], out: str = "speed", t: str = "t", order: str | list[str] = "t_idx", keys: list[str] | None = None, sigma: float | None = None) -> DataFrame:
     moved = velocity(df, columns, t, order, keys, sigma)
     total = sum((F.col(f"v_{c}") * F.col(f"v_{c}") for c in columns), F.lit(0.0))
     return moved.withColumn(out, F.sqrt(total)).drop(*(f"v_{c}" for c in columns))

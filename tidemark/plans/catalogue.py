@@ -599,13 +599,13 @@ def gaussian_smooth(spark, d):
 @query(f"""WITH {_EV}, w AS (SELECT user_id, event_id, value, t, lag(value) OVER o AS p, lead(value) OVER o AS q, t - lag(t) OVER o AS a, lead(t) OVER o - t AS b FROM ev WINDOW o AS (PARTITION BY user_id ORDER BY t))
 SELECT event_id, round(CASE WHEN p IS NULL THEN (q - value) / b WHEN q IS NULL THEN (value - p) / a ELSE (a * a * q + (b * b - a * a) * value - b * b * p) / (a * b * (a + b)) END, 6) AS slope FROM w""")
 def gradient(spark, d):
-    return windows.gradient(event_rows(spark, d), "value", "slope", "t", "t", ["user_id"]).select("event_id", _r("slope"))
+    return windows.gradient(event_rows(spark, d), "value", "slope", "t", ["t", "event_id"], ["user_id"]).select("event_id", _r("slope"))
 
 
 @query(f"""WITH {_EV}, w AS (SELECT event_id, value, t, lag(value) OVER o AS p, lead(value) OVER o AS q, t - lag(t) OVER o AS a, lead(t) OVER o - t AS b FROM ev WINDOW o AS (PARTITION BY unit ORDER BY t))
 SELECT event_id, round(abs(CASE WHEN p IS NULL THEN (q - value) / b WHEN q IS NULL THEN (value - p) / a ELSE (a * a * q + (b * b - a * a) * value - b * b * p) / (a * b * (a + b)) END), 5) AS speed FROM w""")
 def speed(spark, d):
-    return windows.speed(event_rows(spark, d), ["value"], t="t", order="t", keys=["unit"]).select("event_id", _r("speed", 5))
+    return windows.speed(event_rows(spark, d), ["value"], t="t", order=["t", "event_id"], keys=["unit"]).select("event_id", _r("speed", 5))
 
 
 @query(f"WITH {_EV} SELECT event_id, CASE WHEN value < lag(value) OVER (PARTITION BY user_id ORDER BY t) THEN 'Inbound' ELSE 'Outbound' END AS direction FROM ev")
