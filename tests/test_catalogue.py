@@ -65,6 +65,18 @@ def test_slopes_of_events_at_one_time(spark, tmp_path, name):
     assert rows(got.select(*want.columns).collect()) == rows(want.fetchall())
 
 
+def test_users_are_told_apart(spark, tmp_path):
+    """Users 0 and 6, who act at different places in turn, six hours each: the decoder finds the place from who acts, as the SQL does."""
+    con = duckdb.connect()
+    con.sql("create table events as select i as event_id, timestamp '2024-01-01' + to_minutes(18 * i) as ts, 6 * (i // 20 % 2) as user_id, 'view' as event_type, 75.0 + 350 * (i // 20 % 2) as value from range(400) r(i)")
+    con.sql(f"copy events to '{tmp_path}/events.parquet'")
+    got = catalogue.QUERIES["decode_sessions"](spark, str(tmp_path)).toPandas()
+    want = con.sql(catalogue.ORACLE_SQL["decode_sessions"])
+    assert rows(got[want.columns].values.tolist()) == rows(want.fetchall())
+    low = got[got.bin < 5].groupby("t_idx").acausal.sum()
+    assert all(abs(low[t] - (t % 2 == 0)) < 0.01 for t in range(20))
+
+
 def test_entry_without_the_optional_parts(tmp_path):
     shutil.copytree(ROOT / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)

@@ -799,10 +799,10 @@ def decode_position(spark, d):
     return out.select("t_idx", "name", "bin", _r("acausal"))
 
 
-@query(_decode_sql("user_id % 6", "event_type", "kind, ", 6 * HOUR))
+@query(_decode_sql("user_id", "event_type", "kind, ", 6 * HOUR))
 def decode_sessions(spark, d):
-    """The same with users as units, each kind of event as a recording of its own, in one plan, and steps of six hours."""
-    ev = event_rows(spark, d).select("event_id", F.col("unit").alias("kind"), (F.col("user_id") % 6).alias("unit"), "t", "value")
+    """The same with users as units (each with rates of its own), each kind of event as a recording of its own, in one plan, and steps of six hours."""
+    ev = event_rows(spark, d).select("event_id", F.col("unit").alias("kind"), F.col("user_id").alias("unit"), "t", "value")
     clock = hours(ev, 6 * HOUR).crossJoin(F.broadcast(ev.select("kind").distinct()))
     placed = ev.withColumnRenamed("value", "x")
     model = _two_states().fit(placed.select("kind", "t", "x"), placed, keys=["kind"])
