@@ -331,3 +331,23 @@ def test_local_kernels_are_read_from_a_row_a_bin(spark):
         assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
         rows = [r["kernel"] for r in out.collect()]
         assert sorted(np.isclose(np.exp(r).sum(), 20) for r in rows) == [True] * 3 and rows.count([0.0] * 20) == 1
+
+
+@pytest.mark.parametrize("log", [False, True])
+@pytest.mark.parametrize("held", [8, 1_000_000])
+def test_densities_of_many_groups(spark, monkeypatch, held, log):
+    """A hundred units and a null one in batches of 50 rows: plain sums, with room for two groups and for all."""
+    monkeypatch.setattr(kde, "HELD", held)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        r = np.random.default_rng(4)
+        unit, x, pts = r.integers(0, 101, 1500), r.normal(size=1500), np.array([[-1.0], [0.0], [0.5], [60.0]])
+        df = spark.createDataFrame([(None if u == 100 else int(u), float(v)) for u, v in zip(unit, x, strict=True)], "unit long, x double")
+        k = np.exp(-0.5 * ((pts - x[None]) / 0.5) ** 2) / (0.5 * np.sqrt(2 * np.pi))
+        for many in (False, True):
+            rows = kde.kde(df.repartition(3), ["x"], pts, 0.5, by=["unit"], log=log, many=many).collect()
+            got = {(r_["unit"], r_["bin"]): (np.exp(r_["density"]) if log else r_["density"], r_["mass"]) for r_ in rows}
+            assert len(rows) == len(got) == 101 * 4
+            assert all(np.allclose(got[None if u == 100 else u, b], (k[b, unit == u].mean(), (unit == u).sum()), atol=1e-300) for u in range(101) for b in range(4))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -21,9 +21,13 @@ from . import ordered
 BLOCK = 4096
 TILE = 20_000
 SIDE = 1024
+#: Sums of groups that a task holds before it returns them (8 MB).
+HELD = 1_000_000
+#: More groups than this are brought together before their sums, and their fields are joined, not broadcast.
+GROUPS = 1000
 #: Standard deviations beyond which a kernel at a single place counts as 0: less than 1.3e-14 of its height.
 CUT = 8.0
-#: Fields of more numbers than this are joined, not broadcast (64 MB).
+#: Fields of more numbers than this are joined too (64 MB).
 BROADCAST_NUMBERS = 8_000_000
 _LOG_SQRT_TAU = 0.5 * np.log(2 * np.pi)
 _ARRAY = T.ArrayType(T.DoubleType(), False)
@@ -45,39 +49,83 @@ def _std(std, n: int) -> np.ndarray:
     return np.broadcast_to(np.asarray(std, float), (n,)).copy()
 
 
-def kde(samples: DataFrame, columns: Sequence[str], points: np.ndarray, std, weight: str | None = None, by: Sequence[str] = (), log: bool = False) -> DataFrame:
+def group_sums(points: np.ndarray, x: np.ndarray, w: np.ndarray, codes: np.ndarray, n: int, std: np.ndarray, log: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(top, part, mass) of n groups whose rows lie in the order of their ``codes``: by point the weighted kernel sums (relative to exp(top) with ``log``)."""
+    top, part = np.full((n, len(points)), -np.inf if log else 0.0), np.zeros((n, len(points)))
+    for a in range(0, len(x), BLOCK):
+        own, heavy = codes[a:a + BLOCK], w[a:a + BLOCK]
+        seats, first = np.unique(own, return_index=True)
+        if not log:
+            k = kernel(points, x[a:a + BLOCK], std)
+            part[seats] += (k @ heavy)[None, :] if len(seats) == 1 else np.add.reduceat(k * heavy, first, axis=1).T
+            continue
+        with np.errstate(divide="ignore"):
+            lk = log_kernel(points, x[a:a + BLOCK], std) + np.log(np.where(np.abs(heavy) < EPS, EPS, heavy))[None, :]
+        new = np.maximum(top[seats], np.maximum.reduceat(lk, first, axis=1).T)
+        ok = np.where(np.isfinite(new), new, 0.0)
+        terms = np.exp(lk - ok[np.searchsorted(seats, own)].T)
+        part[seats] = part[seats] * np.exp(top[seats] - ok) + np.add.reduceat(terms, first, axis=1).T
+        top[seats] = new
+    return top, part, np.bincount(codes, w, n)
+
+
+def kde(samples: DataFrame, columns: Sequence[str], points: np.ndarray, std, weight: str | None = None, by: Sequence[str] = (), log: bool = False, many: bool = False) -> DataFrame:
     """(by, bin, density, mass): weighted kernel density of the samples of each group at each point.
 
     density is sum(w K) / sum(w), 0 for a group without weight; with ``log`` it is the logarithm, from
     the largest term and the sum relative to it, so that nothing underflows.
+
+    A task adds up what it sees of each group, HELD numbers at a time.  ``many`` groups are brought together first, in
+    ranges of group and place, so that few tasks return sums of the same group; a large group is cut in ranges too.
     """
     columns, by = list(columns), list(by)
     points, width = np.atleast_2d(np.asarray(points, float)), _std(std, len(columns))
     schema = T.StructType([*(samples.schema[k] for k in by), *(T.StructField(n, T.LongType() if n == "bin" else T.DoubleType()) for n in ("bin", "top", "part", "mass"))])
+    room = max(1, HELD // len(points))
 
     def partial(frames):
+        seats: dict = {}
+        top, part, mass = np.empty((room, len(points))), np.empty((room, len(points))), np.empty(room)
+
+        def held() -> pd.DataFrame:
+            n, keys = len(seats), {k: pd.Series(list(v)).repeat(len(points)).to_numpy() for k, v in zip(by, zip(*seats, strict=True), strict=True)}
+            return pd.DataFrame({**keys, "bin": np.tile(np.arange(len(points)), n), "top": top[:n].ravel(), "part": part[:n].ravel(), "mass": np.repeat(mass[:n], len(points))})
+
         for pdf in frames:
-            groups = pdf.groupby(by, sort=False, dropna=False) if by else [((), pdf)]
-            for key, own in groups:
-                w = own["__w"].to_numpy(float)
-                x = own[columns].to_numpy(float)
-                top, total = np.full(len(points), -np.inf), np.zeros(len(points))
-                for a in range(0, len(x), BLOCK):
-                    if log:
-                        with np.errstate(divide="ignore"):
-                            lk = log_kernel(points, x[a:a + BLOCK], width) + np.log(np.where(np.abs(w[a:a + BLOCK]) < EPS, EPS, w[a:a + BLOCK]))[None, :]
-                        new = np.maximum(top, lk.max(axis=1))
-                        ok = np.where(np.isfinite(new), new, 0.0)
-                        total = total * np.exp(np.where(np.isfinite(top), top, -np.inf) - ok) + np.exp(lk - ok[:, None]).sum(axis=1)
-                        top = new
-                    else:
-                        total += kernel(points, x[a:a + BLOCK], width) @ w[a:a + BLOCK]
-                key = key if isinstance(key, tuple) else (key,)
-                yield pd.DataFrame({**{k: [v] * len(points) for k, v in zip(by, key, strict=True)}, "bin": np.arange(len(points)), "top": top if log else 0.0, "part": total, "mass": w.sum()})
+            codes, kinds = np.zeros(len(pdf), int), [()]
+            if by:
+                codes = pdf.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+                order = np.argsort(codes, kind="stable")
+                codes, pdf = codes[order], pdf.iloc[order]
+                first = pdf[by].iloc[np.unique(codes, return_index=True)[1]]
+                kinds = list(zip(*(first[k].tolist() for k in by), strict=True))
+            w, x = pdf["__w"].to_numpy(float), pdf[columns].to_numpy(float)
+            for a in range(0, len(kinds), room):
+                some = kinds[a:a + room]
+                mine = slice(*np.searchsorted(codes, [a, a + len(some)]))
+                if seats and len(seats) + sum(k not in seats for k in some) > room:
+                    yield held()
+                    seats.clear()
+                known = len(seats)
+                at = np.array([seats.setdefault(k, len(seats)) for k in some])
+                top[known:len(seats)], part[known:len(seats)], mass[known:len(seats)] = -np.inf if log else 0.0, 0.0, 0.0
+                tops, parts, masses = group_sums(points, x[mine], w[mine], codes[mine] - a, len(some), width, log)
+                if log:
+                    new = np.maximum(top[at], tops)
+                    ok = np.where(np.isfinite(new), new, 0.0)
+                    part[at] = part[at] * np.exp(top[at] - ok) + parts * np.exp(tops - ok)
+                    top[at] = new
+                else:
+                    part[at] += parts
+                mass[at] += masses
+        if seats:
+            yield held()
 
     clean = samples.select(*by, *(F.col(c).cast("double").alias(c) for c in columns), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w"))
     for c in columns:
         clean = clean.where(~F.isnan(c) & F.col(c).isNotNull())
+    if many:
+        clean = clean.repartitionByRange(*by, *columns)
     parts = clean.mapInPandas(partial, schema)
     if not log:
         out = parts.groupBy(*by, "bin").agg(F.sum("part").alias("s"), F.sum("mass").alias("mass"))
@@ -110,7 +158,8 @@ def place_fields(events: DataFrame, samples: DataFrame, columns: Sequence[str],
     sample comes near.  events carry the position at their time in ``columns``.
     """
     occ = kde(samples, columns, points, std, sample_weight).select("bin", F.col("density").alias("occ"))
-    marginal = kde(events, columns, points, std, event_weight, [unit]).select(unit, "bin", "density")
+    many = units is not None and units.count() > GROUPS
+    marginal = kde(events, columns, points, std, event_weight, [unit], many=many).select(unit, "bin", "density")
     rate = mean_rates(events, samples, unit, event_weight, sample_weight)
     if units is not None:
         rate = units.select(unit).join(rate, unit, "left").select(unit, F.coalesce("rate", F.lit(0.0)).alias("rate"))
@@ -125,13 +174,13 @@ def poisson_loglik(counts: DataFrame, fields: DataFrame, n_bins: int, clock: Dat
 
     Only non-zero counts take part; what no event adds is the same for all times.  Counts are gathered by
     time (a row a unit at most) and multiplied with the logarithms of the fields, which are broadcast up to
-    BROADCAST_NUMBERS numbers and joined beyond.
+    BROADCAST_NUMBERS numbers of at most GROUPS units and joined beyond.
     """
     some = counts.where("n > 0")
     times = (clock or counts).select("t_idx").distinct()
     n_units = fields.select(unit).distinct().count()
     silent = fields.groupBy("bin").agg(F.sum("field").alias("s"))
-    if n_units * n_bins > BROADCAST_NUMBERS:
+    if n_units > GROUPS or n_units * n_bins > BROADCAST_NUMBERS:
         base = silent.select("bin", (-F.col("s")).alias("base"))
         hit = some.join(fields, unit).groupBy("t_idx", "bin").agg(F.sum(F.col("n") * F.log("field")).alias("hit"))
         long = times.crossJoin(F.broadcast(base)).join(hit, ["t_idx", "bin"], "left").select("t_idx", "bin", (F.coalesce("hit", F.lit(0.0)) + F.col("base")).alias("ll"))
